@@ -106,7 +106,10 @@ def judge(docs: DataFrame, weights: list[int], *, text: str = "text", buckets: i
     held = held.withColumns({"n_grams": F.greatest(2 * F.size("_w") - 1, F.lit(0)).cast("long"), "_sum": total(F.col("_w"))})
     held = held.withColumn("score", F.when(F.col("n_grams") > 0, F.col("_sum") / UNIT / F.col("n_grams")))
     passed = F.coalesce(F.col("_sum") >= F.lit(threshold * UNIT) * F.col("n_grams"), F.lit(False))
-    return held.withColumn("kept", ~F.col("base_failed") & passed).drop("_w", "_sum")
+    held = held.withColumn("kept", ~F.col("base_failed") & passed)
+    # as one generated row, so that a filter on the verdict does not pull all this into its condition again
+    new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_grams", "score", "kept")
+    return held.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], F.inline(F.array(F.struct(*new))))
 
 
 def apply_quality_rules(docs: DataFrame, trusted: DataFrame, *, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, **settings) -> DataFrame:

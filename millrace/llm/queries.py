@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 from millrace.llm.bpe import encode_texts
 from millrace.llm.chat_format import format_chats, read_chats
+from millrace.llm.decontaminate import find_overlaps
+from millrace.llm.html_extract import extract_main_text
 from millrace.llm.jaccard_join import jaccard_components
 from millrace.llm.line_dedup import dedup_lines
+from millrace.llm.pii import find_pii
+from millrace.llm.quality_classifier import sample_labels, score, train
 from millrace.llm.quality_rules import apply_quality_rules
 from millrace.llm.token_counts import count_tokens
 
@@ -62,6 +66,19 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(key: str = "doc_id"):
+    """The fold that training must not see."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", F.col("quality").alias("label"))
+    # a bounded sample of labels (6,000), so the text side needs no shuffle
+    weights = train(docs.join(F.broadcast(sample_labels(labels)), "doc_id"))
+    return score(docs, weights).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return digest_ids(encode_texts(docs, vocabulary_path("byte_bpe_50k.json"), decoded="decoded"))
@@ -80,6 +97,20 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=90)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -90,8 +121,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_token_counts,
         op2_quality_rules,
         op3_chat_format,
+        op4_quality_classifier,
         op5_bpe,
         op6_ngram_jaccard,
+        op7_pii,
+        op8_decontamination,
+        op9_html,
         op10_line_dedup,
     )
     return {f.__name__: f for f in found}
