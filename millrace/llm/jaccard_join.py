@@ -68,22 +68,20 @@ def block_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     n, out = len(shingles), []
     if n == 0:
         return np.empty(0, np.int64)
-    own = bands.band(n)
+    own, place, value = bands.band(n), mix(shingles, 11) >> np.uint64(32), mix(shingles, 7)
     for group in (own, own - 1):
         if group < 0:
             continue
         blocks, spare = bands.blocks(group)
         if blocks == 1:  # no difference is allowed, and equal sets are one node already
             continue
-        place = (mix(shingles, 11 + group) % np.uint64(blocks)).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        at = place[order]
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        used, value = at[first], np.bitwise_xor.reduceat(mix(shingles, 7)[order], first)
+        at = ((place * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
+        xor = np.zeros(blocks, np.uint64)
+        np.bitwise_xor.at(xor, at, value)
+        used = np.flatnonzero(np.bincount(at, minlength=blocks))
         if blocks - len(used) > spare:  # too many empty blocks to leave them out
-            rest = np.setdiff1d(np.arange(blocks), used)
-            used, value = np.r_[used, rest], np.r_[value, np.zeros(len(rest), np.uint64)]
-        out.append(mix(value ^ mix(used.astype(np.uint64) + np.uint64(group * 0x100000001), 13), 17))
+            used = np.arange(blocks)
+        out.append(mix(xor[used] ^ mix(used.astype(np.uint64) + np.uint64(group * 0x100000001), 13), 17))
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 

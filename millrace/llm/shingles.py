@@ -2,19 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import xxhash
 
-#: Words are runs of anything but these; only A-Z are lower-cased.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: Words whose hashes a worker holds at most, and the longest that are held.
-CACHED, LONGEST = 200_000, 40
-
-_hashes: dict[str, int] = {}
-
 
 def mix(h: np.ndarray, seed: int) -> np.ndarray:
     """A bijective 64-bit scramble (two xor-shift-multiply rounds); another one for each seed."""
@@ -26,19 +16,18 @@ def mix(h: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _hash(word: str) -> int:
-    h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-    if len(word) <= LONGEST:
-        if len(_hashes) >= CACHED:
-            _hashes.clear()
-        _hashes[word] = h
-    return h
+def words_of(text: str) -> list[bytes]:
+    """Words, A-Z lower-cased, in UTF-8. On bytes lower() and split() know A-Z and code points 20, 09 to 0D only."""
+    return text.encode().lower().split()
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash for each word of the text."""
-    found, known = WORD.findall(text.translate(LOWER) if not text.islower() else text), _hashes.get
-    return np.fromiter((known(w) or _hash(w) for w in found), np.uint64, len(found))
+    """A 64-bit hash for each word of the text. (Hashing a word costs less than looking it up.)"""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words_of(text))), np.uint64)
+
+
+#: Odd multipliers of the words in a window, in order of position.
+ODD = tuple(np.uint64((k * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64 | 1) for k in range(1, 33))
 
 
 def window_hashes(h: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
@@ -48,8 +37,8 @@ def window_hashes(h: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
         return np.empty(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k, o in enumerate(offsets):
-        out = mix(out ^ h[o : o + n], 31 + k)
-    return out
+        out += h[o : o + n] * ODD[k]
+    return mix(out, 31)
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
