@@ -23,10 +23,9 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
 
 
-def _hash(line: Column) -> Column:
-    """96 bits of the key and its length, null for a line that is too short to count."""
-    key = line_key(line)
-    return F.struct(F.xxhash64(key).alias("a"), F.hash(key).alias("b"), F.char_length(key).alias("n"))
+def _keys(body: Column, min_chars: int) -> Column:
+    """The 128-bit hash of each line's key, null for a key that is too short to count. A key is made once."""
+    return F.transform(F.transform(F.split(body, "\n"), line_key), lambda k: F.when(F.char_length(k) >= min_chars, F.md5(k.cast("binary"))))
 
 
 def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
@@ -43,16 +42,16 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min
     spark = docs.sparkSession
     stage = Stage(spark, "line_dedup")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    slim = docs.select(F.col(f"`{key}`").alias("_k"), F.xxhash64(body).alias("_t"), F.transform(F.split(body, "\n"), _hash).alias("_h"))
-    counted = slim.select(F.explode(F.filter(F.array_distinct("_h"), lambda h: h["n"] >= min_chars)).alias("_l"))
-    frequent = counted.groupBy("_l").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs).select("_l.*")
+    slim = docs.select(F.col(f"`{key}`").alias("_k"), F.xxhash64(body).alias("_t"), _keys(body, min_chars).alias("_h"))
+    counted = slim.select(F.explode(F.array_distinct("_h")).alias("_l")).where("_l is not null")
+    frequent = counted.groupBy("_l").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs).select("_l")
     frequent = small_side(stage.write(frequent, "frequent"))
-    hits = slim.select("_k", "_t", F.posexplode("_h").alias("_p", "_l")).select("_k", "_t", "_p", "_l.*").join(frequent, ["a", "b", "n"], "left_semi")
+    hits = slim.select("_k", "_t", F.posexplode("_h").alias("_p", "_l")).join(frequent, "_l", "left_semi")
     drops = hits.groupBy("_k", "_t").agg(F.sort_array(F.collect_set("_p")).alias("_drop"))
     # one row at most for each (_k, _t), so the join keeps every row of docs once
-    own = docs.withColumns({"_k": F.col(f"`{key}`"), "_t": F.xxhash64(body), "_body": body})
+    own = docs.withColumns({"_k": F.col(f"`{key}`"), "_t": F.xxhash64(body)})
     both = own.alias("d").join(drops.alias("x"), F.col("d._k").eqNullSafe(F.col("x._k")) & (F.col("d._t") == F.col("x._t")), "left")
-    rows = both.select("d.*", F.coalesce("x._drop", F.array().cast("array<int>")).alias("_drop")).withColumns({"_lines": F.split("_body", "\n")})
+    rows = both.select("d.*", F.coalesce("x._drop", F.array().cast("array<int>")).alias("_drop")).withColumn("_lines", F.split(body, "\n"))
     # what stays: the runs of lines between one dropped position and the next
     kept = F.flatten(
         F.transform(
@@ -60,7 +59,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min
             lambda p, i: F.slice(F.col("_lines"), p + 2, F.coalesce(F.get(F.col("_drop"), i), F.size("_lines")) - p - 1),
         )
     )
-    rows = rows.withColumn("_kept", F.when(F.size("_drop") == 0, F.col("_body")).otherwise(F.array_join(kept, "\n")))
+    rows = rows.withColumn("_kept", F.when(F.size("_drop") == 0, body).otherwise(F.array_join(kept, "\n")))
     out = {text: F.col("_kept"), "n_lines": F.size("_lines").cast("long"), "n_dropped": F.size("_drop").cast("long")}
     return rows.select(
         *[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns], *[v.alias(c) for c, v in out.items() if c not in docs.columns]
