@@ -105,16 +105,14 @@ class Seeds:
         return [best[k] for k in sorted(best)]
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> list[Seeds]:
-    """The test items in blocks of about ``block_words`` words each, fetched one block at a time."""
+def _blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> Iterator[Seeds]:
+    """The test items in blocks of about ``block_words`` words each, fetched and given one at a time."""
     slim = benchmark.select(F.col(f"`{item}`").alias("i"), F.col(f"`{text}`").alias("t")).where("t is not null")
     total = slim.agg(F.sum(F.size(F.split("t", "\\s+")))).first()[0] or 0
     n = max(1, -(-total // block_words))
-    out = []
     for k in range(n):
         own = slim.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).orderBy("i", "t").collect()
-        out.append(Seeds.of([r["i"] for r in own], [plain_words(r["t"]) for r in own]))
-    return out
+        yield Seeds.of([r["i"] for r in own], [plain_words(r["t"]) for r in own])
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", item: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.crf import FeatureIds, LinearChainCrf
 
@@ -305,5 +306,5 @@ def extract_main_text(pages: DataFrame, *, html: str = "html", text: str = "text
                 texts = main_texts(part.column(len(kept)).to_pylist(), model.value)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(texts, pa.string())], [*kept, text])
 
-    slim = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{html}`").alias("_html"))
-    return slim.mapInArrow(run, slim.select(*[F.col(f"`{c}`") for c in kept], F.lit("").alias(text)).schema)
+    schema = T.StructType([*(pages.schema[c] for c in kept), T.StructField(text, T.StringType())])
+    return pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{html}`")).mapInArrow(run, schema)

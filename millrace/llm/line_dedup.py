@@ -48,10 +48,11 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min
     frequent = small_side(stage.write(frequent, "frequent"))
     hits = slim.select("_k", "_t", F.posexplode("_h").alias("_p", "_l")).join(frequent, "_l", "left_semi")
     drops = hits.groupBy("_k", "_t").agg(F.sort_array(F.collect_set("_p")).alias("_drop"))
-    # one row at most for each (_k, _t), so the join keeps every row of docs once
-    own = docs.withColumns({"_k": F.col(f"`{key}`"), "_t": F.xxhash64(body)})
+    # one row at most for each (_k, _t), so the join keeps every row of docs once; _row keeps the columns' names apart
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").alias("_k"), F.xxhash64(body).alias("_t"))
     both = own.alias("d").join(drops.alias("x"), F.col("d._k").eqNullSafe(F.col("x._k")) & (F.col("d._t") == F.col("x._t")), "left")
-    rows = both.select("d.*", F.coalesce("x._drop", F.array().cast("array<int>")).alias("_drop")).withColumn("_lines", F.split(body, "\n"))
+    rows = both.select("_row", F.coalesce(F.col(f"_row.`{text}`"), F.lit("")).alias("_body"), F.coalesce("_drop", F.array().cast("array<int>")).alias("_drop"))
+    rows = rows.withColumn("_lines", F.split("_body", "\n"))
     # what stays: the runs of lines between one dropped position and the next
     kept = F.flatten(
         F.transform(
@@ -59,8 +60,8 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min
             lambda p, i: F.slice(F.col("_lines"), p + 2, F.coalesce(F.get(F.col("_drop"), i), F.size("_lines")) - p - 1),
         )
     )
-    rows = rows.withColumn("_kept", F.when(F.size("_drop") == 0, body).otherwise(F.array_join(kept, "\n")))
+    rows = rows.withColumn("_kept", F.when(F.size("_drop") == 0, F.col("_body")).otherwise(F.array_join(kept, "\n")))
     out = {text: F.col("_kept"), "n_lines": F.size("_lines").cast("long"), "n_dropped": F.size("_drop").cast("long")}
     return rows.select(
-        *[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns], *[v.alias(c) for c, v in out.items() if c not in docs.columns]
+        *[(out[c] if c in out else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns], *[v.alias(c) for c, v in out.items() if c not in docs.columns]
     )

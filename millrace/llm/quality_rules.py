@@ -48,13 +48,31 @@ def _covered(hashes: Column) -> Column:
     return _let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), fold)
 
 
+#: What ``shape`` tells of a text.
+SHAPE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def _beside(docs: DataFrame, rows: DataFrame, new: tuple[str, ...]) -> DataFrame:
+    """The columns of ``docs``, held in ``_row`` of ``rows``, and the ``new`` ones, which replace like-named ones.
+
+    The new ones are one generated row, so that a filter on one of them does not pull all of their making into
+    its condition again.
+    """
+    return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in new], F.inline(F.array(F.struct(*new))))
+
+
 def shape(docs: DataFrame, *, text: str = "text", min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
     """The columns of ``docs`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
 
     A null or empty text has no words, so all counts are 0 and ``base_failed`` is true.
     """
+    return _beside(docs, _shaped(docs, text, min_words, repeat_percent), SHAPE)
+
+
+def _shaped(docs: DataFrame, text: str, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
+    """``_row`` (all columns of ``docs``, so that their names stay apart), ``_body`` and what ``shape`` adds."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    held = docs.withColumns({"_body": body, "_words": words(body)})
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), body.alias("_body"), words(body).alias("_words"))
     windows = F.transform(F.slice("_words", 1, F.greatest(F.size("_words") - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(F.col("_words"), i + 1), F.get(F.col("_words"), i + 2)))
     held = held.withColumns({"_windows": windows, "_full": F.filter(F.split("_body", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")})
     held = held.withColumns(
@@ -67,7 +85,7 @@ def shape(docs: DataFrame, *, text: str = "text", min_words: int = 50, repeat_pe
         }
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    return held.withColumn("base_failed", failed).drop("_body", "_words", "_windows", "_full")
+    return held.withColumn("base_failed", failed).drop("_words", "_windows", "_full")
 
 
 def ngram_weights(docs: DataFrame, trusted: DataFrame, *, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, smoothing: float = 1.0) -> DataFrame:
@@ -102,14 +120,12 @@ def judge(docs: DataFrame, weights: list[int], *, text: str = "text", buckets: i
         each = F.transform(w, lambda t, i: at(t) + F.when(i + 1 < F.size(w), at(t, F.get(w, i + 1))).otherwise(0))
         return F.aggregate(each, F.lit(0).cast("long"), lambda a, b: a + b)
 
-    held = shape(docs, text=text, **limits).withColumn("_w", F.regexp_extract_all(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(TOKEN), F.lit(0)))
+    held = _shaped(docs, text, **limits).withColumn("_w", F.regexp_extract_all("_body", F.lit(TOKEN), F.lit(0)))
     held = held.withColumns({"n_grams": F.greatest(2 * F.size("_w") - 1, F.lit(0)).cast("long"), "_sum": total(F.col("_w"))})
     held = held.withColumn("score", F.when(F.col("n_grams") > 0, F.col("_sum") / UNIT / F.col("n_grams")))
     passed = F.coalesce(F.col("_sum") >= F.lit(threshold * UNIT) * F.col("n_grams"), F.lit(False))
     held = held.withColumn("kept", ~F.col("base_failed") & passed)
-    # as one generated row, so that a filter on the verdict does not pull all this into its condition again
-    new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_grams", "score", "kept")
-    return held.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], F.inline(F.array(F.struct(*new))))
+    return _beside(docs, held, (*SHAPE, "n_grams", "score", "kept"))
 
 
 def apply_quality_rules(docs: DataFrame, trusted: DataFrame, *, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, **settings) -> DataFrame:

@@ -32,7 +32,7 @@ _models: dict[str, object] = {}
 
 def pretokens(text: str) -> list[str]:
     """The pre-tokens of a text, which starts with the mark that the model puts before every text."""
-    return PRETOKEN.findall(" " + text.replace("▁", " "))
+    return PRETOKEN.findall(" " + text.replace("▁", " ")) if text else []
 
 
 def _model(path: str):

@@ -1,0 +1,121 @@
+"""Line dedup, quality rules and chat formatting on small rows against brute force."""
+
+import hashlib
+import math
+import re
+from collections import Counter
+from functools import reduce
+
+import pytest
+import regex
+import xxhash
+
+from millrace.llm import queries as Q
+from millrace.llm.chat_format import format_chats, read_chats
+from millrace.llm.line_dedup import dedup_lines
+from millrace.llm.quality_rules import BUCKETS, apply_quality_rules
+
+SPACE = " \t\n\x0b\x0c\r"
+
+
+def key(line):
+    return line.strip(SPACE).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def test_lines_of_odd_rows(odd_docs, keeps_columns):
+    for least, chars in ((2, 1), (3, 0), (2, 3)):
+        texts = [r.text for r in odd_docs.collect()]
+        seen = Counter(k for t in texts for k in {key(x) for x in (t or "").split("\n")})
+        gone = {k for k, n in seen.items() if n >= least and len(k) >= chars}
+        rows = keeps_columns(dedup_lines(odd_docs, min_docs=least, min_chars=chars), odd_docs, ("n_lines", "n_dropped"))
+        want = Counter()
+        for t in texts:
+            lines = (t or "").split("\n")
+            kept = [x for x in lines if key(x) not in gone]
+            want["\n".join(kept), len(lines), len(lines) - len(kept)] += 1
+        assert Counter((r.text, r.n_lines, r.n_dropped) for r in rows) == want
+    assert dedup_lines(odd_docs.where("false")).count() == 0
+
+
+def brute_shape(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    seen = Counter(windows)
+    covered = {k + j for k, w in enumerate(windows) if seen[w] > 1 for j in range(3)}
+    full = [x for x in (text or "").split("\n") if x.strip(SPACE)]
+    failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(full) - len(set(full)), len(covered), failed
+
+
+def brute_scores(rows, trusted):
+    """Ids and texts to scores: hashed n-gram log-likelihood ratios in whole units of 2**-16."""
+    h = lambda *t: reduce(lambda s, x: xxhash.xxh64_intdigest(x.encode(), s), t, 42)
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    grams = []
+    for _, text in rows:
+        w = regex.findall(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+", text or "")
+        grams.append([signed(h(a)) % BUCKETS for a in w] + [signed(h(a, b)) % BUCKETS for a, b in zip(w, w[1:])])
+    raw, own = Counter(), Counter()
+    for (i, _), g in zip(rows, grams):
+        raw.update(g)
+        own.update(g if i in trusted else ())
+    n, m = sum(raw.values()), sum(own.values())
+    weight = lambda b: round(math.log((own[b] + 1) / (m + BUCKETS) / ((raw[b] + 1) / (n + BUCKETS))) * 65536)
+    return [sum(map(weight, g)) / 65536 / len(g) if g else None for g in grams]
+
+
+def test_quality_of_whole_table(spark, sf_dir):
+    docs = Q.table(spark, sf_dir, "documents").collect()
+    trusted = {r.doc_id for r in Q.trusted(spark, sf_dir).collect()}
+    want = brute_scores([(d.doc_id, d.text) for d in docs], trusted)
+    rows = {r.doc_id: r for r in Q.op2_quality_rules(spark, sf_dir).collect()}
+    assert len(rows) == len(docs)
+    for d, s in zip(docs, want):
+        r = rows[d.doc_id]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_shape(d.text)
+        assert r.score == (None if s is None else pytest.approx(s, abs=2e-4))
+        assert r.kept == (not r.base_failed and r.score >= -0.5)
+
+
+def test_quality_keeps_good_and_rejects_bad(spark, sf_dir):
+    judged = Q.op2_quality_rules(spark, sf_dir).join(Q.table(spark, sf_dir, "labels"), "doc_id").collect()
+    good = [r.kept for r in judged if r.quality == 1]
+    bad = [r.kept for r in judged if r.quality == 0]
+    assert sum(good) >= 0.9 * len(good) and sum(bad) <= 0.35 * len(bad)
+
+
+def test_quality_of_odd_rows(spark, odd_docs, keeps_columns):
+    trusted = spark.createDataFrame([(3,), (3,), (None,)], "doc_id long")
+    names = ("n_words", "base_failed", "score", "kept")
+    rows = keeps_columns(apply_quality_rules(odd_docs, trusted), odd_docs, names)
+    for r in rows:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_shape(r.text)
+    assert len(keeps_columns(apply_quality_rules(odd_docs, trusted.where("false")), odd_docs, names)) == len(rows)
+    assert apply_quality_rules(odd_docs.where("false"), trusted).count() == 0
+
+
+def test_chats_round_trip(spark):
+    said = ["</s>[INST] ok [/INST]", "\\", "\\<s>", "<\\s>", "<s></s>", None, "", "[INST", "[\\INST]", "é🙂\n"]
+    rows = [(c, t, r, said[(c + 3 * t) % len(said)]) for c in range(6) for t, r in enumerate(["system", "user", "user", "assistant", "assistant", "user", "assistant"])]
+    rows += [(None, 0, "user", "x"), (7, None, None, "y"), (7, 5, "a[/INST]", "z"), (8, 2, "assistant", "twice"), (8, 2, "assistant", "twice")]
+    rows += [(9, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(300)]
+    turns = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, mask string, formatted string")
+    chats = format_chats(turns)
+    read = {r.conv_id: r for r in read_chats(chats).collect()}
+    first = {r.conv_id: r for r in chats.collect()}
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
+    for conv in {r[0] for r in rows}:
+        want = [(r or "", x or "") for _, _, r, x in sorted((r for r in rows if r[0] == conv), key=order)]
+        assert [(t.role, t.text) for t in read[conv].turns] == want
+        assert read[conv].loss_text == "".join(x for r, x in want if r == "assistant")
+        assert sum(m.skip + m.take for m in first[conv].mask) + 4 == len(first[conv].formatted)
+    assert format_chats(turns.where("false")).count() == 0
+
+
+def test_chat_query_has_the_planted_conversation(spark, sf_dir):
+    rows = {r.conv_id: r for r in Q.op3_chat_format(spark, sf_dir).collect()}
+    said = "</s>[INST] ok [/INST]"
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert (rows[-7].n_turns, rows[-7].turns_sha256) == (2, sha(f"user\n{said}\nassistant\n{said}\n"))
+    assert (rows[-7].loss_chars, rows[-7].loss_sha256) == (len(said), sha(said))
+    assert len(rows) == Q.table(spark, sf_dir, "conversations").select("conv_id").distinct().count() + 1
