@@ -1,26 +1,15 @@
 """Line dedup, quality rules and chat formatting on small rows against brute force."""
 
 import hashlib
-import math
-import re
 from collections import Counter
-from functools import reduce
 
 import pytest
-import regex
-import xxhash
 
 from millrace.llm import queries as Q
 from millrace.llm.chat_format import format_chats, read_chats
 from millrace.llm.line_dedup import dedup_lines
-from millrace.llm.quality_rules import BUCKETS, apply_quality_rules
-
-SPACE = " \t\n\x0b\x0c\r"
-
-
-def key(line):
-    return line.strip(SPACE).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-
+from millrace.llm.quality_rules import apply_quality_rules
+from tests.llm.brute import brute_scores, brute_shape, key
 
 def test_lines_of_odd_rows(odd_docs, keeps_columns):
     for least, chars in ((2, 1), (3, 0), (2, 3)):
@@ -37,33 +26,6 @@ def test_lines_of_odd_rows(odd_docs, keeps_columns):
     assert dedup_lines(odd_docs.where("false")).count() == 0
 
 
-def brute_shape(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-    windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
-    seen = Counter(windows)
-    covered = {k + j for k, w in enumerate(windows) if seen[w] > 1 for j in range(3)}
-    full = [x for x in (text or "").split("\n") if x.strip(SPACE)]
-    failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
-    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(full) - len(set(full)), len(covered), failed
-
-
-def brute_scores(rows, trusted):
-    """Ids and texts to scores: hashed n-gram log-likelihood ratios in whole units of 2**-16."""
-    h = lambda *t: reduce(lambda s, x: xxhash.xxh64_intdigest(x.encode(), s), t, 42)
-    signed = lambda x: x - 2**64 if x >= 2**63 else x
-    grams = []
-    for _, text in rows:
-        w = regex.findall(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+", text or "")
-        grams.append([signed(h(a)) % BUCKETS for a in w] + [signed(h(a, b)) % BUCKETS for a, b in zip(w, w[1:])])
-    raw, own = Counter(), Counter()
-    for (i, _), g in zip(rows, grams):
-        raw.update(g)
-        own.update(g if i in trusted else ())
-    n, m = sum(raw.values()), sum(own.values())
-    weight = lambda b: round(math.log((own[b] + 1) / (m + BUCKETS) / ((raw[b] + 1) / (n + BUCKETS))) * 65536)
-    return [sum(map(weight, g)) / 65536 / len(g) if g else None for g in grams]
-
-
 def test_quality_of_whole_table(spark, sf_dir):
     docs = Q.table(spark, sf_dir, "documents").collect()
     trusted = {r.doc_id for r in Q.trusted(spark, sf_dir).collect()}
