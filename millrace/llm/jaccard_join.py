@@ -3,23 +3,25 @@
 Documents with equal shingle sets are one node. Sets of similar size fall into one size band. In each band
 the shingles are dealt by hash over so many blocks that two sets above the threshold, which differ in a
 bounded number of shingles, must agree in some block (pigeonhole); a block's key is the XOR of its shingles'
-hashes, so agreeing blocks have equal keys and a join on the keys finds every pair. Each node also carries a
-256-bit parity sketch (every shingle flips one bit); the Hamming distance of two sketches is a lower bound of
-the symmetric difference, so it discards pairs without error. What is left is verified on the texts.
-
-Pairs are not listed inside large groups. First each node of a key meets only the key's least node; the
-verified links are contracted to components. Then only nodes of one key in different components meet.
+hashes, so agreeing blocks have equal keys and a join on the keys finds every pair. Each node also has a
+1024-bit parity sketch (every shingle flips one bit), which folds to 256 bits by XOR of its quarters; the Hamming
+distance of two sketches is a lower bound of the symmetric difference, so it discards pairs without error. What
+is left is verified on the texts.
+
+Pairs are not listed inside large groups. First each node of a key meets only the key's most central node (the
+one that shares its keys with most others: of edited copies, the least edited one); the verified links are
+contracted to components. Then only nodes of one key in different components meet, held against the wide sketch.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components
@@ -28,6 +30,8 @@ from millrace.llm.shingles import mix, shingle_set
 
 #: Members that one task compares with a copy of a pair's first text.
 SALT = 512
+#: 64-bit words of a parity sketch, and of its fold, which the keys carry.
+WIDE, FOLDED = 16, 4
 #: Sets that a task remembers, so as not to give the keys of a copy again. More only cost repeated keys.
 MET = 100_000
 
@@ -86,8 +90,8 @@ def block_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def parity_sketch(shingles: np.ndarray) -> np.ndarray:
-    """256 bits as four 64-bit words; each shingle flips one bit."""
-    bits = np.bincount((mix(shingles, 3) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    """1024 bits as sixteen 64-bit words; each shingle flips one bit."""
+    bits = np.bincount((mix(shingles, 3) >> np.uint64(54)).astype(np.int64), minlength=64 * WIDE) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -103,8 +107,8 @@ def _nodes(words: int):
                 f.append(int(np.add.reduce(mix(h, 21)).astype(np.uint64).view(np.int64)))
                 g.append(int(np.bitwise_xor.reduce(mix(h, 23)).astype(np.uint64).view(np.int64)))
                 s.append(parity_sketch(h))
-            s = np.array(s, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), *(pa.array(s[:, k].copy()) for k in range(4))], ["id", "n", "f", "g", "s0", "s1", "s2", "s3"])
+            s = np.array(s, np.int64).reshape(-1, WIDE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), *(pa.array(s[:, k].copy()) for k in range(WIDE))], ["id", "n", "f", "g", *(f"s{k}" for k in range(WIDE))])
 
     return run
 
@@ -164,8 +168,9 @@ def _compare(words: int, percent: int):
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links among ``pairs`` (x < y, ids of documents). The first text is copied once for each SALT members."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("y"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("x")) / SALT)))
+    """Links among ``pairs`` (x, y: ids of documents). The first text is copied once for each SALT members."""
+    large = small_side(pairs.groupBy("x").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > SALT))
+    salted = pairs.join(large, "x", "left").withColumn("salt", F.pmod(F.xxhash64("y"), F.ceil(F.coalesce("many", F.lit(1)) / SALT)))
     members = salted.select(F.col("y").alias("id"), F.col("x").alias("group"), "salt", F.lit(1).alias("side"), F.col("y").alias("other"))
     owners = salted.select(F.col("x").alias("id"), F.col("x").alias("group"), "salt", F.lit(0).alias("side"), F.col("x").alias("other")).distinct()
     routes = small_side(members.unionByName(owners))
@@ -188,25 +193,31 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     """
     stage = Stage(docs.sparkSession, "jaccard")
     slim = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    sketches = "id long, n long, f long, g long, s0 long, s1 long, s2 long, s3 long"
+    wide = [f"s{k}" for k in range(WIDE)]
+    sketches = "id long, n long, f long, g long, " + ", ".join(f"{s} long" for s in wide)
     sets = stage.write(slim.mapInArrow(_nodes(words), sketches), "sets")
     known = sets.where("n > 0 and id is not null")
-    nodes = stage.write(known.groupBy("f", "g", "n").agg(F.min("id").alias("node"), *[F.min(f"s{k}").alias(f"s{k}") for k in range(4)]), "nodes")
+    nodes = stage.write(known.groupBy("f", "g", "n").agg(F.min("id").alias("node"), *[F.min(s).alias(s) for s in wide]), "nodes")
+    fold = [f"o{k}" for k in range(FOLDED)]
+    folded = [reduce(lambda a, b: a.bitwiseXOR(b), [F.col(s) for s in wide[k::FOLDED]]).alias(fold[k]) for k in range(FOLDED)]
 
     # keys that two different sets share; one shuffle of (key, fingerprint)
     keys = slim.where("id is not null").select("text").mapInArrow(_keys(words, percent), "key long, f long")
     span = Window.partitionBy("key")
     shared = keys.select("key", "f", F.min("f").over(span).alias("lo"), F.max("f").over(span).alias("hi")).where("lo < hi")
-    shared = stage.write(shared.select("key", "f").distinct().join(nodes, "f").drop("f", "g"), "shared")
-
-    sketch = [f"s{k}" for k in range(4)]
-    far = sum((F.bit_count(F.col(f"p.{s}").bitwiseXOR(F.col(f"q.{s}"))) for s in sketch), F.lit(0))
-    near = (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")) & (far * (100 + percent) <= (100 - percent) * (F.col("p.n") + F.col("q.n")))
-    ends = [F.least("p.node", "q.node").alias("x"), F.greatest("p.node", "q.node").alias("y")]
-
-    # first round: a key's members meet its least member
-    star = shared.groupBy("key").agg(F.min(F.struct("node", "n", *sketch)).alias("m")).select("key", "m.*")
-    pairs = shared.alias("p").join(star.alias("q"), F.col("p.key") == F.col("q.key")).where(F.col("p.node") != F.col("q.node")).where(near).select(*ends).distinct()
+    shared = stage.write(shared.select("key", "f").distinct().join(nodes.select("f", "node", "n", *folded), "f").drop("f"), "shared")
+
+    def near(sketch: list[str]) -> Column:
+        """No pair at the threshold fails this: sizes of p and q, and the least difference that a sketch allows."""
+        far = sum((F.bit_count(F.col(f"p.{s}").bitwiseXOR(F.col(f"q.{s}"))) for s in sketch), F.lit(0))
+        return (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")) & (far * (100 + percent) <= (100 - percent) * (F.col("p.n") + F.col("q.n")))
+
+    # first round: a key's members meet its most central member
+    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    ranks = shared.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("rank"))
+    star = shared.join(ranks, "node").groupBy("key").agg(F.max(F.struct("rank", "node", "n", *fold)).alias("m")).select("key", "m.*")
+    pairs = shared.alias("p").join(star.alias("q"), F.col("p.key") == F.col("q.key")).where(F.col("p.node") != F.col("q.node")).where(near(fold))
+    pairs = pairs.select(F.col("q.node").alias("x"), F.col("p.node").alias("y")).distinct()
     pairs = stage.write(pairs, "pairs_1")
     links = stage.write(_verify(pairs, slim, words, percent), "links_1")
     found = connected_components(links.select("x", "y"), stage, "cc_1")
@@ -214,9 +225,10 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     # second round: members of one key in different components meet
     named = shared.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     mixed = named.select("*", F.min("c").over(span).alias("lo"), F.max("c").over(span).alias("hi")).where("lo < hi").drop("lo", "hi")
-    mixed = stage.write(mixed, "mixed")
-    across = mixed.alias("p").join(mixed.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.c") != F.col("q.c")) & near)
-    more = stage.write(across.select(*ends).distinct().join(pairs, ["x", "y"], "left_anti"), "pairs_2")
+    mixed = stage.write(mixed.select("key", "node", "n", "c").join(nodes.select("node", *wide), "node"), "mixed")
+    across = mixed.alias("p").join(mixed.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.c") != F.col("q.c")) & near(wide))
+    met = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    more = stage.write(across.select(F.col("p.node").alias("x"), F.col("q.node").alias("y")).distinct().join(met, ["x", "y"], "left_anti"), "pairs_2")
     links_2 = _verify(more, slim, words, percent)
     every = links.select("x", "y").unionByName(links_2.select("x", "y"))
     parts = connected_components(every, stage, "cc_2")
