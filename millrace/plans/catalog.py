@@ -7,9 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.asof import asof_join
+from millrace.operators.sessions import number_sessions
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -48,3 +51,64 @@ def prov_regional_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = t("customer").join(t("nation").join(t("region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey")), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = items.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(own, F.col("o_custkey") == F.col("c_custkey"))
     return rows.groupBy("n_name", "o_orderpriority").agg(F.count(F.lit(1)).alias("n_items"), revenue().alias("revenue"))
+
+
+@register("""
+SELECT l_returnflag, l_linestatus, grouping(l_returnflag, l_linestatus)::BIGINT AS level, count(*)::BIGINT AS n_items,
+  sum(l_quantity::DECIMAL(12,2))::DOUBLE AS quantity,
+  sum(l_extendedprice::DECIMAL(12,2) * (1 - l_discount::DECIMAL(3,2))::DECIMAL(3,2))::DOUBLE AS revenue
+FROM lineitem WHERE l_shipdate <= DATE '2001-06-01' GROUP BY ROLLUP (l_returnflag, l_linestatus)
+""")
+def prov_price_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roll-up of items by flag and status, with subtotals and the total."""
+    items = table(spark, sf_dir, "lineitem").where("l_shipdate <= timestamp_ntz'2001-06-01'")
+    return items.rollup("l_returnflag", "l_linestatus").agg(
+        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n_items"), F.sum(F.col("l_quantity").cast("decimal(12,2)")).cast("double").alias("quantity"), revenue().alias("revenue")
+    )
+
+
+@register("""
+SELECT c_mktsegment, o_orderkey, o_totalprice, place::BIGINT AS place FROM (
+  SELECT c_mktsegment, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_totalprice DESC, o_orderkey) AS place
+  FROM orders JOIN customer ON o_custkey = c_custkey) WHERE place <= 5
+""")
+def prov_top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five dearest orders of each market segment."""
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    best = Window.partitionBy("c_mktsegment").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return rows.select("c_mktsegment", "o_orderkey", "o_totalprice", F.row_number().over(best).cast("long").alias("place")).where("place <= 5")
+
+
+@register("""
+SELECT o_orderpriority, count(*)::BIGINT AS n_orders FROM orders
+WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) GROUP BY ALL
+""")
+def prov_empty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders without an item, by priority (anti join)."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey")
+    return table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_orders"))
+
+
+@register("""
+SELECT a.event_id, a.user_id, b.event_id AS last_view FROM (SELECT * FROM events WHERE event_type = 'purchase') a
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') b ON a.user_id = b.user_id AND a.ts >= b.ts
+""")
+def prov_last_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with its user's latest view before it (as-of join)."""
+    events = table(spark, sf_dir, "events")
+    views = events.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("last_view"))
+    return asof_join(events.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, by="user_id", time="ts", value="last_view", order="last_view").drop("ts")
+
+
+@register("""
+WITH marked AS (
+  SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+), numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM marked)
+SELECT user_id, session::BIGINT AS session, count(*)::BIGINT AS n_events, min(event_id) AS first_event FROM numbered GROUP BY ALL
+""")
+def prov_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each user, ended by six hours without an event."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    numbered = number_sessions(events, by="user_id", time="ts", order="event_id", gap_seconds=6 * 3600)
+    return numbered.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n_events"), F.min("event_id").alias("first_event"))
