@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.asof import asof_join
 from millrace.operators.sessions import number_sessions
+from millrace.streaming.windows import run_to_end, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +113,49 @@ def prov_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
     numbered = number_sessions(events, by="user_id", time="ts", order="event_id", gap_seconds=6 * 3600)
     return numbered.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n_events"), F.min("event_id").alias("first_event"))
+
+
+@register("""
+SELECT event_id, user_id, (event_id - lag(event_id) OVER w)::BIGINT AS step,
+  dense_rank() OVER (PARTITION BY user_id ORDER BY event_type)::BIGINT AS kind,
+  max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS peak
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+""")
+def prov_event_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the step from its user's event before, the rank of its type and the peak of three events."""
+    ordered = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        "user_id",
+        (F.col("event_id") - F.lag("event_id").over(ordered)).alias("step"),
+        F.dense_rank().over(Window.partitionBy("user_id").orderBy("event_type")).cast("long").alias("kind"),
+        F.max("value").over(ordered.rowsBetween(-2, 0)).alias("peak"),
+    )
+
+
+@register("""
+SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'
+EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'
+""")
+def prov_settled_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with finished and open orders but none in progress (set operations)."""
+    of = lambda status: table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == status).select("o_custkey")
+    return of("F").intersect(of("O")).subtract(of("P"))
+
+
+@register("""
+SELECT event_type, count(k)::BIGINT AS n_values, min(k) AS least, max(k) AS most, sum(k)::BIGINT AS total
+FROM (SELECT event_type, (props->>'$.k')::BIGINT AS k FROM events) GROUP BY ALL
+""")
+def prov_event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number inside the JSON properties, summed up by event type."""
+    rows = table(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return rows.groupBy("event_type").agg(F.count("k").alias("n_values"), F.min("k").alias("least"), F.max("k").alias("most"), F.sum("k").alias("total"))
+
+
+@register("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*)::BIGINT AS n_events FROM events GROUP BY ALL")
+def prov_stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts of event types by a stream that reads all events there are."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return run_to_end(windowed_counts(events, time="ts", by="event_type"), "stream_hourly")

@@ -6,6 +6,7 @@ import __spark_entry__ as entry
 from millrace.operators.asof import asof_join
 from millrace.operators.sessions import number_sessions
 from millrace.plans.catalog import ORACLES, QUERIES
+from millrace.streaming.windows import run_to_end, windowed_counts
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -29,3 +30,13 @@ def test_sessions_at_the_gap(spark):
     rows = spark.createDataFrame([(1, k, s) for k, s in enumerate([0, 10, 20, 31, 31, 60])], "u int, o int, s long").selectExpr("u", "o", "cast(timestamp_seconds(s) as timestamp_ntz) t")
     found = number_sessions(rows, by="u", time="t", order="o", gap_seconds=10).orderBy("o").collect()
     assert [r.session for r in found] == [1, 1, 1, 2, 2, 3]
+
+
+def test_stream_of_many_files_nulls_and_none(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "a"), (3599, "a"), (3600, "a"), (10, None), (None, "a")], "s long, e string").selectExpr("cast(timestamp_seconds(s) as timestamp_ntz) t", "e")
+    rows.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = lambda d: windowed_counts(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(d), time="t", by="e")
+    found = run_to_end(stream(f"{tmp_path}/in"), "test").collect()
+    assert sorted((r.start.hour, r.e or "", r.n_events) for r in found) == [(0, "", 1), (0, "a", 2), (1, "a", 1)]
+    rows.limit(0).coalesce(1).write.parquet(f"{tmp_path}/none")
+    assert run_to_end(stream(f"{tmp_path}/none"), "test").count() == 0
