@@ -3,7 +3,8 @@
 A mask picks some word positions of a window and ignores the others, so a seed still matches when an ignored
 word was replaced. Seeds of the test items and of the documents are joined by hash, and each hit's diagonal is
 verified word by word. The two masks together have a seed in every window of 13 words with up to two
-substitutions, so within its definition the search is exact.
+substitutions, and the masks of shorter items one for every placement of the substitutions that their length
+allows, so within its definition the search is exact.
 
 The test side is joined in blocks of bounded size, each broadcast and probed while the documents stream by;
 the documents are never shuffled.
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm.shingles import window_hashes
 
-#: Masks as offsets of the words that count. The second set is for items shorter than WINDOW.
+#: Masks as offsets of the words that count. The other sets are for items shorter than WINDOW; of 10 or 11 words
+#: with two replaced, no four in a row need be left, but then the second of GAP_MASKS fits.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 SHORT_MASKS = ((0, 1, 2, 3),)
+GAP_MASKS = ((0, 1, 2, 3), (0, 1, 3, 4))
 #: Words of a window, the share of them that must agree, and the fewest words of an item that may differ.
 WINDOW, SHARE, LEAST = 13, 0.8, 8
 #: Words of test items in one broadcast block: about 20 MB of seeds.
@@ -60,7 +63,7 @@ class Seeds:
     @classmethod
     def of(cls, ids: list, words: list[np.ndarray]) -> "Seeds":
         tables = []
-        for masks, low, high in ((MASKS, WINDOW, 2**62), (SHORT_MASKS, 4, WINDOW)):
+        for masks, low, high in ((MASKS, WINDOW, 2**62), (SHORT_MASKS, 4, 10), (GAP_MASKS, 10, 12), (SHORT_MASKS, 12, WINDOW)):
             own = [k for k, w in enumerate(words) if low <= len(w) < high]
             for mask in masks if own else ():
                 seeds = [window_hashes(words[k], mask) for k in own]

@@ -1,6 +1,7 @@
 """N-gram Jaccard join, decontamination and the pipeline against brute force."""
 
 import hashlib
+import itertools
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from millrace.llm import queries as Q
 from millrace.llm.components import connected_components
-from millrace.llm.decontaminate import drop_contaminated, find_overlaps
+from millrace.llm.decontaminate import Seeds, drop_contaminated, find_overlaps, plain_words
 from millrace.llm.jaccard_join import jaccard_components
 from millrace.llm.staging import Stage
 from tests.llm.brute import brute_components, brute_lines, brute_overlap, brute_scores, brute_shape
@@ -81,6 +82,16 @@ def test_overlaps_of_planted_passages(spark, block_words):
     assert kept == {d for d, _ in docs} - {d for d, _ in want} | {None, 900}
 
 
+@pytest.mark.parametrize("n", range(4, 15))
+def test_overlaps_at_every_placement_of_changes(n):
+    item = [f"w{k}" for k in range(n)]
+    seeds = Seeds.of([0], [plain_words(" ".join(item))])
+    for changes in range(4):
+        for places in itertools.combinations(range(n), changes):
+            doc = " ".join(["before", *("new" if k in places else w for k, w in enumerate(item)), "after"])
+            assert bool(seeds.overlaps(plain_words(doc))) == brute_overlap(doc, " ".join(item)), places
+
+
 def test_overlaps_of_odd_rows(spark, odd_docs):
     bench = spark.createDataFrame([(1, "same words here same words here same words here", "x")], "item_id long, text string, doc_id string")
     assert {r.doc_id for r in find_overlaps(odd_docs, bench).collect()} == {15}
