@@ -29,6 +29,14 @@ BLOCK = frozenset(
 #: Elements whose content is no text of the page:
 RAW = frozenset("script style textarea xmp iframe noembed noframes noscript template svg math object audio video canvas".split())
 TEXT_ONLY = frozenset("script style textarea xmp iframe noembed noframes title".split())
+#: Those of RAW that hold markup, so that they nest:
+NESTED = RAW - TEXT_ONLY
+FOREIGN = frozenset("svg math".split())
+#: Elements inside svg and math that hold HTML again, and start tags that end an open svg or math:
+HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 #: Elements without an end tag, and start tags that end an open element of these names:
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tbody", "thead"), "tbody": ("thead", "tbody"), "tfoot": ("tbody",)}
@@ -39,6 +47,92 @@ WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
+HAS_NESTED = re.compile(rf"<(?:{'|'.join(sorted(NESTED))})(?=[\s/>])", re.I)
+NOSCRIPT_END = re.compile(r"</noscript(?=[\s/>]|\Z)", re.I)
+UNQUOTED = re.compile(r"""=\s*[^\s"'>]+\Z""")
+
+
+def closed_by_slash(attributes: str) -> bool:
+    """Whether a start tag ends in a slash of its own, not in the slash of an unquoted value."""
+    return attributes.endswith("/") and not UNQUOTED.search(attributes)
+
+
+def raw_end(html: str, tag: str, at: int) -> int:
+    """Where an element whose content is text alone ends: after its end tag, or with the page."""
+    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
+    return end.end() if end else len(html)
+
+
+def nested_ends(html: str) -> dict[int, int]:
+    """For each start tag of NESTED in the page: where reading goes on after the element.
+
+    That is after its end tag. Without one before an enclosing block ends, the element loses only what comes
+    before the next tag of a block; svg and math also end at the start tags that HTML lets break out of them.
+    """
+    ends: dict[int, int] = {}
+    # open elements: name, start, where the next block tag stands, whether their content is that of svg or math
+    stack: list[list] = []
+    open_names: dict[str, int] = {}
+    waiting: list[list] = []
+    last_noscript = max((x.start() for x in NOSCRIPT_END.finditer(html)), default=-1)
+
+    def close(size: int, end: int | None = None) -> None:
+        while len(stack) > size:
+            entry = stack.pop()
+            open_names[entry[0]] -= 1
+            if entry[0] in NESTED:
+                ends[entry[1]] = end if end is not None and len(stack) == size else entry[2] if entry[2] is not None else len(html)
+
+    def reach(place: int) -> None:
+        for entry in waiting:
+            entry[2] = place
+        waiting.clear()
+
+    def foreign() -> bool:
+        return bool(stack) and stack[-1][3]
+
+    at = 0
+    while (m := TOKEN.search(html, at)) is not None:
+        at = m.end()
+        tag, attributes = (m[2] or m[5] or "").lower(), m[3] or ""
+        if not tag:
+            continue
+        ending = bool(m[1] or m[4])
+        if foreign() and (tag in ("p", "br") if ending else tag in BREAKOUT):
+            reach(m.start())
+            size = len(stack)
+            while size and stack[size - 1][3]:
+                size -= 1
+            close(size)
+        if tag in BLOCK and not (tag == "title" and (foreign() or ending)):
+            reach(m.start())
+        if ending:
+            if open_names.get(tag):
+                size = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag)
+                close(size, at)
+            continue
+        if foreign():
+            if closed_by_slash(attributes) or not (tag in HOLDS_HTML or tag in FOREIGN or tag in TEXT_ONLY):
+                continue
+        if tag in TEXT_ONLY and not (tag == "title" and foreign()):
+            at = raw_end(html, tag, at)
+            continue
+        if tag == "noscript" and at <= last_noscript:
+            ends[m.start()] = at = raw_end(html, tag, at)
+            continue
+        if tag in FOREIGN and closed_by_slash(attributes):
+            ends[m.start()] = at
+            continue
+        if tag in NESTED or (tag in BLOCK and tag != "hr") or (tag in HOLDS_HTML and foreign()):
+            entry = [tag, m.start(), None, tag in FOREIGN]
+            stack.append(entry)
+            open_names[tag] = open_names.get(tag, 0) + 1
+            if tag in NESTED:
+                waiting.append(entry)
+    close(0)
+    return ends
+
+
 class Block:
     __slots__ = ("text", "tags", "names", "link")
 
@@ -68,6 +162,7 @@ def leaf_blocks(html: str) -> list[Block]:
         if anchors:
             linked += len(piece)
 
+    ends = nested_ends(html) if HAS_NESTED.search(html) else {}
     at, size = 0, len(html)
     while at < size:
         m = TOKEN.search(html, at)
@@ -83,9 +178,7 @@ def leaf_blocks(html: str) -> list[Block]:
             continue
         if not (m[1] or m[4]):
             if tag in RAW or tag == "title":
-                if tag not in TEXT_ONLY or not attributes.rstrip().endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
-                    at = end.end() if end else size
+                at = raw_end(html, tag, at) if tag in TEXT_ONLY else ends.get(m.start(), at)
                 if tag == "title":
                     flush()
                 continue
@@ -292,8 +385,9 @@ def extract_main_text(pages: DataFrame, *, html: str = "html", text: str = "text
     """The columns of ``pages`` without ``html``, and ``text``: the main blocks joined by newlines.
 
     Character references are decoded, white space (as Python's ``str.split`` sees it) inside a block is one
-    space. Edge cases: null, empty and text-free pages give ``""``; pages that break off in a tag or a comment
-    lose only that; repeated rows are read each; blocks are never capped or dropped for their length; an empty
+    space. Edge cases: null, empty and text-free pages give ``""``; pages that break off in a tag, a comment or
+    an element of plain text (such as script) lose only that; an svg, math, object, audio, video, canvas or template
+    without its end tag loses only what comes before the next block; repeated rows are read each; blocks are never capped or dropped for their length; an empty
     table gives an empty table; a column named like the new one is replaced.
     """
     kept = [c for c in pages.columns if c not in (html, text)]

@@ -100,6 +100,41 @@ def test_small_pages(html, text):
     assert main_texts([html], page_model()) == [text]
 
 
+A, B = "<p>One two three.</p>", "<p>Four five six.</p>"
+BOTH = ["One two three.", "Four five six."]
+
+
+@pytest.mark.parametrize(
+    "inner, texts",
+    [(f"{A}<{t} a='b'/>{B}", BOTH) for t in ("svg", "math")]
+    + [(f"{A}<{t} src=x>{B}", BOTH) for t in ("svg", "math", "object", "audio", "video", "canvas", "template", "noscript")]
+    + [(f"{A}<div><{t}>lost</div>{B}", BOTH) for t in ("svg", "object", "video", "canvas")]
+    + [(f"{A}<{t}><p>lost</p><div>lost</div></{t}>{B}", BOTH) for t in ("object", "audio", "video", "canvas", "template", "noscript")]
+    + [(f"{A}<{t}/>lost <b>lost</b></{t}>{B}", BOTH) for t in ("script", "style", "textarea", "xmp", "iframe", "noembed", "noframes")]
+    + [
+        (f"{A}<object><object>lost</object><p>lost</p></object>{B}", BOTH),
+        (f"{A}<object/><p>lost</p></object>{B}", BOTH),
+        (f"{A}<svg><title>lost</title><g/><svg/><text>lost</text></svg>{B}", BOTH),
+        (f"{A}<svg><foreignObject><p>lost</p></foreignObject><style/><text>lost</text></svg>{B}", BOTH),
+        (f"{A}<svg width=10/><text>lost</text></svg>{B}", BOTH),
+        (f"{A}<svg><path>{B}</svg>", BOTH),
+        (f"<div>{A}<video><source src=x></div>{B}<video></video>", BOTH),
+        ("<p>One <svg/> two <math/> three.</p>" + B, BOTH),
+        (f"{A}<svg/>{B}<svg><text>lost</text></svg>", BOTH),
+        (f"{A}{B}<script>lost<p>lost</p>", BOTH),
+    ],
+)
+def test_elements_without_text(inner, texts):
+    for page in (f"<article>{inner}</article>", inner):
+        assert [b.text for b in leaf_blocks(page)] == texts
+    assert main_texts([f"<article>{inner}</article>"], page_model()) == ["\n".join(texts)]
+
+
+def test_many_open_elements_take_linear_time():
+    page = "<div><svg><video>" * 20000 + A
+    assert [b.text for b in leaf_blocks(page)] == BOTH[:1]
+
+
 def test_pages_with_clashing_names(odd_docs, keeps_columns):
     pages = odd_docs.withColumnsRenamed({"text": "html"}).withColumnRenamed("t", "text")
     rows = extract_main_text(pages).collect()
