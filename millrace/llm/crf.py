@@ -108,7 +108,9 @@ class LinearChainCrf:
             some = [k for k in order[at : at + max(1, min(batch, cells // longest))] if len(rows[k]) <= longest]
             at += len(some)
             ids, sizes = pad([rows[k] for k in some], rows[some[0]].shape[1])
-            for k, tags in zip(some, self._viterbi(self.emissions(ids), sizes)):
+            # a sequence longer than that has its emissions summed by parts
+            e = np.concatenate([self.emissions(ids[:, t : t + cells]) for t in range(0, ids.shape[1], cells)], axis=1)
+            for k, tags in zip(some, self._viterbi(e, sizes)):
                 out[k] = tags
         return out
 

@@ -71,8 +71,8 @@ def base_spans(text: str) -> list[Span]:
 
 #: Where the field looks: every digit and @, and at or dot as people spell addresses.
 TRIGGER = re.compile(r"[0-9@]+|[\[({<]\s?(?:at|AT|dot|DOT)\s?[\])}>]|(?<=\s)(?:dot|DOT)(?=\s)")
-#: Code points around a trigger that belong to its segment, and tokens that a sequence has at most.
-AROUND, LONGEST = 28, 4096
+#: Code points around a trigger that belong to its segment at least.
+AROUND = 28
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
 #: Words that tell what a number next to them is.
 CUES = {"mail": "email", "email": "email", "mailto": "email", "at": "at", "dot": "dot", "phone": "phone", "tel": "phone", "telefon": "phone", "mobile": "phone", "call": "phone", "fax": "phone", "whatsapp": "phone", "ip": "ip", "host": "ip", "server": "ip", "ping": "ip", "card": "card", "visa": "card", "mastercard": "card", "amex": "card", "order": "other", "invoice": "other", "isbn": "other", "page": "other", "version": "other", "total": "other", "id": "other", "token": "other"}
@@ -83,8 +83,44 @@ def tokens_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return [m.span() for m in TOKEN.finditer(text, start, end)]
 
 
+def in_word(c: str) -> bool:
+    return c in LOCAL or c.isalnum() or c == "_"
+
+
+#: An at without brackets, which is no trigger, where a segment starts or right before it.
+AT_FIRST, AT_BEFORE = re.compile(r"at\s", re.I), re.compile(r"\sat\s", re.I)
+
+
+def word_start(text: str, at: int, least: int) -> int:
+    while at > least and in_word(text[at - 1]):
+        at -= 1
+    return at
+
+
 def segments(text: str) -> list[tuple[int, int]]:
-    """The stretches that the field reads, joined where they touch and never cutting a word."""
+    """The stretches that the field reads, joined where they touch and never cutting a word or the part of a
+    spelled address before its at. No code point is passed more than a few times."""
+    out: list[list[int]] = []
+    for start, end in _around(text):
+        least = out[-1][1] if out else 0
+        if start > least:
+            start = word_start(text, start, least)
+        if start > least and AT_FIRST.match(text, start) and text[start - 1].isspace():
+            start = word_start(text, start - 1, least)
+        elif start > max(least, 3) and AT_BEFORE.match(text, start - 4, start):
+            start = word_start(text, max(start - 4, least), least)
+        if end > least:
+            while end < len(text) and in_word(text[end]):
+                end += 1
+        if out and start <= least:
+            out[-1][1] = max(least, end)
+        else:
+            out.append([start, end])
+    return [(a, b) for a, b in out]
+
+
+def _around(text: str) -> list[list[int]]:
+    """The surroundings of all triggers, joined where they touch."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
         start, end = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
@@ -92,7 +128,7 @@ def segments(text: str) -> list[tuple[int, int]]:
             out[-1][1] = max(out[-1][1], end)
         else:
             out.append([start, end])
-    return [(a, b) for a, b in out]
+    return out
 
 
 def shape(token: str) -> str:
@@ -196,6 +232,7 @@ def trained() -> tuple[FeatureIds, LinearChainCrf]:
 
 
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|[\[({<]\s?at\s?[\])}>]|\sat\s)\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[({<]\s?dot\s?[\])}>]|\sdot\s)\s?[A-Za-z0-9-]+)+", re.I)
+LABEL_REST = re.compile(r"[A-Za-z0-9]*(?:-+[A-Za-z0-9]+)*")
 
 
 def well_formed(kind: str, text: str) -> bool:
@@ -209,6 +246,19 @@ def well_formed(kind: str, text: str) -> bool:
     return 9 <= len(digits) <= 15 and re.fullmatch(r"\(?\+?[0-9][\x20().0-9/-]*[0-9]", text) is not None and len(set(digits)) > 2
 
 
+def touches(span: Span, others: list[Span]) -> bool:
+    return any(span[1] < b and a < span[2] for _, a, b in others)
+
+
+def whole_address(text: str, span: Span, others: list[Span]) -> Span:
+    """An address that the field cut inside its first or last word, with all of that word."""
+    start, end = span[1], LABEL_REST.match(text, span[2]).end()
+    while start and text[start - 1] in LOCAL:
+        start -= 1
+    wider = ("email", start, end)
+    return wider if well_formed("email", text[start:end]) and not touches(wider, others) else span
+
+
 def find_spans(texts: list[str], model: tuple[FeatureIds, LinearChainCrf]) -> list[tuple[list[Span], list[Span]]]:
     """For each text the base spans, and all spans, both by kind and then by start."""
     ids, crf = model
@@ -216,11 +266,10 @@ def find_spans(texts: list[str], model: tuple[FeatureIds, LinearChainCrf]) -> li
     rows, places = [], []
     for k, text in enumerate(texts):
         for start, end in segments(text):
+            # a segment is decoded whole: any cut could go through an item
             found = tokens_of(text, start, end)
-            for j in range(0, len(found), LONGEST):
-                part = found[j : j + LONGEST]
-                rows.append(features([shape(text[a:b]) for a, b in part], ids))
-                places.append((k, part))
+            rows.append(features([shape(text[a:b]) for a, b in found], ids))
+            places.append((k, found))
     more: list[list[Span]] = [[] for _ in texts]
     for (k, part), tags in zip(places, crf.decode(rows)):
         at = 0
@@ -240,9 +289,9 @@ def find_spans(texts: list[str], model: tuple[FeatureIds, LinearChainCrf]) -> li
                 more[k].append((kind, start, end))
             at = stop
     out = []
-    for own, new in zip(base, more):
-        taken = sorted((a, b) for _, a, b in own)
-        free = [s for s in new if all(s[2] <= a or s[1] >= b for a, b in taken)] if new else []
+    for text, own, new in zip(texts, base, more):
+        free = [s for s in new if not touches(s, own)] if new else []
+        free = [whole_address(text, s, [*own, *(x for x in free if x != s)]) if s[0] == "email" else s for s in free]
         out.append((own, sorted({*own, *free}, key=lambda s: (KINDS.index(s[0]), s[1], s[2])) if free else own))
     return out
 

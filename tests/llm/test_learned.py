@@ -9,7 +9,7 @@ from millrace.llm import queries as Q
 from millrace.llm.crf import LinearChainCrf
 from millrace.llm.html_extract import extract_main_text, labelled_pages, leaf_blocks, main_texts
 from millrace.llm.html_extract import trained as page_model
-from millrace.llm.pii import base_spans, digest, find_pii, find_spans, labelled_segments
+from millrace.llm.pii import base_spans, digest, find_pii, find_spans, labelled_segments, segments
 from millrace.llm.pii import trained as pii_model
 from millrace.llm.quality_classifier import sample_labels, score, train
 from tests.llm.brute import brute_pii
@@ -70,6 +70,32 @@ def test_added_spans_on_held_out_segments():
     assert len(gold & own) / len(gold) > 0.85 and len(gold & own) / len(own) > 0.85
 
 
+@pytest.mark.parametrize("local", ["christopher.montgomery.fitzgerald.accounts", "first_name-last_name.of.the.department", "christophermontgomeryfitzgerald99"])
+@pytest.mark.parametrize("at, dot", [(" (at) ", " (dot) "), (" at ", " dot ")])
+@pytest.mark.parametrize("domain", ["example", "averyveryverylongexampledomainname"])
+def test_long_spelled_addresses_are_whole(local, at, dot, domain):
+    address = f"{local}{at}{domain}{dot}com"
+    text = f"one two three write to {address} for more"
+    assert find_spans([text], pii_model())[0][1] == [("email", 23, 23 + len(address))]
+
+
+def test_segments_cut_no_word():
+    text = "x" * 70 + " (at) " + "y" * 70 + " (dot) com and " + "z" * 70 + " at " + "u" * 70 + " dot org, " + "v" * 40
+    (start, end), *rest = segments(text)
+    assert not rest and (start, end) == (0, len(text))
+    assert segments("w" * 90 + " " * 29 + "7" + " " * 29 + "w" * 90) == [(91, 148)]
+    long = ("x" * 70 + "7") * 20000
+    assert segments(long) == [(0, len(long))]
+
+
+def test_items_in_long_tables_of_numbers():
+    phone = "415-555-0132"
+    for shift in range(8):
+        head = "12 " * (2043 + shift) + "call "
+        text = head + phone + " now " + "12 " * 50
+        assert ("phone", len(head), len(head) + len(phone)) in find_spans([text], pii_model())[0][1], shift
+
+
 def test_pii_of_odd_rows(odd_docs, keeps_columns):
     rows = keeps_columns(find_pii(odd_docs), odd_docs, ("spans", "base"))
     assert all(r.base == digest(brute_pii(r.text)) for r in rows)
