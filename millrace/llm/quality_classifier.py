@@ -57,8 +57,9 @@ class Ftrl:
 def train(labelled: DataFrame, *, text: str = "text", label: str = "label", key: str = "doc_id", sample: int = SAMPLE, passes: int = PASSES) -> np.ndarray:
     """Weights (2**BITS, then the bias) from ``labelled``: at most ``sample`` rows, those least by a hash of the key.
 
-    Rows without a label are no examples; a null text is an example without n-grams. With no examples all
-    weights are 0, so every score is 0.5.
+    Rows of one key with equal label and n-grams are one example, so copies of a row crowd out no other. Rows
+    without a label are no examples; a null text is an example without n-grams. With no examples all weights
+    are 0, so every score is 0.5.
     """
     rows = labelled.select(F.xxhash64(F.col(f"`{key}`"), F.lit(17)).alias("o"), F.col(f"`{text}`").alias("t"), F.col(f"`{label}`").cast("double").alias("y")).where("y is not null")
 
@@ -80,7 +81,9 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "label", key:
         yield pa.RecordBatch.from_arrays([pa.array([model.weights(slice(None)).astype(np.float32).tobytes()], pa.binary())], ["w"])
 
     least = rows.mapInArrow(features, "o long, y double, i binary, x binary")
-    found = least.repartition(1).sortWithinPartitions("o", "y", "i").mapInArrow(fit, "w binary").collect()
+    # both steps reduce inside the tasks first, so that however often a key is repeated, one task fits few rows
+    least = least.distinct().orderBy("o", "y", "i", "x").limit(sample)
+    found = least.repartition(1).sortWithinPartitions("o", "y", "i", "x").mapInArrow(fit, "w binary").collect()
     return np.frombuffer(bytes(found[0]["w"]), np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 
 

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import queries as Q
 from millrace.llm.crf import LinearChainCrf
@@ -34,6 +35,16 @@ def test_classifier_of_odd_rows(spark, odd_docs, keeps_columns):
     assert score(odd_docs.where("false"), weights).count() == 0
 
 
+def test_classifier_bounds_its_examples(spark):
+    rows = [(k, f"good word{k}" if k % 2 else f"bad word{k}", k % 2) for k in range(40)]
+    once = train(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    hot = spark.createDataFrame(rows + rows[7:8] * 500, "doc_id long, text string, label int").repartition(5)
+    assert (train(hot) == once).all()
+    by_hash = spark.createDataFrame(rows, "doc_id long, text string, label int").orderBy(F.xxhash64("doc_id", F.lit(17)))
+    least = train(by_hash.limit(10))
+    assert (train(hot, sample=10) == least).all() and (least != once).any()
+
+
 def test_field_decodes_and_learns():
     """Viterbi is the best of all paths, and a separable toy task is learnt."""
     import itertools
