@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.shingles import window_hashes
+from millrace.llm.staging import small_side
 
 #: Masks as offsets of the words that count. The other sets are for items shorter than WINDOW; of 10 or 11 words
 #: with two replaced, no four in a row need be left, but then the second of GAP_MASKS fits.
@@ -108,14 +109,21 @@ class Seeds:
         return [best[k] for k in sorted(best)]
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> Iterator[Seeds]:
-    """The test items in blocks of about ``block_words`` words each, fetched and given one at a time."""
-    slim = benchmark.select(F.col(f"`{item}`").alias("i"), F.col(f"`{text}`").alias("t")).where("t is not null")
-    total = slim.agg(F.sum(F.size(F.split("t", "\\s+")))).first()[0] or 0
-    n = max(1, -(-total // block_words))
-    for k in range(n):
-        own = slim.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).orderBy("i", "t").collect()
-        yield Seeds.of([r["i"] for r in own], [plain_words(r["t"]) for r in own])
+def _blocks(benchmark: DataFrame, text: str, block_words: int) -> Iterator[Seeds]:
+    """The distinct test texts in blocks of at most ``block_words`` words each (or one text), fetched and given one
+    at a time. A text's id is its SHA-256."""
+    slim = benchmark.select(F.col(f"`{text}`").alias("t")).where("t is not null").distinct()
+    ids, words, held, given = [], [], 0, False
+    for row in slim.select(F.sha2("t", 256).alias("i"), "t").toLocalIterator():
+        own = plain_words(row["t"])
+        if ids and held + len(own) > block_words:
+            yield Seeds.of(ids, words)
+            ids, words, held, given = [], [], 0, True
+        ids.append(row["i"])
+        words.append(own)
+        held += len(own)
+    if ids or not given:
+        yield Seeds.of(ids, words)
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", item: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -132,10 +140,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
-    ids = benchmark.select(F.col(f"`{item}`"))
-    whole = slim.select(F.col(f"`{key}`").alias("doc_id")).schema.fields + ids.select(F.col(f"`{item}`").alias("item_id")).schema.fields
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in whole) + ", doc_word long, item_word long, n_words long, n_matches long"
-    item_type = pa.string() if whole[1].dataType.simpleString() == "string" else pa.int64() if whole[1].dataType.simpleString() == "bigint" else pa.int32()
+    schema = f"doc_id {slim.schema[0].dataType.simpleString()}, item string, doc_word long, item_word long, n_words long, n_matches long"
 
     def probe(block) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,16 +152,18 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
                         rows.append(k)
                         found.append(hit)
                 if rows:
-                    columns = [pa.array([seeds.ids[x[0]] for x in found], item_type), *(pa.array([x[c] for x in found], pa.int64()) for c in range(1, 5))]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *columns], ["doc_id", "item_id", "doc_word", "item_word", "n_words", "n_matches"])
+                    columns = [pa.array([seeds.ids[x[0]] for x in found], pa.string()), *(pa.array([x[c] for x in found], pa.int64()) for c in range(1, 5))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *columns], ["doc_id", "item", "doc_word", "item_word", "n_words", "n_matches"])
 
         return slim.mapInArrow(run, schema)
 
     out = None
-    for seeds in _blocks(benchmark, item, text, block_words):
+    for seeds in _blocks(benchmark, text, block_words):
         part = probe(spark.sparkContext.broadcast(seeds))
         out = part if out is None else out.unionByName(part)
-    return out
+    # the ids of a text, however many, are joined to what was found of it
+    ids = benchmark.where(F.col(f"`{text}`").isNotNull()).select(F.sha2(F.col(f"`{text}`"), 256).alias("item"), F.col(f"`{item}`").alias("item_id"))
+    return out.join(small_side(ids), "item").select("doc_id", "item_id", "doc_word", "item_word", "n_words", "n_matches")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, item: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -165,7 +172,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, item: str = "ite
     Rows with null or empty texts stay.
     """
     place = docs.columns.index(text)
-    for seeds in _blocks(benchmark, item, text, block_words):
+    for seeds in _blocks(benchmark, text, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], block=docs.sparkSession.sparkContext.broadcast(seeds)) -> Iterator[pa.RecordBatch]:
             for batch in batches:

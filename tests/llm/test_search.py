@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from millrace.llm import decontaminate
 from millrace.llm import queries as Q
 from millrace.llm.components import connected_components
 from millrace.llm.decontaminate import Seeds, drop_contaminated, find_overlaps, plain_words
@@ -92,6 +93,15 @@ def test_overlaps_at_every_placement_of_changes(n):
             assert bool(seeds.overlaps(plain_words(doc))) == brute_overlap(doc, " ".join(item)), places
 
 
+def test_blocks_are_bounded(spark):
+    texts = [f"a{k} b{k} c{k} d{k} e{k}" for k in range(30)]
+    bench = spark.createDataFrame([*enumerate(texts), *((100 + k, texts[3]) for k in range(200))], "item_id long, text string")
+    blocks = [[len(w) for w in x.words] for x in decontaminate._blocks(bench, "text", 20)]
+    assert sum(map(len, blocks)) == 30 and all(sum(b) <= 20 for b in blocks)
+    found = find_overlaps(spark.createDataFrame([(1, texts[3]), (2, texts[4])], "doc_id long, text string"), bench, block_words=60).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 3), *((1, 100 + k) for k in range(200)), (2, 4)]
+
+
 def test_overlaps_of_odd_rows(spark, odd_docs):
     bench = spark.createDataFrame([(1, "same words here same words here same words here", "x")], "item_id long, text string, doc_id string")
     assert {r.doc_id for r in find_overlaps(odd_docs, bench).collect()} == {15}
