@@ -158,4 +158,4 @@ def prov_stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts of event types by a stream that reads all events there are."""
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return run_to_end(windowed_counts(events, time="ts", by="event_type"), "stream_hourly")
+    return run_to_end(windowed_counts(events, time="ts", by="event_type"), "stream_hourly", ("start", "event_type"))

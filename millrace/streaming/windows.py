@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder is set only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from millrace.shared import shared_dir
 
 
 def windowed_counts(events: DataFrame, *, time: str, by: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -23,27 +16,30 @@ def windowed_counts(events: DataFrame, *, time: str, by: str, width: str = "1 ho
 
     ``time`` may be a timestamp without time zone: it is read in the session's zone, as a watermark needs, and
     ``start`` comes out without zone again. Rows with a null time are in no window; a null ``by`` is a group.
-    In append and update mode rows later than ``late`` are dropped and closed windows leave the state; complete
-    mode keeps every window and drops nothing.
+    In append and update mode rows later than ``late`` are dropped and closed windows leave the state.
     """
     timed = events.select(F.col(f"`{time}`").cast("timestamp").alias("_at"), F.col(f"`{by}`")).withWatermark("_at", late)
     counts = timed.groupBy(F.window("_at", width).alias("_window"), F.col(f"`{by}`")).agg(F.count(F.lit(1)).alias("n_events"))
     return counts.select(F.col("_window.start").cast("timestamp_ntz").alias("start"), F.col(f"`{by}`"), "n_events")
 
 
-def run_to_end(result: DataFrame, name: str) -> DataFrame:
-    """Run a streaming aggregate over all that its source holds now; its complete result as a table.
+def run_to_end(result: DataFrame, name: str, keys: tuple[str, ...]) -> DataFrame:
+    """Run a streaming aggregate over all that its source holds now; the last value of every group of ``keys``.
 
-    Every micro-batch replaces the table, so a repeated batch changes nothing. Table and log are in the shared
-    folder. A source without rows gives an empty table.
+    Update mode: a micro-batch writes only the groups that it changed, to a folder of its own number, so the
+    state is bounded by the watermark, nothing is written again, and a repeated batch changes nothing. Table and
+    log are in the shared folder. A source without rows gives an empty table.
     """
     spark = result.sparkSession
     folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    spark.createDataFrame([], result.schema).write.parquet(f"{folder}/table")
+    spark.createDataFrame([], result.schema).write.parquet(f"{folder}/table/batch=-1")
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/table")
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
 
-    running = result.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{folder}/log")
+    running = result.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/log")
     running.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(result.schema).parquet(f"{folder}/table")
+    rows = spark.read.schema(T.StructType([*result.schema, T.StructField("batch", T.LongType())])).parquet(f"{folder}/table")
+    values = F.struct(*[F.col(f"`{c}`") for c in result.columns if c not in keys])
+    last = rows.groupBy(*keys).agg(F.max_by(values, "batch").alias("_last"))
+    return last.select(*[F.col(f"`{c}`") if c in keys else F.col(f"_last.`{c}`") for c in result.columns])

@@ -1,11 +1,20 @@
 """The relational queries against DuckDB, small rows for the operators, and the driver's entry."""
 
+import os
+import pathlib
+import random
+import shutil
+import subprocess
+import sys
+from types import SimpleNamespace
+
 import pytest
 
 import __spark_entry__ as entry
 from millrace.operators.asof import asof_join
 from millrace.operators.sessions import number_sessions
 from millrace.plans.catalog import ORACLES, QUERIES
+from millrace.shared import shared_dir
 from millrace.streaming.windows import run_to_end, windowed_counts
 
 
@@ -24,6 +33,46 @@ def test_asof_ties_and_nulls(spark):
     right = spark.createDataFrame([(1, 10, 7, 1), (1, 10, 8, 2), (1, 6, 9, 3), (2, 2, 5, 4), (1, 9, None, 5)], "k int, t int, w int, o int")
     found = {r.v: r.w for r in asof_join(left, right, by="k", time="t", value="w", order="o").collect()}
     assert found == {"a": 8, "b": None, "c": None, "d": None}
+    nulls = spark.createDataFrame([(None, 3, 1, 1), (1, None, 2, 2), (None, None, 3, 3)], "k int, t int, w int, o int")
+    asks = spark.createDataFrame([(None, 3, "a"), (1, None, "b"), (None, None, "c"), (1, 9, "d")], "k int, t int, v string")
+    assert {r.v: r.w for r in asof_join(asks, nulls, by="k", time="t", value="w", order="o").collect()} == dict.fromkeys("abcd")
+
+
+@pytest.mark.parametrize("width", [1, 7, 10**6])
+def test_asof_and_sessions_over_blocks(spark, width):
+    """Any width of the blocks that split a key gives the same rows."""
+    rng = random.Random(4)
+    asks, gives = [(rng.randint(0, 3), rng.randint(0, 60), k) for k in range(200)], [(rng.randint(0, 4), rng.randint(0, 60), k) for k in range(60)]
+    left, right = spark.createDataFrame(asks, "k int, t int, v int"), spark.createDataFrame(gives, "k int, t int, w int")
+    found = {r.v: r.w for r in asof_join(left, right, by="k", time="t", value="w", order="w", width=width).collect()}
+    assert found == {v: max(((t2, w) for k2, t2, w in gives if k2 == k and t2 <= t), default=(0, None))[1] for k, t, v in asks}
+    days = spark.createDataFrame([(k, t * 12, v) for k, t, v in asks] + [(1, None, 900), (None, 5, 901), (None, None, 902)], "k int, h int, v int").selectExpr("k", "v", "timestampadd(HOUR, h, timestamp_ntz'2024-01-01') t")
+    got = {r.v: r.session for r in number_sessions(days, by="k", time="t", order="v", gap_seconds=86_400, width=width).collect()}
+    want, last = {}, {}
+    for r in sorted(days.collect(), key=lambda r: (r.k or -1, r.t is not None, r.t or 0, r.v)):
+        at, n = last.get(r.k, (None, 0))
+        want[r.v] = n + (not n or (at is not None and r.t is not None and (r.t - at).total_seconds() > 86_400))
+        last[r.k] = r.t, want[r.v]
+    assert got == want
+
+
+def test_entry_without_the_optional_parts(tmp_path):
+    """Without the training-data folders the other queries stay, whether or not the pipeline's file is there."""
+    root = pathlib.Path(entry.__file__).parent
+    shutil.copytree(root / "millrace", tmp_path / "millrace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("import millrace.llm.bpe")
+    names = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*sorted(e.queries()), *sorted(e.oracle_sql()))"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True, check=True).stdout.split()
+    for _ in range(2):
+        assert names() == sorted(QUERIES) + sorted(ORACLES)
+        (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
+def test_shared_folder_of_a_cluster_must_be_set():
+    session = lambda master: SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master, getConf=dict))
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", "k8s://host"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))
 
 
 def test_sessions_at_the_gap(spark):
@@ -36,7 +85,7 @@ def test_stream_of_many_files_nulls_and_none(spark, tmp_path):
     rows = spark.createDataFrame([(0, "a"), (3599, "a"), (3600, "a"), (10, None), (None, "a")], "s long, e string").selectExpr("cast(timestamp_seconds(s) as timestamp_ntz) t", "e")
     rows.repartition(3).write.parquet(f"{tmp_path}/in")
     stream = lambda d: windowed_counts(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(d), time="t", by="e")
-    found = run_to_end(stream(f"{tmp_path}/in"), "test").collect()
+    found = run_to_end(stream(f"{tmp_path}/in"), "test", ("start", "e")).collect()
     assert sorted((r.start.hour, r.e or "", r.n_events) for r in found) == [(0, "", 1), (0, "a", 2), (1, "a", 1)]
     rows.limit(0).coalesce(1).write.parquet(f"{tmp_path}/none")
-    assert run_to_end(stream(f"{tmp_path}/none"), "test").count() == 0
+    assert run_to_end(stream(f"{tmp_path}/none"), "test", ("start", "e")).count() == 0
