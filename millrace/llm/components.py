@@ -48,4 +48,6 @@ def connected_components(edges: DataFrame, stage: Stage, name: str = "cc", round
     else:
         raise RuntimeError("components did not settle")
     ends = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return ends.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    ends = stage.write(ends.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct(), name)
+    stage.drop(f"{name}_{k}", f"{name}_{k - 1}")
+    return ends

@@ -3,14 +3,17 @@
 Documents with equal shingle sets are one node. Sets of similar size fall into one size band. In each band
 the shingles are dealt by hash over so many blocks that two sets above the threshold, which differ in a
 bounded number of shingles, must agree in some block (pigeonhole); a block's key is the XOR of its shingles'
-hashes, so agreeing blocks have equal keys and a join on the keys finds every pair. Each node also has a
+hashes, so agreeing blocks have equal keys and a join on the keys finds every pair. Empty blocks have no key:
+sets that have many also give their least shingles one by one, as many as two such sets above the threshold need
+to have one in common. Each node also has a
 1024-bit parity sketch (every shingle flips one bit), which folds to 256 bits by XOR of its quarters; the Hamming
 distance of two sketches is a lower bound of the symmetric difference, so it discards pairs without error. What
 is left is verified on the texts.
 
 Pairs are not listed inside large groups. First each node of a key meets only the key's most central node (the
 one that shares its keys with most others: of edited copies, the least edited one); the verified links are
-contracted to components. Then only nodes of one key in different components meet, held against the wide sketch.
+contracted to components. Then only nodes of one key in different components meet, held against the wide sketch;
+a key with many of them is dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -21,15 +24,15 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components
 from millrace.llm.staging import Stage, small_side
 from millrace.llm.shingles import mix, shingle_set
 
-#: Members that one task compares with a copy of a pair's first text.
-SALT = 512
+#: Members that one task compares with a copy of a pair's first text, or with a copy of their key's other members.
+SALT, MEMBERS = 512, 4096
 #: 64-bit words of a parity sketch, and of its fold, which the keys carry.
 WIDE, FOLDED = 16, 4
 #: Sets that a task remembers, so as not to give the keys of a copy again. More only cost repeated keys.
@@ -56,8 +59,8 @@ class Bands:
         """Of pairs with the smaller set in band ``group``: the number of blocks, and how many may be spare.
 
         |A & B| * 100 >= percent * |A | B| means a symmetric difference of (100 - p) / (100 + p) of |A| + |B| at
-        most. With d differences, d + 1 + e blocks leave e + 1 that agree; so empty blocks need no key in sets
-        that have at most e of them.
+        most. With d differences, d + 1 + e blocks leave e + 1 that agree; so of two sets, one with at most e empty
+        blocks, a block that is not empty agrees.
         """
         self.band(self.starts[-1] + 1) if len(self.starts) < group + 2 else None
         low, high = self.starts[group], self.starts[group + 1] - 1
@@ -68,7 +71,12 @@ class Bands:
 
 
 def block_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    """The keys of a set of 64-bit hashes: XOR of each block, in the groups of its own band and of the one below."""
+    """The keys of a set of sorted 64-bit hashes, in the groups of its own band and of the one below.
+
+    They are the XORs of its blocks, without empty ones. A set with too many empty blocks also gives its least
+    shingles: two sets with at least k in common have one of them among their n - k + 1 least, and above the
+    threshold k is at least percent of either set.
+    """
     n, out = len(shingles), []
     if n == 0:
         return np.empty(0, np.int64)
@@ -83,9 +91,10 @@ def block_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
         xor = np.zeros(blocks, np.uint64)
         np.bitwise_xor.at(xor, at, value)
         used = np.flatnonzero(np.bincount(at, minlength=blocks))
-        if blocks - len(used) > spare:  # too many empty blocks to leave them out
-            used = np.arange(blocks)
-        out.append(mix(xor[used] ^ mix(used.astype(np.uint64) + np.uint64(group * 0x100000001), 13), 17))
+        mark = np.array([group * 0x100000001], np.uint64)
+        out.append(mix(xor[used] ^ mix(used.astype(np.uint64) + mark, 13), 17))
+        if blocks - len(used) > spare:
+            out.append(mix(shingles[: n + bands.percent * -n // 100 + 1] ^ mix(mark, 29), 19))
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
@@ -96,19 +105,19 @@ def parity_sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def _nodes(words: int):
-    """Rows (id, text) to (id, n, the set's two fingerprints, sketch)."""
+    """Rows (id, the text's hash, text) to (id, that hash, n, the set's two fingerprints, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, f, g, s = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 h = shingle_set(text or "", words)
                 n.append(len(h))
                 f.append(int(np.add.reduce(mix(h, 21)).astype(np.uint64).view(np.int64)))
                 g.append(int(np.bitwise_xor.reduce(mix(h, 23)).astype(np.uint64).view(np.int64)))
                 s.append(parity_sketch(h))
             s = np.array(s, np.int64).reshape(-1, WIDE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), *(pa.array(s[:, k].copy()) for k in range(WIDE))], ["id", "n", "f", "g", *(f"s{k}" for k in range(WIDE))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), *(pa.array(s[:, k].copy()) for k in range(WIDE))], ["id", "t", "n", "f", "g", *(f"s{k}" for k in range(WIDE))])
 
     return run
 
@@ -167,45 +176,48 @@ def _compare(words: int, percent: int):
     return run
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links among ``pairs`` (x, y: ids of documents). The first text is copied once for each SALT members."""
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links among ``pairs`` (x, y: nodes). The first text is copied once for each SALT members.
+
+    A node's text is looked up by id and hash, so rows that share an id are told apart, and of repeated rows one
+    is taken.
+    """
     large = small_side(pairs.groupBy("x").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > SALT))
     salted = pairs.join(large, "x", "left").withColumn("salt", F.pmod(F.xxhash64("y"), F.ceil(F.coalesce("many", F.lit(1)) / SALT)))
-    members = salted.select(F.col("y").alias("id"), F.col("x").alias("group"), "salt", F.lit(1).alias("side"), F.col("y").alias("other"))
-    owners = salted.select(F.col("x").alias("id"), F.col("x").alias("group"), "salt", F.lit(0).alias("side"), F.col("x").alias("other")).distinct()
-    routes = small_side(members.unionByName(owners))
-    rows = docs.join(routes, "id").select("group", "salt", "side", "other", "text")
+    members = salted.select(F.col("y").alias("node"), F.col("x").alias("group"), "salt", F.lit(1).alias("side"))
+    owners = salted.select(F.col("x").alias("node"), F.col("x").alias("group"), "salt", F.lit(0).alias("side")).distinct()
+    routes = members.unionByName(owners)
+    asked = small_side(routes.select("node").distinct().join(nodes.select("node", "id", "t"), "node"))
+    texts = docs.alias("d").join(asked.alias("a"), F.col("d.id").eqNullSafe(F.col("a.id")) & (F.col("d.t") == F.col("a.t"))).select("node", "text").dropDuplicates(["node"])
+    rows = texts.join(routes, "node").select("group", "salt", "side", F.col("node").alias("other"), "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "group", "salt").sortWithinPartitions("group", "salt", "side", "other")
     return dealt.mapInArrow(_compare(words, percent), "x long, y long, n_common long, n_union long")
 
 
-def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = 3, percent: int = 90) -> DataFrame:
-    """``doc_id``, ``n_shingles`` (size of the set) and ``component_id`` for every row of ``docs``.
-
-    A text's shingles are its runs of ``words`` words, A-Z lower-cased; a shorter text with a word is one
-    shingle. Rows link when 100 * |A & B| >= percent * |A | B|; a component's id is the least id in it.
-
-    Edge cases: null, empty and blank texts have no shingles and are their own component; rows with a null id
-    get their size and a null component and link nothing; repeated rows come out each; ids should tell texts
-    apart - of different texts under one id the component joins all of them; pairs exactly at the threshold
-    link; an empty table gives an empty table; other columns are not read.
-    """
+def _classes(docs: DataFrame, text: str, key: str, words: int, percent: int) -> DataFrame:
+    """For every row of ``docs``: id, t (hash of the text), n (size of the set), class (a number for all rows that
+    can be reached by links, null for an empty set) and least (the least id of the class)."""
     stage = Stage(docs.sparkSession, "jaccard")
-    slim = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    body = F.col(f"`{text}`")
+    slim = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(body).alias("t"), body.alias("text"))
     wide = [f"s{k}" for k in range(WIDE)]
-    sketches = "id long, n long, f long, g long, " + ", ".join(f"{s} long" for s in wide)
+    sketches = "id long, t long, n long, f long, g long, " + ", ".join(f"{s} long" for s in wide)
     sets = stage.write(slim.mapInArrow(_nodes(words), sketches), "sets")
-    known = sets.where("n > 0 and id is not null")
-    nodes = stage.write(known.groupBy("f", "g", "n").agg(F.min("id").alias("node"), *[F.min(s).alias(s) for s in wide]), "nodes")
+    # one node for each set; id and t are those of one of its rows
+    own = F.coalesce(F.min_by("t", "id"), F.min("t")).alias("t")
+    nodes = sets.where("n > 0").groupBy("f", "g", "n").agg(F.min("id").alias("id"), own, *[F.min(s).alias(s) for s in wide])
+    nodes = stage.write(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     fold = [f"o{k}" for k in range(FOLDED)]
     folded = [reduce(lambda a, b: a.bitwiseXOR(b), [F.col(s) for s in wide[k::FOLDED]]).alias(fold[k]) for k in range(FOLDED)]
 
-    # keys that two different sets share; one shuffle of (key, fingerprint)
-    keys = slim.where("id is not null").select("text").mapInArrow(_keys(words, percent), "key long, f long")
-    span = Window.partitionBy("key")
-    shared = keys.select("key", "f", F.min("f").over(span).alias("lo"), F.max("f").over(span).alias("hi")).where("lo < hi")
-    shared = stage.write(shared.select("key", "f").distinct().join(nodes.select("f", "node", "n", *folded), "f").drop("f"), "shared")
+    # keys that two different sets share: found by minima and maxima that tasks make first, so a key of many sets is
+    # one row a task; then the rows of those keys
+    keys = stage.write(slim.select("text").mapInArrow(_keys(words, percent), "key long, f long"), "keys")
+    twice = keys.groupBy("key").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo < hi").select("key")
+    twice = small_side(stage.write(twice, "twice"))
+    shared = stage.write(keys.join(twice, "key").distinct().join(nodes.select("f", "node", "n", *folded), "f").drop("f"), "shared")
+    stage.drop("keys", "twice")
 
     def near(sketch: list[str]) -> Column:
         """No pair at the threshold fails this: sizes of p and q, and the least difference that a sketch allows."""
@@ -217,24 +229,68 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     ranks = shared.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("rank"))
     star = shared.join(ranks, "node").groupBy("key").agg(F.max(F.struct("rank", "node", "n", *fold)).alias("m")).select("key", "m.*")
     pairs = shared.alias("p").join(star.alias("q"), F.col("p.key") == F.col("q.key")).where(F.col("p.node") != F.col("q.node")).where(near(fold))
-    pairs = pairs.select(F.col("q.node").alias("x"), F.col("p.node").alias("y")).distinct()
-    pairs = stage.write(pairs, "pairs_1")
-    links = stage.write(_verify(pairs, slim, words, percent), "links_1")
+    pairs = stage.write(pairs.select(F.col("q.node").alias("x"), F.col("p.node").alias("y")).distinct(), "pairs_1")
+    links = stage.write(_verify(pairs, nodes, slim, words, percent), "links_1")
     found = connected_components(links.select("x", "y"), stage, "cc_1")
 
-    # second round: members of one key in different components meet
-    named = shared.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    mixed = named.select("*", F.min("c").over(span).alias("lo"), F.max("c").over(span).alias("hi")).where("lo < hi").drop("lo", "hi")
-    mixed = stage.write(mixed.select("key", "node", "n", "c").join(nodes.select("node", *wide), "node"), "mixed")
-    across = mixed.alias("p").join(mixed.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.c") != F.col("q.c")) & near(wide))
+    # second round: members of one key in different components meet; of a key with many, MEMBERS of one side in a task
+    named = shared.select("key", "node", "n").join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    several = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+    several = small_side(stage.write(several.select("key", F.ceil(F.col("size") / MEMBERS).alias("parts")), "several"))
+    mixed = stage.write(named.join(several, "key").join(nodes.select("node", *wide), "node"), "mixed")
+    left = mixed.withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    right = mixed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    same = (F.col("p.key") == F.col("q.key")) & (F.col("p.part") == F.col("q.part"))
+    across = left.alias("p").join(right.alias("q"), same & (F.col("p.node") < F.col("q.node")) & (F.col("p.c") != F.col("q.c")) & near(wide))
     met = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     more = stage.write(across.select(F.col("p.node").alias("x"), F.col("q.node").alias("y")).distinct().join(met, ["x", "y"], "left_anti"), "pairs_2")
-    links_2 = _verify(more, slim, words, percent)
-    every = links.select("x", "y").unionByName(links_2.select("x", "y"))
+    every = links.select("x", "y").unionByName(_verify(more, nodes, slim, words, percent).select("x", "y"))
     parts = connected_components(every, stage, "cc_2")
-    stage.drop("shared", "mixed", "pairs_1", "pairs_2", "links_1")
 
-    named = nodes.join(parts, "node", "left").select("f", "g", "n", "node", F.coalesce("component", "node").alias("component_id"))
-    joined = sets.join(named, ["f", "g", "n"], "left")
-    component = F.when(F.col("id").isNull(), None).when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    # least ids of components with a link, then of all nodes, then of all rows
+    linked = parts.join(nodes.select("node", "id"), "node")
+    least = linked.join(linked.groupBy("component").agg(F.min("id").alias("least")), "component").select("node", "component", "least")
+    whole = nodes.join(least, "node", "left").select("f", "g", "n", F.coalesce("component", "node").alias("class"), F.coalesce("least", "id").alias("least"))
+    rows = stage.write(sets.select("id", "t", "n", "f", "g").join(whole, ["f", "g", "n"], "left").select("id", "t", "n", "class", "least"), "rows")
+    stage.drop("sets", "nodes", "shared", "several", "mixed", "pairs_1", "pairs_2", "links_1", "cc_1", "cc_2")
+    return rows
+
+
+def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = 3, percent: int = 90) -> DataFrame:
+    """``doc_id``, ``n_shingles`` (size of the set) and ``component_id`` for every row of ``docs``.
+
+    A text's shingles are its runs of ``words`` words, A-Z lower-cased; a shorter text with a word is one
+    shingle. Rows link when 100 * |A & B| >= percent * |A | B|; a component's id is the least id in it.
+
+    Edge cases: null, empty and blank texts have no shingles and are their own component; rows with a null id
+    take part, and a component without any id has null; repeated rows come out each; rows are told apart by id
+    and text, so of different texts under one id each is in its own component; pairs exactly at the threshold
+    link; an empty table gives an empty table; other columns are not read.
+    """
+    rows = _classes(docs, text, key, words, percent)
+    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least"))
+    return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component (as ``jaccard_components`` has them) with all its columns: that of the least id.
+
+    Edge cases: rows without shingles all stay; a null id comes after all others; of different texts under one
+    id that of the least hash stays, of repeated rows the least by all columns; an empty table gives an empty
+    table. Columns must have an order (no maps); their names may be any.
+    """
+    rows = _classes(docs, text, key, words, percent).where("n > 0")
+    stays = rows.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("k"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    stage = Stage(docs.sparkSession, "near_copies")
+    chosen = F.col("id").eqNullSafe(F.col("k.id")) & (F.col("t") == F.col("k.t"))
+    met = stage.write(rows.join(stays, "class").groupBy("id", "t", chosen.alias("stays")).agg(F.count(F.lit(1)).alias("size")).where("not stays or size > 1"), "met")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("t"))
+
+    def beside(some: DataFrame, how: str) -> DataFrame:
+        return held.alias("d").join(small_side(some.select("id", "t")).alias("m"), F.col("d.id").eqNullSafe(F.col("m.id")) & (F.col("d.t") == F.col("m.t")), how)
+
+    out = beside(met, "left_anti").select("row")
+    repeated = met.where("stays")
+    if not repeated.isEmpty():
+        out = out.unionByName(beside(repeated, "left_semi").groupBy("id", "t").agg(F.min("row").alias("row")).select("row"))
+    return out.select("row.*")

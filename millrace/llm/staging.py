@@ -6,31 +6,34 @@ again, so a lost executor costs a re-read, never a recomputation of earlier roun
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side with at most this many rows of a few fixed-width columns may be broadcast (about 24 MB).
-BROADCAST_ROWS = 500_000
+from millrace.shared import shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder is set only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: A side with at most this many bytes may be broadcast.
+BROADCAST_BYTES = 24_000_000
+#: Bytes of a value; a row has so many more. Strings and binaries are measured.
+WIDTHS = {T.LongType: 8, T.DoubleType: 8, T.IntegerType: 4, T.DateType: 4, T.FloatType: 4, T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.TimestampType: 8, T.TimestampNTZType: 8}
+ROW = 16
 
 
 class Stage:
-    """A folder of intermediate Parquet tables, one per use of an operator."""
+    """A folder of intermediate Parquet tables, one per use of an operator. What is left of it goes when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.files, path = self._files(self.path)
+        self.files.mkdirs(path)
+        self.files.deleteOnExit(path)
+
+    def _files(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the table as read back."""
@@ -40,15 +43,21 @@ class Stage:
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            self.files.delete(self._files(f"{self.path}/{name}")[1], True)
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is for a shuffled join.
+def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` bytes (BROADCAST_BYTES), else as it is for a shuffled join.
 
-    The count stops at the limit, so asking costs little even where the answer is no.
+    Asking reads rows only up to the limit. A column of another kind than those of WIDTHS, strings and binaries
+    has no known size, so then there is no hint.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    limit = BROADCAST_BYTES if limit is None else limit
+    kinds = [type(f.dataType) for f in df.schema]
+    measured = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)).cast("long") for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    if any(k not in WIDTHS and not issubclass(k, (T.StringType, T.BinaryType)) for k in kinds):
+        return df
+    fixed = ROW + sum(WIDTHS.get(k, 8) for k in kinds)
+    own = df.limit(limit // fixed + 1).select(F.lit(fixed).cast("long") if not measured else sum(measured, F.lit(fixed).cast("long")))
+    return F.broadcast(df) if (own.toDF("_b").agg(F.sum("_b")).first()[0] or 0) <= limit else df

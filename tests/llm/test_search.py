@@ -4,15 +4,16 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import decontaminate
+from millrace.llm import decontaminate, jaccard_join, staging
 from millrace.llm import queries as Q
 from millrace.llm.components import connected_components
 from millrace.llm.decontaminate import Seeds, drop_contaminated, find_overlaps, plain_words
-from millrace.llm.jaccard_join import jaccard_components
+from millrace.llm.jaccard_join import Bands, block_keys, drop_near_copies, jaccard_components
 from millrace.llm.staging import Stage
 from tests.llm.brute import brute_components, brute_lines, brute_overlap, brute_scores, brute_shape
 
@@ -41,6 +42,58 @@ def test_components_of_near_copies(spark, words, percent):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(brute_components(rows, words, percent))
 
 
+def test_components_with_every_side_shuffled_and_keys_dealt(spark, monkeypatch):
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(jaccard_join, "SALT", 3)
+    monkeypatch.setattr(jaccard_join, "MEMBERS", 2)
+    test_components_of_near_copies(spark, 5, 80)
+
+
+@pytest.mark.parametrize("percent", [90, 80, 50])
+@pytest.mark.parametrize("size", [12, 60, 100])
+def test_unrelated_sets_share_no_key(percent, size):
+    rng, bands = np.random.default_rng(size), Bands(percent)
+    keys = np.concatenate([np.unique(block_keys(np.unique(rng.integers(0, 2**64, size, np.uint64)), bands)) for _ in range(16_000)])
+    assert len(np.unique(keys)) == len(keys) > 0
+
+
+@pytest.mark.parametrize("percent", [90, 80, 65, 50])
+def test_linked_sets_share_a_key(percent):
+    """At the threshold, over all sizes up to 70 and many ways to differ."""
+    rng, bands = np.random.default_rng(percent), Bands(percent)
+    for size in range(1, 71):
+        for _ in range(40):
+            a = rng.integers(0, 2**64, size, np.uint64)
+            gone = rng.integers(0, size + 1)
+            new = max(0, (100 * (size - gone) - percent * size) // percent)
+            if 100 * (size - gone) < percent * size or not gone + new:
+                continue
+            b = np.concatenate([a[gone:], rng.integers(0, 2**64, new, np.uint64)])
+            assert np.intersect1d(block_keys(np.unique(a), bands), block_keys(np.unique(b), bands)).size, (size, gone, new)
+
+
+def test_texts_that_share_an_id(spark):
+    """Rows are told apart by id and text, whatever the order of the rows."""
+    base = [f"w{k}" for k in range(60)]
+    near, far = " ".join([*base[:-1], "other"]), " ".join(f"v{k}" for k in range(60))
+    rows = [(5, " ".join(base)), (5, far), (3, near), (7, far + " "), (None, far), (None, near), (9, "alone"), (5, far)]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in found) == [(0, 58, 3), (0, 58, 5), (3, 58, 3), (5, 58, 3), (5, 58, 5), (5, 58, 5), (7, 58, 5), (9, 1, 9)]
+        kept = drop_near_copies(spark.createDataFrame([(*r, k % 2, "x") for k, r in enumerate(rows)], "doc_id long, text string, id int, t string"))
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, near), (5, far), (9, "alone")] and kept.columns == ["doc_id", "text", "id", "t"]
+
+
+def test_one_of_each_group_stays(spark, odd_docs):
+    rows = [(3 * k + 1, t) for k, t in enumerate(near_copies())]
+    docs = spark.createDataFrame(rows + rows[:3] + [(None, "no id"), (None, "no id"), (None, ""), (None, None)], "doc_id long, text string")
+    kept = sorted((r.doc_id or -1, r.text or "") for r in drop_near_copies(docs).collect())
+    assert kept == sorted([(i, t) for (i, t), (_, _, c) in zip(rows, brute_components(rows, 5, 80)) if i == c] + [(-1, "no id"), (-1, ""), (-1, "")])
+    assert drop_near_copies(docs.where("false")).count() == 0
+    assert set(drop_near_copies(odd_docs).columns) == set(odd_docs.columns)
+
+
 def test_components_of_odd_rows(spark, odd_docs):
     found = jaccard_components(odd_docs).collect()
     want = brute_components([(r.doc_id, r.text) for r in odd_docs.where("doc_id is not null").distinct().collect()], 3, 90)
