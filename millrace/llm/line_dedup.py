@@ -1,9 +1,8 @@
 """Line de-duplication over the whole corpus, with DataFrame functions only.
 
-Lines are normalised and hashed inside each row; only distinct hashes are shuffled, pre-aggregated on the
-map side, so a line that stands in a third of all documents costs one row per task. The lines themselves
-never leave their document: positions of the lines to drop come back by document and the rest is
-reassembled by position.
+Lines are normalised and hashed inside each row; what is shuffled to count them is hashes and document ids, each
+pair once, so a line that stands in a third of all documents is spread over all tasks. Then the positions of the
+lines to drop come to their document by id, and the rest is reassembled by position.
 """
 
 from __future__ import annotations
@@ -24,29 +23,30 @@ def line_key(line: Column) -> Column:
 
 
 def _keys(body: Column, min_chars: int) -> Column:
-    """The 128-bit hash of each line's key, null for a key that is too short to count. A key is made once."""
-    return F.transform(F.transform(F.split(body, "\n"), line_key), lambda k: F.when(F.char_length(k) >= min_chars, F.md5(k.cast("binary"))))
+    """The 128-bit hash (a, b) of each line's key, null for a key that is too short to count. A key is made once."""
+    both = lambda k: F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit(1), k).alias("b"))
+    return F.transform(F.transform(F.split(body, "\n"), line_key), lambda k: F.when(F.char_length(k) >= min_chars, both(k)))
 
 
 def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """Drop every line whose key has ``min_chars`` code points or more and stands in ``min_docs`` rows or more.
+    """Drop every line whose key has ``min_chars`` code points or more and stands in ``min_docs`` documents or more.
 
     All copies of such a line go, in every document. Returns the columns of ``docs`` with ``text`` replaced,
     and ``n_lines`` (before dropping) and ``n_dropped`` added (these two replace columns of the same name).
 
     Edge cases: a null or empty text is one empty line and stays ``""``; a text whose lines all go becomes
-    ``""``; each row counts as one document, so repeated rows count each and are treated alike, and rows with
-    a null key take part like others; ``min_docs`` ties (exactly that many) are dropped; an empty table gives
-    an empty table. Other columns are carried along and never read.
+    ``""``; all rows of one id are one document when lines are counted, and of rows with a null id those of one
+    text are; every row loses the counted lines; ``min_docs`` ties (exactly that many) are dropped; an empty
+    table gives an empty table. Other columns are carried along and never read.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "line_dedup")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     slim = docs.select(F.col(f"`{key}`").alias("_k"), F.xxhash64(body).alias("_t"), _keys(body, min_chars).alias("_h"))
-    counted = slim.select(F.explode(F.array_distinct("_h")).alias("_l")).where("_l is not null")
-    frequent = counted.groupBy("_l").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs).select("_l")
-    frequent = small_side(stage.write(frequent, "frequent"))
-    hits = slim.select("_k", "_t", F.posexplode("_h").alias("_p", "_l")).join(frequent, "_l", "left_semi")
+    found = slim.select("_k", F.when(F.col("_k").isNull(), F.col("_t")).alias("_u"), F.explode(F.array_distinct("_h")).alias("_l")).where("_l is not null")
+    counted = found.select("_k", "_u", "_l.*").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"))
+    frequent = small_side(stage.write(counted.where(F.col("_n") >= min_docs).select("a", "b"), "frequent"))
+    hits = slim.select("_k", "_t", F.posexplode("_h").alias("_p", "_l")).where("_l is not null").select("_k", "_t", "_p", "_l.*").join(frequent, ["a", "b"], "left_semi")
     drops = hits.groupBy("_k", "_t").agg(F.sort_array(F.collect_set("_p")).alias("_drop"))
     # one row at most for each (_k, _t), so the join keeps every row of docs once; _row keeps the columns' names apart
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").alias("_k"), F.xxhash64(body).alias("_t"))

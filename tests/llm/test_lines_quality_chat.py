@@ -3,18 +3,23 @@
 import hashlib
 from collections import Counter
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import queries as Q
+from millrace.llm import staging
 from millrace.llm.chat_format import format_chats, read_chats
 from millrace.llm.line_dedup import dedup_lines
+from millrace.llm.oracles import OP10
 from millrace.llm.quality_rules import apply_quality_rules
 from tests.llm.brute import brute_scores, brute_shape, key
 
 def test_lines_of_odd_rows(odd_docs, keeps_columns):
     for least, chars in ((2, 1), (3, 0), (2, 3)):
         texts = [r.text for r in odd_docs.collect()]
-        seen = Counter(k for t in texts for k in {key(x) for x in (t or "").split("\n")})
+        ids = {(r.doc_id, r.doc_id is None and r.text, key(x)) for r in odd_docs.collect() for x in (r.text or "").split("\n")}
+        seen = Counter(k for _, _, k in ids)
         gone = {k for k, n in seen.items() if n >= least and len(k) >= chars}
         rows = keeps_columns(dedup_lines(odd_docs, min_docs=least, min_chars=chars), odd_docs, ("n_lines", "n_dropped"))
         want = Counter()
@@ -26,6 +31,22 @@ def test_lines_of_odd_rows(odd_docs, keeps_columns):
     assert dedup_lines(odd_docs.where("false")).count() == 0
 
 
+def test_lines_count_documents_not_rows(spark, monkeypatch):
+    """Code and SQL agree where ids repeat, with the frequent lines broadcast or shuffled."""
+    rows = [(7, "menu\nown 7")] * 12 + [(k, f"menu 2\nown {k}") for k in range(9)] + [(3, "menu 2 \nMENU 3")] + [(k, "menu 3") for k in range(20, 29)] + [(None, "no id\nmenu 4")] * 15
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r for r in rows if r[0] is not None])
+    kept = {(r[0], r[3]) for r in con.execute(OP10).fetchall() if r[0] not in (3, 7)}
+    for limit in (10**7, 0):
+        monkeypatch.setattr(staging, "BROADCAST_BYTES", limit)
+        out = dedup_lines(docs, min_docs=10).collect()
+        assert len(out) == len(rows) and {r.text for r in out if r.doc_id is None} == {"no id\nmenu 4"}
+        assert {(r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in out if r.doc_id not in (None, 3, 7)} == kept
+        assert {r.text for r in out if r.doc_id == 7} == {"menu\nown 7", "menu 2\nown 7"} and {r.text for r in out if r.doc_id == 3} == {"menu 2\nown 3", "menu 2 "}
+
+
 def test_quality_of_whole_table(spark, sf_dir):
     docs = Q.table(spark, sf_dir, "documents").collect()
     trusted = {r.doc_id for r in Q.trusted(spark, sf_dir).collect()}
@@ -74,6 +95,15 @@ def test_chats_round_trip(spark):
     assert format_chats(turns.where("false")).count() == 0
 
 
+def test_a_mask_that_does_not_fit_raises(spark):
+    chats = format_chats(spark.createDataFrame([(1, k, r, f"text {k}") for k, r in enumerate("user user assistant user".split())], "conv_id long, turn long, role string, text string"))
+    assert read_chats(chats).first().loss_text == "text 2"
+    moved = "transform(mask, (m, i) -> named_struct('skip', m.skip + {}, 'take', m.take + {}, 'loss', m.loss))"
+    for wrong in (moved.format(1, 0), moved.format(0, 1), moved.format("if(i = 2, 1, 0)", "if(i = 2, -1, 0)"), "slice(mask, 1, 3)", "concat(mask, mask)", "cast(null as array<struct<skip:int,take:int,loss:boolean>>)"):
+        with pytest.raises(Exception, match="does not fit"):
+            read_chats(chats.withColumn("mask", F.expr(wrong))).collect()
+
+
 def test_chat_query_has_the_planted_conversation(spark, sf_dir):
     rows = {r.conv_id: r for r in Q.op3_chat_format(spark, sf_dir).collect()}
     said = "</s>[INST] ok [/INST]"
