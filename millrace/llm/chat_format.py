@@ -1,7 +1,8 @@
 """Chat formatting: turns to one training text with a loss mask, and back, with DataFrame functions only.
 
 A conversation is put together in two steps, blocks of consecutive turns first and then the blocks, so that
-no task holds more than one block of a long conversation before its text is joined.
+no task holds more than one block of a long conversation before its text is joined. In a block the sorted turns
+are folded to runs of one role; where two blocks meet inside a run, the second goes on with it.
 """
 
 from __future__ import annotations
@@ -53,15 +54,23 @@ def format_chats(turns: DataFrame, *, columns: ChatColumns = ChatColumns(), lear
     ).withColumn("_b", F.floor(F.col("_n") / block))
 
     head = lambda role: F.concat(F.lit(OPEN), escape(role), F.lit(CLOSE))
-    # the markup before a turn, by the role of the turn before
+    # the markup before a block, by the role that the block before ends with
     lead = lambda before, role: F.when(before.isNull(), head(role)).when(before == role, F.lit(PART)).otherwise(F.concat(F.lit(END), head(role)))
     sorted_turns = F.sort_array(F.collect_list(F.struct(F.col("_n").alias("n"), F.col("_r").alias("r"), F.col("_x").alias("x"))))
     blocks = rows.groupBy("_c", "_b").agg(sorted_turns.alias("_t"))
+    nothing = F.array().cast("array<struct<r:string,x:array<string>>>")
+
+    def merge(runs: Column, t: Column) -> Column:
+        last = F.get(runs, F.size(runs) - 1)
+        longer = F.struct(t["r"].alias("r"), F.concat(last["x"], F.array(t["x"])).alias("x"))
+        more = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))
+        return F.when(last["r"] == t["r"], more).otherwise(F.concat(runs, F.array(F.struct(t["r"].alias("r"), F.array(t["x"]).alias("x")))))
+
+    blocks = blocks.select("_c", "_b", F.aggregate("_t", nothing, merge).alias("_u"))
     # inside a block the first turn's markup is left for the next step
-    pieces = F.transform(
-        "_t", lambda t, i: F.struct(F.when(i == 0, F.lit("")).otherwise(lead(F.get(F.col("_t"), i - 1)["r"], t["r"])).alias("m"), escape(t["x"]).alias("x"), (t["r"] == learn).alias("loss"))
-    )
-    blocks = blocks.select("_c", "_b", F.element_at("_t", 1)["r"].alias("first"), F.element_at("_t", -1)["r"].alias("last"), pieces.alias("_p"))
+    start = lambda i, role: F.when(i == 0, F.lit("")).otherwise(F.concat(F.lit(END), head(role)))
+    one = lambda u, i: F.transform(u["x"], lambda x, j: F.struct(F.when(j > 0, F.lit(PART)).otherwise(start(i, u["r"])).alias("m"), escape(x).alias("x"), (u["r"] == learn).alias("loss")))
+    blocks = blocks.select("_c", "_b", F.element_at("_u", 1)["r"].alias("first"), F.element_at("_u", -1)["r"].alias("last"), F.flatten(F.transform("_u", one)).alias("_p"))
     body = F.array_join(F.transform("_p", lambda p: F.concat(p["m"], p["x"])), "")
     mask = F.transform("_p", lambda p: F.struct(F.char_length(p["m"]).alias("skip"), F.char_length(p["x"]).alias("take"), p["loss"].alias("loss")))
     blocks = blocks.select("_c", F.struct("_b", "first", "last", body.alias("body"), mask.alias("mask")).alias("_s"))
@@ -76,16 +85,21 @@ def format_chats(turns: DataFrame, *, columns: ChatColumns = ChatColumns(), lear
 def read_chats(chats: DataFrame, *, columns: ChatColumns = ChatColumns(), keep: tuple[str, ...] = ()) -> DataFrame:
     """Back from ``formatted`` and ``mask``: the conversation's column, ``turns`` (role, text, loss), ``loss_text``.
 
-    ``loss_text`` joins, unescaped, the texts that the mask counts; columns in ``keep`` are carried along. A
-    mask that does not fit the text raises.
+    ``loss_text`` joins, unescaped, the texts that the mask counts; columns in ``keep`` are carried along. Every
+    ``skip`` must be the length of the markup that stands there and every ``take`` that of the text, so that
+    what lies under the mask is these texts; a mask that does not fit raises. A null ``formatted`` or ``mask`` raises too, and
+    an empty table gives an empty table.
     """
     runs = F.split(F.expr(f"substring(formatted, 1, char_length(formatted) - {len(END)})"), END)
     halves = F.transform(runs, lambda r: F.split(F.substring(r, len(OPEN) + 1, 2**30), "\\[/INST\\]"))
-    parts = F.flatten(F.transform(halves, lambda h: F.transform(F.split(h[1], PART), lambda p: F.struct(unescape(h[0]).alias("role"), p.alias("x")))))
+    markup = lambda role, r: F.when(r > 0, len(END)).otherwise(0) + len(OPEN) + F.char_length(role) + len(CLOSE)
+    part = lambda h, r: F.transform(F.split(h[1], PART), lambda x, j: F.struct(unescape(h[0]).alias("role"), x.alias("x"), F.when(j > 0, len(PART)).otherwise(markup(h[0], r)).alias("skip")))
+    parts = F.flatten(F.transform(halves, part))
     carried = [F.col(f"`{c}`") for c in (columns.conv, *keep)]
     read = chats.select(*carried, parts.alias("_p"), "mask")
-    fits = (F.size("_p") == F.size("mask")) & F.forall(F.zip_with("_p", "mask", lambda p, m: F.coalesce(F.char_length(p["x"]) == m["take"], F.lit(False))), lambda x: x)
-    checked = read.withColumn("_p", F.when(fits, F.col("_p")).otherwise(F.raise_error(F.lit("the mask does not fit the text")).cast("array<struct<role:string,x:string>>")))
+    each = F.zip_with("_p", "mask", lambda p, m: F.coalesce((p["skip"] == m["skip"]) & (F.char_length(p["x"]) == m["take"]), F.lit(False)))
+    fits = F.coalesce((F.size("_p") == F.size("mask")) & F.forall(each, lambda x: x), F.lit(False))
+    checked = read.withColumn("_p", F.when(fits, F.col("_p")).otherwise(F.raise_error(F.lit("the mask does not fit the text")).cast("array<struct<role:string,x:string,skip:int>>")))
     turns = F.zip_with("_p", "mask", lambda p, m: F.struct(p["role"].alias("role"), unescape(p["x"]).alias("text"), m["loss"].alias("loss")))
     told = checked.select(*carried, turns.alias("turns"))
     return told.withColumn("loss_text", F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), ""))
