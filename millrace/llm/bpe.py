@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,20 +32,19 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Bpe:
-    """A vocabulary file's tokens, merges and added tokens, as tables."""
+    """A vocabulary file's tokens, merges and added tokens, as tables. ``data``: the file's bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, data: bytes):
         import ahocorasick
         import regex
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = json.loads(data)
         pre, model = spec["pre_tokenizer"] or {}, spec["model"]
         plain = all(not model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
         added = spec.get("added_tokens") or []
         own = any(a["single_word"] or a["lstrip"] or a["rstrip"] for a in added)
         if model.get("type") != "BPE" or not plain or own or spec.get("normalizer") or spec.get("post_processor") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
-            raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
+            raise ValueError("not a plain byte-level BPE vocabulary")
         alphabet = byte_alphabet()
         size = max([*model["vocab"].values(), *(a["id"] for a in added)]) + 1
         tokens = [b""] * size
@@ -167,14 +167,21 @@ class Bpe:
         return b"".join(out).decode("utf-8", "replace")
 
 
-_open: dict[str, Bpe] = {}
+_open: dict[int, Bpe] = {}
 
 
-def vocabulary(path: str) -> Bpe:
-    """The vocabulary, once per worker."""
-    if path not in _open:
-        _open[path] = Bpe(path)
-    return _open[path]
+def vocabulary(data: bytes) -> Bpe:
+    """The vocabulary of a file's bytes, once per worker."""
+    mark = xxhash.xxh3_64_intdigest(data)
+    if mark not in _open:
+        _open[mark] = Bpe(data)
+    return _open[mark]
+
+
+def _shared(docs: DataFrame, path: str):
+    """The file's bytes, read on the driver and broadcast, so workers need no path to it."""
+    with open(path, "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -206,8 +213,10 @@ def encode_texts(docs: DataFrame, path: str, *, text: str = "text", ids: str = "
     empty table; other columns are carried along; columns named like the new ones are replaced.
     """
 
+    data = _shared(docs, path)
+
     def work(column: pa.Array) -> list[pa.Array]:
-        bpe = vocabulary(path)
+        bpe = vocabulary(data.value)
         rows = [bpe.encode(t or "") for t in column.to_pylist()]
         return [_lists(rows)] + ([pa.array([bpe.decode(r) for r in rows], pa.string())] if decoded else [])
 
@@ -215,10 +224,16 @@ def encode_texts(docs: DataFrame, path: str, *, text: str = "text", ids: str = "
 
 
 def decode_ids(rows: DataFrame, path: str, *, ids: str = "ids", text: str = "text", batch: int = 128) -> DataFrame:
-    """The columns of ``rows`` and ``text``, decoded from the array ``ids``; null ids give ``""``."""
+    """The columns of ``rows`` and ``text``, decoded from the array ``ids``.
+
+    Edge cases: null or empty ids give ``""``; ids that together are no UTF-8 give U+FFFD for the bad bytes; null
+    ids inside an array and ids that the vocabulary lacks raise; repeated rows are decoded each; an empty table
+    gives an empty table; other columns are carried along; a column named like the new one is replaced.
+    """
+    data = _shared(rows, path)
 
     def work(column: pa.Array) -> list[pa.Array]:
-        bpe = vocabulary(path)
+        bpe = vocabulary(data.value)
         return [pa.array([bpe.decode(np.array(r or [], np.uint32)) for r in column.to_pylist()], pa.string())]
 
     return _mapped(rows, {text: "string"}, ids, work, batch)
