@@ -1,6 +1,8 @@
 """Token counts and BPE against their libraries."""
 
 import hashlib
+import pathlib
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -8,7 +10,7 @@ from hypothesis import strategies as st
 
 from millrace.llm import queries as Q
 from millrace.llm.bpe import Bpe, decode_ids, encode_texts
-from millrace.llm.token_counts import Lengths, count_tokens
+from millrace.llm.token_counts import Lengths, count_tokens, frequent_lengths, pretokens, read_vocabulary
 
 PIECES, BYTES = Q.vocabulary_path("piece_bpe_32k.model"), Q.vocabulary_path("byte_bpe_50k.json")
 
@@ -31,7 +33,7 @@ def library():
 
 @pytest.fixture(scope="module")
 def own():
-    return Bpe(BYTES)
+    return Bpe(pathlib.Path(BYTES).read_bytes())
 
 
 def test_counts_of_whole_table(spark, sf_dir, pieces):
@@ -50,8 +52,18 @@ def test_counts_of_odd_rows(spark, odd_docs, keeps_columns, pieces):
     assert count_tokens(odd_docs.where("false"), PIECES).count() == 0
 
 
+def test_table_has_the_frequent_pretokens(spark, sf_dir, pieces):
+    """Over all rows, without a shuffle by pre-token: what moves is packed rows, one a task."""
+    docs = Q.table(spark, sf_dir, "documents").repartition(6)
+    seen = Counter(p for r in docs.collect() for p in pretokens(r.text or ""))
+    found = frequent_lengths(docs, read_vocabulary(PIECES), entries=300)
+    assert len(found) == 300 and len(set(found) & {p for p, _ in seen.most_common(300)}) > 270
+    assert all(n == len(pieces.encode(p[1:])) for p, n in found.items() if p != " ")
+    assert frequent_lengths(docs.where("false"), read_vocabulary(PIECES)) == {}
+
+
 def test_counts_of_random_texts(pieces, random_texts):
-    assert Lengths({}, PIECES).of(random_texts) == [len(pieces.encode(t)) for t in random_texts]
+    assert Lengths({}, read_vocabulary(PIECES)).of(random_texts) == [len(pieces.encode(t)) for t in random_texts]
 
 
 def test_bpe_of_whole_table(spark, sf_dir, library):
