@@ -3,7 +3,8 @@
 Two multinomials over hashed word n-grams are counted: one over every document, one over the trusted ones.
 A document's score is the mean log ratio of its n-grams (target over raw), so long and short texts compare.
 Everything is DataFrame functions: counting explodes n-grams and pre-aggregates by bucket, scoring is an
-array fold inside the row, so texts are never shuffled.
+array fold inside the row. Texts are not shuffled while the ids of trusted documents can be broadcast; with more
+ids, the texts of trusted documents are (others are held back by a bitmap of the ids), and no token array is.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.line_dedup import SPACE
-from millrace.llm.staging import small_side
+from millrace.llm.staging import is_small
 
 #: Words are runs of anything but these; these characters count as symbols.
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
@@ -23,6 +24,8 @@ TOKEN = "[\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_\\s]+"
 UNIT = 65536
 #: The number of buckets that n-grams are hashed to. It bounds the table of weights at any corpus size.
 BUCKETS = 16384
+#: Bits of the bitmap of trusted ids: 32 MB, the bound of what is broadcast of them. More bits would let fewer others pass.
+BITMAP = 1 << 28
 
 
 def _let(value: Column, body) -> Column:
@@ -88,17 +91,41 @@ def _shaped(docs: DataFrame, text: str, min_words: int = 50, repeat_percent: int
     return held.withColumn("base_failed", failed).drop("_words", "_windows", "_full")
 
 
+def _maybe_in(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``_k`` has its bit set in a bitmap of the ``_k`` of ``keys``: all that are in it, and few others."""
+    bit = F.pmod(F.xxhash64("_k"), F.lit(BITMAP))
+    maps = keys.select(bit.alias("_x")).groupBy(F.bitmap_bucket_number("_x").alias("_m")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_x")).alias("_bits"))
+    placed = docs.withColumn("_m", F.bitmap_bucket_number(bit)).withColumn("_at", F.bitmap_bit_position(bit))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return placed.join(F.broadcast(maps), "_m").where(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*docs.columns)
+
+
+def _grams(held: DataFrame, *carried: str) -> DataFrame:
+    """``_g``, the hash of each word and of each word pair of ``_w``, and the ``carried`` columns."""
+    pairs = held.select(*carried, F.inline(F.arrays_zip(F.col("_w").alias("a"), F.expr("slice(_w, 2, size(_w))").alias("b"))))
+    return pairs.select(*carried, F.explode(F.array(F.xxhash64("a"), F.when(F.col("b").isNotNull(), F.xxhash64("a", "b")))).alias("_g")).where("_g is not null")
+
+
 def ngram_weights(docs: DataFrame, trusted: DataFrame, *, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, smoothing: float = 1.0) -> DataFrame:
     """One row, ``weights``: for each bucket the log ratio of trusted to raw frequency, in units of 2**-16.
 
     Counts cover all of ``docs``; ``trusted`` has the keys of the trusted documents (repeated and null keys
     count once and never). The table has ``buckets`` entries whatever the size of the corpus.
+
+    Edge cases: null and empty texts have no n-grams; of repeated rows each counts, and all rows of a trusted key
+    do; without any n-gram, or without a trusted one, the frequencies are those of the smoothing alone.
     """
-    good = small_side(trusted.select(F.col(f"`{key}`").alias("_k")).where("_k is not null").distinct().withColumn("_good", F.lit(1)))
-    tokens = docs.select(F.col(f"`{key}`").alias("_k"), F.regexp_extract_all(F.col(f"`{text}`"), F.lit(TOKEN), F.lit(0)).alias("_w")).where(F.size("_w") > 0)
-    pairs = tokens.join(good, "_k", "left").select("_good", F.inline(F.arrays_zip(F.col("_w").alias("a"), F.expr("slice(_w, 2, size(_w))").alias("b"))))
-    grams = pairs.select("_good", F.explode(F.array(F.xxhash64("a"), F.when(F.col("b").isNotNull(), F.xxhash64("a", "b")))).alias("_g")).where("_g is not null")
-    counts = grams.groupBy(F.pmod("_g", F.lit(buckets)).alias("_b")).agg(F.count(F.lit(1)).alias("raw"), F.count("_good").alias("own"))
+    tokens = lambda df: df.select("_k", "_own", F.regexp_extract_all("_t", F.lit(TOKEN), F.lit(0)).alias("_w")).where(F.size("_w") > 0)
+    held = docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("_t"))
+    good = trusted.select(F.col(f"`{key}`").alias("_k")).where("_k is not null").distinct()
+    own = F.lit(1).alias("_own")
+    if is_small(good):
+        grams = _grams(tokens(held.join(F.broadcast(good.select("_k", own)), "_k", "left")), "_own").withColumn("_raw", F.lit(1))
+    else:
+        ours = _maybe_in(held, good).join(good, "_k", "left_semi")
+        every = _grams(tokens(held.withColumn("_own", F.lit(None).cast("int"))), "_own").withColumn("_raw", F.lit(1))
+        grams = every.unionByName(_grams(tokens(ours.select("*", own)), "_own").withColumn("_raw", F.lit(None).cast("int")))
+    counts = grams.groupBy(F.pmod("_g", F.lit(buckets)).alias("_b")).agg(F.count("_raw").alias("raw"), F.count("_own").alias("own"))
     # at most `buckets` rows from here on, folded as one array
     every = docs.sparkSession.range(buckets).select(F.col("id").alias("_b")).join(counts, "_b", "left").fillna(0, ["raw", "own"])
     one = every.agg(F.sort_array(F.collect_list(F.struct("_b", "raw", "own"))).alias("_e"), F.sum("raw").alias("_raw"), F.sum("own").alias("_own"))
@@ -112,6 +139,9 @@ def judge(docs: DataFrame, weights: list[int], *, text: str = "text", buckets: i
 
     ``weights`` has one number per bucket and enters as one constant array. A document is kept unless its base
     rules failed or its score is below ``threshold``; a score equal to it is kept.
+
+    Edge cases: a null or empty text has the score null and fails the base rules; repeated rows are judged each;
+    an empty table gives an empty table; columns named like the new ones are replaced, others carried along.
     """
     table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")  # folded once, when planned
     at = lambda *t: F.coalesce(F.get(table, F.pmod(F.xxhash64(*t), F.lit(buckets)).cast("int")), F.lit(0))

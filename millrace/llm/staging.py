@@ -47,17 +47,22 @@ class Stage:
             self.files.delete(self._files(f"{self.path}/{name}")[1], True)
 
 
-def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` bytes (BROADCAST_BYTES), else as it is for a shuffled join.
+def is_small(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether ``df`` has at most ``limit`` bytes (BROADCAST_BYTES).
 
     Asking reads rows only up to the limit. A column of another kind than those of WIDTHS, strings and binaries
-    has no known size, so then there is no hint.
+    has no known size, so then the answer is no.
     """
     limit = BROADCAST_BYTES if limit is None else limit
     kinds = [type(f.dataType) for f in df.schema]
-    measured = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)).cast("long") for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
     if any(k not in WIDTHS and not issubclass(k, (T.StringType, T.BinaryType)) for k in kinds):
-        return df
+        return False
     fixed = ROW + sum(WIDTHS.get(k, 8) for k in kinds)
-    own = df.limit(limit // fixed + 1).select(F.lit(fixed).cast("long") if not measured else sum(measured, F.lit(fixed).cast("long")))
-    return F.broadcast(df) if (own.toDF("_b").agg(F.sum("_b")).first()[0] or 0) <= limit else df
+    measured = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)).cast("long") for f in df.schema if type(f.dataType) not in WIDTHS]
+    sizes = df.limit(limit // fixed + 1).select(sum(measured, F.lit(fixed).cast("long")).alias("b"))
+    return (sizes.agg(F.sum("b")).first()[0] or 0) <= limit
+
+
+def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it ``is_small``, else as it is for a shuffled join."""
+    return F.broadcast(df) if is_small(df, limit) else df

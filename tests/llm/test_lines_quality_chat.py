@@ -12,7 +12,7 @@ from millrace.llm import staging
 from millrace.llm.chat_format import format_chats, read_chats
 from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.oracles import OP10
-from millrace.llm.quality_rules import apply_quality_rules
+from millrace.llm.quality_rules import _maybe_in, apply_quality_rules, ngram_weights
 from tests.llm.brute import brute_scores, brute_shape, key
 
 def test_lines_of_odd_rows(odd_docs, keeps_columns):
@@ -60,6 +60,18 @@ def test_quality_of_whole_table(spark, sf_dir):
         assert r.kept == (not r.base_failed and r.score >= -0.5)
 
 
+def test_weights_with_many_trusted_ids(spark, sf_dir, odd_docs, monkeypatch):
+    """The same weights whether the ids are broadcast or too many for that, also with null and repeated ids."""
+    docs, trusted = Q.table(spark, sf_dir, "documents"), Q.trusted(spark, sf_dir)
+    twice = docs.unionByName(docs.where("doc_id < 20")).unionByName(docs.where("doc_id < 9").withColumn("doc_id", F.lit(None).cast("long")))
+    cases = [(twice, trusted.unionByName(trusted).unionByName(spark.createDataFrame([(None,), (-5,)], "doc_id long"))), (odd_docs, trusted), (docs, trusted.where("false")), (docs.where("false"), trusted)]
+    small = [ngram_weights(d, t).first()[0] for d, t in cases]
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", -1)
+    assert [ngram_weights(d, t).first()[0] for d, t in cases] == small and len({tuple(w) for w in small}) == 4
+    few = _maybe_in(docs.withColumn("_k", F.col("doc_id")), trusted.withColumn("_k", F.col("doc_id"))).count()
+    assert trusted.count() <= few < trusted.count() + 5
+
+
 def test_quality_keeps_good_and_rejects_bad(spark, sf_dir):
     judged = Q.op2_quality_rules(spark, sf_dir).join(Q.table(spark, sf_dir, "labels"), "doc_id").collect()
     good = [r.kept for r in judged if r.quality == 1]
