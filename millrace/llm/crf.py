@@ -1,6 +1,6 @@
 """A linear-chain conditional random field in numpy: trained by likelihood, decoded by Viterbi in batches.
 
-A position has a fixed number of feature ids (0: none); its emission scores are the sum of their rows of
+A position has some feature ids (0: none); its emission scores are the sum of their rows of
 ``weights``. Sequences of a batch are padded to one length, and every step is an array operation over them.
 """
 
@@ -25,12 +25,12 @@ class FeatureIds:
         return found
 
 
-def pad(rows: list[np.ndarray], slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """Arrays (length, slots) of feature ids to (rows, longest, slots), and their lengths."""
+def pad(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays (length, slots) of feature ids to (rows, longest, most slots), and their lengths."""
     sizes = np.array([len(r) for r in rows], np.int64)
-    out = np.zeros((len(rows), int(sizes.max(initial=0)), slots), np.int64)
+    out = np.zeros((len(rows), int(sizes.max(initial=0)), max(r.shape[1] for r in rows)), np.int64)
     for k, r in enumerate(rows):
-        out[k, : len(r)] = r
+        out[k, : len(r), : r.shape[1]] = r
     return out, sizes
 
 
@@ -64,7 +64,7 @@ class LinearChainCrf:
 
     def _counts(self, rows: list[np.ndarray], tags: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         """Padded ids, lengths, which positions are real, and the true labels as 0 and 1."""
-        ids, sizes = pad(rows, rows[0].shape[1])
+        ids, sizes = pad(rows)
         real = np.arange(ids.shape[1])[None, :] < sizes[:, None]
         gold = np.zeros(real.shape, np.int64)
         for k, t in enumerate(tags):
@@ -107,7 +107,7 @@ class LinearChainCrf:
             longest = 2 * len(rows[order[at]]) + 8
             some = [k for k in order[at : at + max(1, min(batch, cells // longest))] if len(rows[k]) <= longest]
             at += len(some)
-            ids, sizes = pad([rows[k] for k in some], rows[some[0]].shape[1])
+            ids, sizes = pad([rows[k] for k in some])
             # a sequence longer than that has its emissions summed by parts
             e = np.concatenate([self.emissions(ids[:, t : t + cells]) for t in range(0, ids.shape[1], cells)], axis=1)
             for k, tags in zip(some, self._viterbi(e, sizes)):

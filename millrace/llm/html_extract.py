@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -26,29 +27,25 @@ from millrace.llm.crf import FeatureIds, LinearChainCrf
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
-#: Elements whose content is no text of the page:
-RAW = frozenset("script style textarea xmp iframe noembed noframes noscript template svg math object audio video canvas".split())
-TEXT_ONLY = frozenset("script style textarea xmp iframe noembed noframes title".split())
-#: Those of RAW that hold markup, so that they nest:
-NESTED = RAW - TEXT_ONLY
-FOREIGN = frozenset("svg math".split())
-#: Elements inside svg and math that hold HTML again, and start tags that end an open svg or math:
-HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
-BREAKOUT = frozenset(
-    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
-)
+#: Elements whose content is text alone, and no text of the page; and those whose markup is not shown, if they end:
+RAW = frozenset("script style textarea xmp iframe noembed noframes title".split())
+HIDDEN = frozenset("template noscript".split())
+#: Elements of drawings whose text stands by itself:
+DRAWN = frozenset("text title desc".split())
 #: Elements without an end tag, and start tags that end an open element of these names:
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tbody", "thead"), "tbody": ("thead", "tbody"), "tfoot": ("tbody",)}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>?|<(?=/?[a-zA-Z!?])[^<>]*\Z|<(/?)([a-zA-Z][^\s/<>]*)[^<>]*>""", re.S)
+#: Where a tag, comment or declaration may start; a tag without a < inside; a tag's name; a tag with a quote too many.
+START = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>"']*)((?:[^<>"']++|"[^"<]*"|'[^'<]*')*+)>""")
+TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+ODD_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)[^<>]*+(>?)")
 NAMES = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
-HAS_NESTED = re.compile(rf"<(?:{'|'.join(sorted(NESTED))})(?=[\s/>])", re.I)
-NOSCRIPT_END = re.compile(r"</noscript(?=[\s/>]|\Z)", re.I)
 UNQUOTED = re.compile(r"""=\s*[^\s"'>]+\Z""")
 
 
@@ -63,96 +60,132 @@ def raw_end(html: str, tag: str, at: int) -> int:
     return end.end() if end else len(html)
 
 
-def nested_ends(html: str) -> dict[int, int]:
-    """For each start tag of NESTED in the page: where reading goes on after the element.
+def hidden_end(html: str, tag: str, at: int) -> int:
+    """Where a hidden element ends: after the end tag that matches, else after the next one; -1 without any."""
+    depth, first = 1, -1
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>?", re.I).finditer(html, at):
+        depth += -1 if m[1] else 1
+        if m[1] and first < 0:
+            first = m.end()
+        if depth == 0 or (m[1] and tag == "noscript"):
+            return m.end()
+    return first
+
+
+class TagEnds:
+    """The > that ends a tag, not counting those in quotes, from any place of a page, in one pass from its end."""
+
+    def __init__(self, html: str):
+        found = [(m.start(), m[0]) for m in re.finditer("[>\"']", html)]
+        self.places, self.ends = [p for p, _ in found], [-1] * (len(found) + 1)
+        following: dict[str, int] = {}
+        for k in range(len(found) - 1, -1, -1):
+            place, c = found[k]
+            self.ends[k] = place if c == ">" else self.ends[following[c] + 1] if c in following else -1
+            following[c] = k
+
+    def after(self, at: int) -> int:
+        return self.ends[bisect_left(self.places, at)]
+
+
+def tags_of(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """The page's tags in order: start, end, whether it is an end tag, name, attributes. Comments and declarations have
+    no name. The reader may send the place to go on from. No character is passed more than a few times."""
+    at, ends = 0, None
+    while (start := START.search(html, at)) is not None:
+        at = start.start()
+        if start[0] == "<!--":
+            end = html.find("-->", start.end())
+            found = (at, end + 3 if end >= 0 else len(html), False, "", "")
+        elif start[0][1] in "!?":
+            end = html.find(">", start.end())
+            found = (at, end + 1 if end >= 0 else len(html), False, "", "")
+        elif (m := PLAIN_TAG.match(html, at)) is not None:
+            found = (at, m.end(), m[1] == "/", m[2].lower(), m[3])
+        else:
+            ends = ends or TagEnds(html)
+            name = TAG_NAME.match(html, at)
+            end = ends.after(name.end())
+            if end >= 0:
+                found = (at, end + 1, name[1] == "/", name[2].lower(), html[name.end() : end])
+            else:
+                m = ODD_TAG.match(html, at)
+                if not m[3] and m.end() < len(html):  # a < that starts nothing
+                    at += 1
+                    continue
+                # at the end of the page a tag that is broken off, else one with a quote too many
+                found = (at, m.end(), m[1] == "/", m[2].lower() if m[3] else "", "")
+        at = (yield found) or found[1]
+
+
+class Place:
+    """An open element: its tag and what it and those around it tell, which inner elements share."""
+
+    __slots__ = ("tag", "kinds", "near", "around")
+
+    def __init__(self, tag: str, words: list[str], outer: "Place | None"):
+        own = [KIND_OF[w] for w in words if w in KIND_OF]
+        self.tag = tag
+        self.kinds = (outer.kinds if outer else frozenset()).union(own) if own or not outer else outer.kinds
+        # the innermost element whose name tells something says most
+        self.near = own[-1] if own else outer.near if outer else "none"
+        self.around = (outer.around if outer else frozenset()) | {tag} if tag in TAGS or not outer else outer.around
 
-    That is after its end tag. Without one before an enclosing block ends, the element loses only what comes
-    before the next tag of a block; svg and math also end at the start tags that HTML lets break out of them.
-    """
-    ends: dict[int, int] = {}
-    # open elements: name, start, where the next block tag stands, whether their content is that of svg or math
-    stack: list[list] = []
-    open_names: dict[str, int] = {}
-    waiting: list[list] = []
-    last_noscript = max((x.start() for x in NOSCRIPT_END.finditer(html)), default=-1)
-
-    def close(size: int, end: int | None = None) -> None:
-        while len(stack) > size:
-            entry = stack.pop()
-            open_names[entry[0]] -= 1
-            if entry[0] in NESTED:
-                ends[entry[1]] = end if end is not None and len(stack) == size else entry[2] if entry[2] is not None else len(html)
-
-    def reach(place: int) -> None:
-        for entry in waiting:
-            entry[2] = place
-        waiting.clear()
-
-    def foreign() -> bool:
-        return bool(stack) and stack[-1][3]
-
-    at = 0
-    while (m := TOKEN.search(html, at)) is not None:
-        at = m.end()
-        tag, attributes = (m[2] or m[5] or "").lower(), m[3] or ""
-        if not tag:
-            continue
-        ending = bool(m[1] or m[4])
-        if foreign() and (tag in ("p", "br") if ending else tag in BREAKOUT):
-            reach(m.start())
-            size = len(stack)
-            while size and stack[size - 1][3]:
-                size -= 1
-            close(size)
-        if tag in BLOCK and not (tag == "title" and (foreign() or ending)):
-            reach(m.start())
-        if ending:
-            if open_names.get(tag):
-                size = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag)
-                close(size, at)
-            continue
-        if foreign():
-            if closed_by_slash(attributes) or not (tag in HOLDS_HTML or tag in FOREIGN or tag in TEXT_ONLY):
-                continue
-        if tag in TEXT_ONLY and not (tag == "title" and foreign()):
-            at = raw_end(html, tag, at)
-            continue
-        if tag == "noscript" and at <= last_noscript:
-            ends[m.start()] = at = raw_end(html, tag, at)
-            continue
-        if tag in FOREIGN and closed_by_slash(attributes):
-            ends[m.start()] = at
-            continue
-        if tag in NESTED or (tag in BLOCK and tag != "hr") or (tag in HOLDS_HTML and foreign()):
-            entry = [tag, m.start(), None, tag in FOREIGN]
-            stack.append(entry)
-            open_names[tag] = open_names.get(tag, 0) + 1
-            if tag in NESTED:
-                waiting.append(entry)
-    close(0)
-    return ends
+
+class Open:
+    """The open block elements. Finding one by name, or the innermost that bounds a search, takes one step."""
+
+    BOUNDS = frozenset("ul ol table dl div td th article section".split())
+
+    def __init__(self):
+        self.stack: list[Place] = []
+        self.where: dict[str, list[int]] = {}
+        self.bounds: list[int] = []
+
+    def push(self, tag: str, words: list[str]) -> None:
+        self.where.setdefault(tag, []).append(len(self.stack))
+        if tag in self.BOUNDS:
+            self.bounds.append(len(self.stack))
+        self.stack.append(Place(tag, words, self.stack[-1] if self.stack else None))
+
+    def cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            tag = self.stack.pop().tag
+            self.where[tag].pop()
+            if tag in self.BOUNDS:
+                self.bounds.pop()
+
+    def end(self, tag: str) -> None:
+        if self.where.get(tag):
+            self.cut(self.where[tag][-1])
+
+    def start(self, tag: str) -> None:
+        """A start tag of a block ends an open paragraph, and list items and cells end their like."""
+        last = max((self.where[t][-1] for t in ("p", *CLOSES.get(tag, ())) if self.where.get(t)), default=-1)
+        if last >= (self.bounds[-1] if self.bounds else 0):
+            self.cut(last)
 
 
 class Block:
-    __slots__ = ("text", "tags", "names", "link")
+    __slots__ = ("text", "place", "link")
 
-    def __init__(self, text: str, tags: tuple[str, ...], names: tuple[str, ...], link: float):
-        self.text, self.tags, self.names, self.link = text, tags, names, link
+    def __init__(self, text: str, place: Place, link: float):
+        self.text, self.place, self.link = text, place, link
 
 
 def leaf_blocks(html: str) -> list[Block]:
     """The page's blocks that have text, in page order, with white space as single spaces."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    opened, outside = Open(), Place("none", [], None)
     parts: list[str] = []
-    linked = 0
-    anchors = 0
+    linked = anchors = drawings = 0
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, tuple(t for t, _ in stack), tuple(w for _, names in stack for w in names), linked / max(1, sum(map(len, parts)))))
+            out.append(Block(text, opened.stack[-1] if opened.stack else outside, linked / max(1, sum(map(len, parts)))))
         parts.clear()
         linked = 0
 
@@ -162,59 +195,60 @@ def leaf_blocks(html: str) -> list[Block]:
         if anchors:
             linked += len(piece)
 
-    ends = nested_ends(html) if HAS_NESTED.search(html) else {}
-    at, size = 0, len(html)
-    while at < size:
-        m = TOKEN.search(html, at)
-        if m is None:
+    at, reader, go_on = 0, tags_of(html), None
+    while True:
+        try:
+            start, end, ending, tag, attributes = reader.send(go_on)
+        except StopIteration:
             put(html[at:])
             break
-        if m.start() > at:
-            put(html[at : m.start()])
-        at = m.end()
-        # the last way of the pattern takes tags with an odd quote
-        tag, attributes = (m[2] or m[5] or "").lower(), m[3] or ""
+        go_on = None
+        if start > at:
+            put(html[at:start])
+        at = end
         if not tag:
             continue
-        if not (m[1] or m[4]):
-            if tag in RAW or tag == "title":
-                at = raw_end(html, tag, at) if tag in TEXT_ONLY else ends.get(m.start(), at)
-                if tag == "title":
-                    flush()
-                continue
-            if tag in BLOCK:
-                flush()
-                if tag != "hr":
-                    # a start tag of a block ends an open paragraph, and list items and cells end their like
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == "p" or stack[k][0] in CLOSES.get(tag, ()):
-                            del stack[k:]
-                            break
-                        if stack[k][0] in ("ul", "ol", "table", "dl", "div", "td", "th", "article", "section"):
-                            break
-            elif tag in ("br", "wbr"):
-                parts.append(" " if tag == "br" else "")
+        if drawings and tag in DRAWN:
+            parts.append(" ")
+        elif ending:
             if tag == "a":
-                anchors = 1
-            if tag in VOID or (attributes.endswith("/") and tag not in BLOCK):
-                continue
-            if tag in BLOCK:
-                names = []
-                for key, *values in NAMES.findall(attributes):
-                    value = "".join(values)
-                    if key.lower() in ("hidden", "aria-hidden"):
-                        names += [] if value.lower() == "false" else ["hidden"]
-                    else:
-                        names += WORDS.findall(CAMEL.sub(" ", value).lower())
-                stack.append((tag, tuple(names)))
+                anchors = 0
+            elif tag == "svg":
+                drawings = max(0, drawings - 1)
+            elif tag in BLOCK:
+                flush()
+                opened.end(tag)
+        elif tag in RAW:
+            # in a drawing a slash ends such an element, elsewhere it says nothing
+            if not (drawings and closed_by_slash(attributes)):
+                at = go_on = raw_end(html, tag, at)
+            if tag == "title":
+                flush()
+        elif tag in HIDDEN:
+            past = -1 if tag in endless else hidden_end(html, tag, at)
+            if past < 0:
+                endless.add(tag)
+            else:
+                at = go_on = past
+        elif tag == "svg":
+            drawings += not closed_by_slash(attributes)
+        elif tag == "br":
+            parts.append(" ")
         elif tag == "a":
-            anchors = 0
+            anchors = 1
         elif tag in BLOCK:
             flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if tag == "hr":
+                continue
+            opened.start(tag)
+            words = []
+            for key, *values in NAMES.findall(attributes):
+                value = "".join(values)
+                if key.lower() in ("hidden", "aria-hidden"):
+                    words += [] if value.lower() == "false" else ["hidden"]
+                else:
+                    words += WORDS.findall(CAMEL.sub(" ", value).lower())
+            opened.push(tag, words)
     flush()
     return out
 
@@ -236,28 +270,29 @@ NAME_WORDS = {
 KIND_OF = {w: kind for kind, words in reversed(NAME_WORDS.items()) for w in words}
 NOTICE_TEXT = re.compile(r"(?i)cookie|subscribe|newsletter|sign up|log ?in|advert|sponsored|all rights reserved|©|copyright|terms of|privacy|skip to|read more|share (?:this|on)|related|leave a (?:comment|reply)|posted by|\breply\b")
 TAGS = ("article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "table", "dl", "figure", "blockquote", "pre", "menu", "select", "dialog", "details", "search")
-SLOTS = 18
+#: Characters of text for each word of NOTICE_TEXT up to which a block reads like a notice.
+NOTICE_EVERY = 160
 
 
 def block_features(blocks: list[Block], ids: FeatureIds) -> np.ndarray:
-    """Feature ids (blocks, SLOTS) from ancestor tags, names and text."""
-    rows = np.zeros((len(blocks), SLOTS), np.int64)
-    for k, b in enumerate(blocks):
-        own = b.tags[-1] if b.tags else "none"
-        kinds = sorted({KIND_OF[w] for w in b.names if w in KIND_OF})
-        tags = [t for t in TAGS if t in b.tags]
+    """Feature ids (blocks, as many as the block with most has) from ancestor tags, names and the whole text."""
+    found = []
+    for b in blocks:
+        own, around = b.place.tag, b.place.around
+        kinds = sorted(b.place.kinds)
+        tags = [t for t in TAGS if t in around]
         ends = b.text[-1] in ".!?…:;\"”»)"
         link = "all" if b.link > 0.8 else "much" if b.link > 0.3 else "some" if b.link > 0 else "none"
         size = min(6, len(b.text).bit_length() // 2 + (len(b.text) > 1024))
-        names = ["bias", f"own={own}", f"link={link}", f"size={size}", f"end={ends}", f"link={link} size={size}", f"within={'article' in b.tags or 'main' in b.tags}"]
-        # the innermost element whose name tells something says most
-        near = next((KIND_OF[w] for w in reversed(b.names) if w in KIND_OF), "none")
-        names += [f"near={near}"] + [f"kind={x}" for x in kinds][:4] + ["note"] * bool(NOTICE_TEXT.search(b.text[:200]))
-        names += [f"in={t}" for t in tags][:5]
+        names = ["bias", f"own={own}", f"link={link}", f"size={size}", f"end={ends}", f"link={link} size={size}", f"within={'article' in around or 'main' in around}"]
+        names += [f"near={b.place.near}"] + [f"kind={x}" for x in kinds] + ["note"] * (NOTICE_EVERY * len(NOTICE_TEXT.findall(b.text)) >= len(b.text))
+        names += [f"in={t}" for t in tags]
         if not kinds and not tags:
             names.append(f"bare own={own} end={ends}")
-        found = [ids(n) for n in names[:SLOTS]]
-        rows[k, : len(found)] = found
+        found.append([ids(n) for n in names])
+    rows = np.zeros((len(found), max(map(len, found), default=1)), np.int64)
+    for row, own in zip(rows, found):
+        row[: len(own)] = own
     return rows
 
 
@@ -385,10 +420,12 @@ def extract_main_text(pages: DataFrame, *, html: str = "html", text: str = "text
     """The columns of ``pages`` without ``html``, and ``text``: the main blocks joined by newlines.
 
     Character references are decoded, white space (as Python's ``str.split`` sees it) inside a block is one
-    space. Edge cases: null, empty and text-free pages give ``""``; pages that break off in a tag, a comment or
-    an element of plain text (such as script) lose only that; an svg, math, object, audio, video, canvas or template
-    without its end tag loses only what comes before the next block; repeated rows are read each; blocks are never capped or dropped for their length; an empty
-    table gives an empty table; a column named like the new one is replaced.
+    space. Formulas, drawings and what stands in for objects, audio, video and canvas are markup like any other;
+    template and noscript are not shown, nor is the content of script, style, textarea, iframe and the page's title.
+    Edge cases: null, empty and text-free pages give ``""``; pages that break off in a tag, a comment or an element
+    of plain text (such as script) lose only that; a template or noscript without its end tag loses nothing;
+    repeated rows are read each; blocks are never capped or dropped for their length; an empty table gives an
+    empty table; a column named like the new one is replaced.
     """
     kept = [c for c in pages.columns if c not in (html, text)]
     model = pages.sparkSession.sparkContext.broadcast(trained())
