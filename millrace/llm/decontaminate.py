@@ -2,9 +2,9 @@
 
 A mask picks some word positions of a window and ignores the others, so a seed still matches when an ignored
 word was replaced. Seeds of the test items and of the documents are joined by hash, and each hit's diagonal is
-verified word by word. The two masks together have a seed in every window of 13 words with up to two
-substitutions, and the masks of shorter items one for every placement of the substitutions that their length
-allows, so within its definition the search is exact.
+verified word by word. The masks for items of a length have a seed for every placement of the substitutions that
+the length allows (for 13 words and more: in every window of 13 words with up to two), so within its definition
+the search is exact.
 
 The test side is joined in blocks of bounded size, each broadcast and probed while the documents stream by;
 the documents are never shuffled.
@@ -25,11 +25,16 @@ from pyspark.sql import functions as F
 from millrace.llm.shingles import window_hashes
 from millrace.llm.staging import small_side
 
-#: Masks as offsets of the words that count. The other sets are for items shorter than WINDOW; of 10 or 11 words
-#: with two replaced, no four in a row need be left, but then the second of GAP_MASKS fits.
-MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
-SHORT_MASKS = ((0, 1, 2, 3),)
-GAP_MASKS = ((0, 1, 2, 3), (0, 1, 3, 4))
+#: Masks as offsets of the words that count, with the lengths of the items that they serve.
+MASKS = (
+    ((0, 1, 3), 4, 5),
+    ((0, 1, 2, 4), 5, 13),
+    ((0, 1, 4, 5), 8, 13),
+    ((0, 1, 2, 4, 6, 7), 13, None),
+    ((0, 1, 3, 6, 7, 8), 13, None),
+)
+#: Pairs of equal seeds, diagonals, and words beside words that are held at once.
+PAIRS, DIAGONALS, CELLS = 1_000_000, 2_000_000, 1_000_000
 #: Words of a window, the share of them that must agree, and the fewest words of an item that may differ.
 WINDOW, SHARE, LEAST = 13, 0.8, 8
 #: Words of test items in one broadcast block: about 20 MB of seeds.
@@ -64,9 +69,9 @@ class Seeds:
     @classmethod
     def of(cls, ids: list, words: list[np.ndarray]) -> "Seeds":
         tables = []
-        for masks, low, high in ((MASKS, WINDOW, 2**62), (SHORT_MASKS, 4, 10), (GAP_MASKS, 10, 12), (SHORT_MASKS, 12, WINDOW)):
-            own = [k for k, w in enumerate(words) if low <= len(w) < high]
-            for mask in masks if own else ():
+        for mask, low, high in MASKS:
+            own = [k for k, w in enumerate(words) if low <= len(w) and (high is None or len(w) < high)]
+            if own:
                 seeds = [window_hashes(words[k], mask) for k in own]
                 h = np.concatenate(seeds)
                 item = np.repeat(np.array(own), [len(s) for s in seeds])
@@ -77,37 +82,73 @@ class Seeds:
                 tables.append((mask, h[order], item[order], place[order], marks))
         return cls(ids, words, tables)
 
-    def overlaps(self, doc: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """For each item found: item, first word in the document and in the item, words, and how many agree."""
-        diagonals: set[tuple[int, int]] = set()
+    def _diagonals(self, doc: np.ndarray) -> Iterator[np.ndarray]:
+        """Distinct diagonals with an equal seed, as item * 2**40 + diagonal + 2**39, in parts of bounded size."""
+        held, many = [], 0
         for mask, seeds, item, place, marks in self.tables:
             h = window_hashes(doc, mask)
             at = np.flatnonzero(marks[(h >> np.uint64(64 - BITS)).astype(np.int64)])
-            if not len(at):
-                continue
             low, high = np.searchsorted(seeds, h[at], "left"), np.searchsorted(seeds, h[at], "right")
-            size = high - low
-            if not size.any():
-                continue
-            rows = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            diagonals |= set(zip(item[rows].tolist(), (np.repeat(at, size) - place[rows]).tolist()))
-        best: dict[int, tuple[int, int, int, int, int]] = {}
-        for k, d in sorted(diagonals):
-            own = self.words[k]
-            start, end = max(0, -d), min(len(own), len(doc) - d)
-            length, needed = window_of(len(own))
-            if end - start < length:
-                continue
-            equal = own[start:end] == doc[start + d : end + d]
-            total = np.concatenate([[0], np.cumsum(equal)])
-            good = np.flatnonzero(total[length:] - total[:-length] >= needed)
-            if len(good):
-                first, stop = int(good[0]), int(good[-1]) + length
-                found = (k, start + first + d, start + first, stop - first, int(total[stop] - total[first]))
-                if k not in best or found[4] > best[k][4]:
+            at, low, size = at[high > low], low[high > low], (high - low)[high > low]
+            ends = np.cumsum(size)
+            begin = 0
+            while begin < len(at):
+                done = int(ends[begin - 1]) if begin else 0
+                stop = max(begin + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+                own, first, n = size[begin:stop], low[begin:stop], ends[begin:stop] - done
+                rows = np.repeat(first - (n - own), own) + np.arange(n[-1])
+                held.append(np.unique((item[rows] << 40) + (np.repeat(at[begin:stop], own) - place[rows]) + (1 << 39)))
+                many += len(held[-1])
+                begin = stop
+                if many > DIAGONALS:
+                    held = [np.unique(np.concatenate(held))]
+                    many = len(held[0])
+                    if many > DIAGONALS:
+                        yield held[0]
+                        held, many = [], 0
+        if held:
+            yield np.unique(np.concatenate(held))
+
+    def overlaps(self, doc: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """For each item found: item, first word in the document and in the item, words, and how many agree."""
+        best: dict[int, tuple] = {}
+        for codes in self._diagonals(doc):
+            items, starts = np.unique(codes >> 40, return_index=True)
+            for k, own in zip(items.tolist(), np.split(codes, starts[1:])):
+                found = self._verified(k, doc, (own & ((1 << 40) - 1)) - (1 << 39))
+                # of most equal words, then the first
+                if found and (k not in best or (-found[4], found[1] - found[2]) < (-best[k][4], best[k][1] - best[k][2])):
                     best[k] = found
         return [best[k] for k in sorted(best)]
 
+    def _verified(self, k: int, doc: np.ndarray, diagonals: np.ndarray) -> tuple[int, int, int, int, int] | None:
+        """The best overlap of an item on some sorted diagonals (word of the document less word of the item)."""
+        own, found = self.words[k], None
+        length, needed = window_of(len(own))
+        step = max(1, CELLS // len(own))
+        for at in range(0, len(diagonals), step):
+            d = diagonals[at : at + step, None]
+            low, high = max(0, int(-d[-1, 0])), min(len(own), int(len(doc) - d[0, 0]))
+            if high - low < length:
+                continue
+            i = np.arange(low, high)
+            equal = (own[low:high] == doc[np.clip(i + d, 0, len(doc) - 1)]) & (i + d >= 0) & (i + d < len(doc))
+            total = np.zeros((len(d), high - low + 1), np.int32)
+            np.cumsum(equal, axis=1, out=total[:, 1:])
+            # windows of the item that lie inside the document and agree well enough
+            good = (total[:, length:] - total[:, :-length] >= needed) & (i[: high - low - length + 1] >= -d) & (i[length - 1 :] < len(doc) - d)
+            rows = np.flatnonzero(good.any(axis=1))
+            if not len(rows):
+                continue
+            first = good[rows].argmax(axis=1)
+            stop = good.shape[1] - 1 - good[rows, ::-1].argmax(axis=1) + length
+            agree = total[rows, stop] - total[rows, first]
+            q = int(agree.argmax())
+            if found is None or agree[q] > found[4]:
+                start = low + int(first[q])
+                found = (k, start + int(d[rows[q], 0]), start, int(stop[q] - first[q]), int(agree[q]))
+        return found
+
 
 def _blocks(benchmark: DataFrame, text: str, block_words: int) -> Iterator[Seeds]:
     """The distinct test texts in blocks of at most ``block_words`` words each (or one text), fetched and given one
@@ -169,7 +210,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, item: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` that overlap with no test item, as ``find_overlaps`` defines it, with all columns.
 
-    Rows with null or empty texts stay.
+    Edge cases: rows with null or empty texts stay, whatever their id; repeated rows are judged each, by their
+    whole texts; without items all rows stay; an empty table gives an empty table; all columns are carried along.
     """
     place = docs.columns.index(text)
     for seeds in _blocks(benchmark, text, block_words):

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -146,6 +147,41 @@ def test_overlaps_at_every_placement_of_changes(n):
             assert bool(seeds.overlaps(plain_words(doc))) == brute_overlap(doc, " ".join(item)), places
 
 
+def test_masks_are_spaced():
+    for mask, low, high in decontaminate.MASKS:
+        assert mask[-1] + 1 > len(mask) and mask[0] == 0 and low > mask[-1] and (high or 14) > low
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_overlaps_of_repetitive_texts(monkeypatch, seed):
+    """Few words, many equal seeds: every overlap is found, in parts of any size, and the same one is chosen."""
+    rng = random.Random(seed)
+    items = [" ".join(rng.choice("abc"[: rng.randint(1, 3)]) for _ in range(rng.randint(3, 40))) for _ in range(25)]
+    seeds = Seeds.of(list(range(25)), [plain_words(t) for t in items])
+    for _ in range(12):
+        doc = " ".join(rng.choice("abcde"[: rng.randint(1, 5)]) for _ in range(rng.randint(1, 90)))
+        found = seeds.overlaps(plain_words(doc))
+        assert {x[0] for x in found} == {k for k, t in enumerate(items) if brute_overlap(doc, t)}
+        with monkeypatch.context() as small:
+            for name in ("PAIRS", "DIAGONALS", "CELLS"):
+                small.setattr(decontaminate, name, 7)
+            assert seeds.overlaps(plain_words(doc)) == found
+        for k, start, own, n, agree in found:
+            d, b = doc.split()[start : start + n], items[k].split()[own : own + n]
+            assert len(d) == len(b) == n and sum(x == y for x, y in zip(d, b)) == agree
+
+
+def test_a_long_repetitive_text_takes_little_memory():
+    import tracemalloc
+
+    seeds = Seeds.of([0], [plain_words("ha " * 400)])
+    doc = plain_words("ha " * 40_000)
+    tracemalloc.start()
+    assert seeds.overlaps(doc) == [(0, 0, 0, 400, 400)]
+    assert tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
+
+
 def test_blocks_are_bounded(spark):
     texts = [f"a{k} b{k} c{k} d{k} e{k}" for k in range(30)]
     bench = spark.createDataFrame([*enumerate(texts), *((100 + k, texts[3]) for k in range(200))], "item_id long, text string")
@@ -164,11 +200,23 @@ def test_overlaps_of_odd_rows(spark, odd_docs):
 
 
 def test_decontamination_query(spark, sf_dir):
+    """All documents and items of the table, whole, against word by word comparison."""
     docs, bench = (Q.table(spark, sf_dir, t).collect() for t in ("documents", "benchmark"))
-    want = {(d.doc_id, b.item_id) for d in docs if len(d.text) < 4000 for b in bench if b.text.split()[5] in d.text and brute_overlap(d.text, b.text)}
-    short = {d.doc_id for d in docs if len(d.text) < 4000}
-    found = {(r.doc_id, r.item_id) for r in Q.op8_decontamination(spark, sf_dir).collect() if r.doc_id in short}
-    assert want and want <= found and all(brute_overlap(docs[d].text, bench[i].text) for d, i in found)
+    plain = lambda t: re.sub(r"[!-/:-@\[-`{-~]", "", (t or "").lower()).encode().split()
+    code = {w: k for k, w in enumerate({w for r in (*docs, *bench) for w in plain(r.text)})}
+    numbers = lambda t: np.array([code[w] for w in plain(t)], np.int64)
+    want, items = set(), {b.item_id: numbers(b.text) for b in bench}
+    assert min(map(len, items.values())) >= 13
+    for d in docs:
+        own = numbers(d.text)
+        for i, item in items.items():
+            if len(own) >= 13:
+                equal = own[:, None] == item[None, :]
+                runs = sum(equal[k : len(own) - 12 + k, k : len(item) - 12 + k].astype(np.int8) for k in range(13))
+                if runs.max() >= 11:
+                    want.add((d.doc_id, i))
+    found = [(r.doc_id, r.item_id) for r in Q.op8_decontamination(spark, sf_dir).collect()]
+    assert set(found) == want and len(found) == len(want) > 0
 
 
 def test_pipeline_against_brute_force(spark, sf_dir):
