@@ -35,11 +35,19 @@ def pad(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LinearChainCrf:
-    """``weights`` (features, labels), ``moves`` (from, to), ``starts`` and ``ends`` (labels)."""
+    """``weights`` (features, labels), ``moves`` (from, to), ``starts`` and ``ends`` (labels).
 
-    def __init__(self, features: int, labels: int):
+    ``barred``: moves that no sequence makes; row -1 has the labels that none starts with.
+    """
+
+    def __init__(self, features: int, labels: int, barred: np.ndarray | None = None):
         self.weights = np.zeros((features, labels))
         self.moves, self.starts, self.ends = np.zeros((labels, labels)), np.zeros(labels), np.zeros(labels)
+        self.barred = np.zeros((labels + 1, labels), bool) if barred is None else barred
+        self._bar()
+
+    def _bar(self) -> None:
+        self.moves[self.barred[:-1]] = self.starts[self.barred[-1]] = -1e4
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
         return self.weights[ids].sum(axis=-2)
@@ -60,18 +68,22 @@ class LinearChainCrf:
                 g = g / len(rows) - decay * p
                 q += g * g
                 p += rate * g / np.sqrt(q)
+            self._bar()
         return self
 
-    def _counts(self, rows: list[np.ndarray], tags: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        """Padded ids, lengths, which positions are real, and the true labels as 0 and 1."""
+    def _counts(self, rows: list[np.ndarray], tags: list[np.ndarray]) -> tuple:
+        """Padded ids, lengths, which positions are real, the true labels as 0 and 1, and where each feature is used."""
         ids, sizes = pad(rows)
         real = np.arange(ids.shape[1])[None, :] < sizes[:, None]
         gold = np.zeros(real.shape, np.int64)
         for k, t in enumerate(tags):
             gold[k, : len(t)] = t
-        return ids, sizes, real, np.eye(len(self.starts))[gold] * real[..., None]
+        # feature ids in order, where each id starts, and the position that each stands at
+        order = np.argsort(ids, axis=None, kind="stable")
+        names, starts = np.unique(ids.ravel()[order], return_index=True)
+        return ids, sizes, real, np.eye(len(self.starts))[gold] * real[..., None], (names, starts, order // ids.shape[2])
 
-    def _gradient(self, ids: np.ndarray, sizes: np.ndarray, real: np.ndarray, hot: np.ndarray, grads: list[np.ndarray]) -> None:
+    def _gradient(self, ids: np.ndarray, sizes: np.ndarray, real: np.ndarray, hot: np.ndarray, uses: tuple[np.ndarray, ...], grads: list[np.ndarray]) -> None:
         """Add what the sequences say: true minus expected counts, by the forward-backward algorithm."""
         n, longest, labels = hot.shape
         last = np.arange(n), sizes - 1
@@ -89,8 +101,8 @@ class LinearChainCrf:
         total = lse(forward[last] + self.ends, 1)
         missing = hot - np.exp(forward + backward - total[:, None, None]) * real[..., None]
         pairs = np.exp(forward[:, :-1, :, None] + self.moves + (e[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None]) * real[:, 1:, None, None]
-        for slot in range(ids.shape[2]):
-            np.add.at(grads[0], ids[..., slot].ravel(), missing.reshape(-1, labels))
+        names, starts, places = uses
+        grads[0][names] += np.add.reduceat(missing.reshape(-1, labels)[places], starts, axis=0)
         grads[1] += np.einsum("nta,ntb->ab", hot[:, :-1], hot[:, 1:]) - pairs.sum(axis=(0, 1))
         grads[2] += missing[:, 0].sum(axis=0)
         grads[3] += missing[last].sum(axis=0)

@@ -1,8 +1,8 @@
 """Personal data: fixed patterns, and a linear-chain CRF over word shapes for what the patterns miss.
 
 The patterns are matched on whole texts in linear time. The field reads segments: the surroundings of every
-digit, @ sign and spelled-out at or dot of the text. It finds, for instance, addresses written with (at) and
-(dot), national phone numbers, and numbers that a pattern skipped because of what stands next to them. What it
+digit, @ sign and spelled-out at or dot of the text. It finds, for instance, addresses like maria (at) firma (dot) de
+or anna at mail dot com, national phone numbers like 0170-1234567 or 0711/1234567, and numbers that a pattern skipped because of what stands next to them. What it
 labels counts only if it also is a well-formed item of its kind and does not touch another span.
 """
 
@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -75,8 +77,10 @@ TRIGGER = re.compile(r"[0-9@]+|[\[({<]\s?(?:at|AT|dot|DOT)\s?[\])}>]|(?<=\s)(?:d
 AROUND = 28
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
 #: Words that tell what a number next to them is.
-CUES = {"mail": "email", "email": "email", "mailto": "email", "at": "at", "dot": "dot", "phone": "phone", "tel": "phone", "telefon": "phone", "mobile": "phone", "call": "phone", "fax": "phone", "whatsapp": "phone", "ip": "ip", "host": "ip", "server": "ip", "ping": "ip", "card": "card", "visa": "card", "mastercard": "card", "amex": "card", "order": "other", "invoice": "other", "isbn": "other", "page": "other", "version": "other", "total": "other", "id": "other", "token": "other"}
-SLOTS = 13
+CUES = {"mail": "email", "email": "email", "mailto": "email", "correo": "email", "courriel": "email", "at": "at", "dot": "dot", "phone": "phone", "tel": "phone", "telefon": "phone", "telephone": "phone", "téléphone": "phone", "teléfono": "phone", "mobile": "phone", "mobil": "phone", "handy": "phone", "cell": "phone", "call": "phone", "fax": "phone", "whatsapp": "phone", "ip": "ip", "host": "ip", "server": "ip", "ping": "ip", "card": "card", "visa": "card", "mastercard": "card", "amex": "card", "order": "other", "invoice": "other", "isbn": "other", "page": "other", "version": "other", "total": "other", "id": "other", "token": "other"}
+CUES |= dict.fromkeys("com org net edu gov info io eu uk de fr es it nl ch at pl ru".split(), "top") | {"at": "at"}
+#: Features of a token, and the tokens before and after it in which an at or dot is sought.
+SLOTS, REACH = 20, 8
 
 
 def tokens_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -134,7 +138,7 @@ def _around(text: str) -> list[list[int]]:
 def shape(token: str) -> str:
     first = token[0]
     if "0" <= first <= "9":
-        return f"9{min(len(token), 20)}"
+        return f"{'0' if first == '0' else '9'}{min(len(token), 20)}"
     if first.isspace():
         return "\n" if "\n" in token else " "
     if first.isalpha():
@@ -146,22 +150,67 @@ def shape(token: str) -> str:
     return first if first in "@.-_+()[]{}<>,:;/#%$*&=\"'|!?" else "~"
 
 
-def features(shapes: list[str], ids: FeatureIds) -> np.ndarray:
+#: Shapes of a spelled or written at and dot; what may stand between the digits of one number.
+SPELLS = frozenset(("cue at", "cue dot", "@"))
+BETWEEN = frozenset(" ().-/+")
+
+
+def number_runs(tokens: list[str]) -> list[tuple[str, ...]]:
+    """For each token what the run of digits, single spaces and ``().-/+`` that it is in looks like as a whole: how many
+    digits in how many groups, how it begins, what parts its groups, and the place of the token in it."""
+    out: list[tuple[str, ...]] = [("run",)] * len(tokens)
+    at = 0
+    while at < len(tokens):
+        if not (tokens[at] in BETWEEN or "0" <= tokens[at][0] <= "9"):
+            at += 1
+            continue
+        end = at
+        while end < len(tokens) and (tokens[end] in BETWEEN or "0" <= tokens[end][0] <= "9"):
+            end += 1
+        groups = [k for k in range(at, end) if tokens[k][0].isdigit()]
+        if groups:
+            first, digits = tokens[groups[0]], sum(len(tokens[k]) for k in groups)
+            sign = tokens[groups[0] - 1] if groups[0] > at and tokens[groups[0] - 1] in "(+" else ""
+            lead = sign + ("00" if first[:2] == "00" else "0" if first[0] == "0" else "1" if first == "1" else "9")
+            parts = "".join(sorted({tokens[k] for k in range(groups[0], groups[-1]) if tokens[k] in BETWEEN}))
+            sizes = "-".join(str(min(len(tokens[k]), 9)) for k in groups) if len(groups) < 7 else "many"
+            n, many = min(digits, 20), min(len(groups), 9)
+            for k in range(at, end):
+                out[k] = ("run in", f"{n}", f"{n} {lead}", f"{lead} {parts} {many}", f"{lead} {sizes}")
+            for k in (*range(at, groups[0] - len(sign)), *range(groups[-1] + 1, end)):
+                out[k] = ("run end",)
+        at = end
+    return out
+
+
+def features(tokens: list[str], ids: FeatureIds) -> np.ndarray:
+    shapes, runs = [shape(t) for t in tokens], number_runs(tokens)
     n = len(shapes)
     ext = ["^", "^", "^", *shapes, "$", "$", "$"]
     rows = np.zeros((n, SLOTS), np.int64)
+    # the last at or dot before a token, and the next two after it, where near
+    before, after, last, ahead = ["-"] * n, ["-"] * n, (-REACH - 1, "-"), []
+    for k, x in enumerate(shapes):
+        before[k] = last[1] if k - last[0] <= REACH else "-"
+        last = (k, x) if x in SPELLS else last
+    for k in range(n - 1, -1, -1):
+        after[k] = "".join(x[-1] for q, x in ahead if q - k <= REACH) or "-"
+        ahead = [(k, shapes[k]), *ahead[:1]] if shapes[k] in SPELLS else ahead
     for k in range(n):
         a, b, c, d, e, f, g = ext[k : k + 7]
         cue = next((x for x in reversed(ext[max(3, k - 5) : k + 3]) if x.startswith("cue")), "none")
         names = (f"0{d}", f"-1{c}", f"+1{e}", f"-2{b}", f"+2{f}", f"-3{a}", f"+3{g}", f"-1{c}|0{d}", f"0{d}|+1{e}", f"-2{b}|-1{c}|0{d}", f"0{d}|+1{e}|+2{f}", f"{cue}|0{d}", f"-1{c}|0{d}|+1{e}")
-        rows[k] = [ids(x) for x in names]
+        spelled = (f"{before[k]}|{after[k]}|0{d}", f"{before[k]}|{after[k]}|-1{c}|+1{e}")
+        found = [ids(x) for x in (*names, *spelled)] + [ids(f"r{q}{x}") for q, x in enumerate(runs[k])]
+        rows[k, : len(found)] = found
     return rows
 
 
-def labelled_segments(n: int = 450, seed: int = 3) -> list[tuple[str, list[Span]]]:
+def labelled_segments(n: int = 900, seed: int = 3) -> list[tuple[str, list[Span]]]:
     """The labelled table: short texts with their spans, and look-alikes without any."""
     rng = random.Random(seed)
-    word = lambda: "".join(rng.choice("abcdefghilmnoprstuv") for _ in range(rng.randint(2, 9)))
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstuv") for _ in range(rng.randint(2, 9) if rng.random() < 0.85 else rng.randint(10, 24)))
+    plain_word = lambda: pick((word, word, word, lambda: word().capitalize()))()
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
 
     def card() -> str:
@@ -169,16 +218,49 @@ def labelled_segments(n: int = 450, seed: int = 3) -> list[tuple[str, list[Span]
         body += next(str(c) for c in range(10) if luhn(body + str(c)))
         return rng.choice((body, " ".join(body[k : k + 4] for k in range(0, 16, 4)), "-".join(body[k : k + 4] for k in range(0, 16, 4))))
 
+    pick = rng.choice
+
     def email() -> str:
-        at, dot = rng.choice((("@", "."), ("@", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" at ", " dot "), (" {at} ", "."), (" [at] ", ".")))
-        return word() + rng.choice(("", "." + word(), digits(2))) + at + word() + dot + rng.choice(("com", "org", "net", "de", "fr"))
+        local = word() + pick(("", "", "." + word(), "_" + word(), "-" + word(), digits(rng.randint(1, 3)), "-" + digits(1), "." + word()[:1]))
+        label = lambda: pick((word, word, word, lambda: pick(("mail", "host", "server", "phone"))))() + pick(("", "", "", "-" + word(), digits(rng.randint(1, 2))))
+        at, dot = pick((("@", "."), *[(" at ", " dot ")] * 3, *[(f"{gap}{a}at{b}{gap}", f"{gap}{a}dot{b}{gap}") for a, b in ("()", "()", "[]", "[]", "{}", "<>") for gap in (" ", " ", "")], (" {at} ", "."), (" [at] ", "."), (" (at) ", ".")))
+        if rng.random() < 0.2:
+            at, dot = at.upper(), dot.upper()
+        top = pick(("com", "org", "net", "de", "fr", "es", "eu", "io", "info", "edu", "it", "uk", "co" + dot + "uk"))
+        return local + at + dot.join([label() for _ in range(pick((1, 1, 1, 2)))] + [top])
+
+    def grouped(total: int, gap: str) -> str:
+        """Digits in groups of two to four."""
+        out = []
+        while total:
+            out.append(digits(total if total < 5 and rng.random() < 0.5 or total < 4 else rng.randint(2, min(4, total - 2))))
+            total -= len(out[-1])
+        return gap.join(out)
 
     def phone() -> str:
-        return rng.choice((f"+{digits(2)} {digits(3)} {digits(7)}", f"+{digits(1)}-{digits(3)}-{digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"0{digits(3)} {digits(7)}", f"{digits(3)}.{digits(3)}.{digits(4)}"))
+        gap = pick((" ", "-", "."))
+        area = "0" + digits(rng.randint(1, 4))
+        rest = digits(rng.randint(6, 8)) if rng.random() < 0.5 else grouped(rng.randint(6, 8), pick((" ", "-")))
+        return pick(
+            (
+                f"+{digits(2)} {digits(3)} {digits(7)}",
+                f"+{digits(1)}-{digits(3)}-{digits(3)}-{digits(4)}",
+                f"({digits(3)}) {digits(3)}-{digits(4)}",
+                gap.join((pick("23456789") + digits(2), digits(3), digits(4))),
+                "1" + gap + gap.join((digits(3), digits(3), digits(4))),
+                area + pick((" ", "-", "/", " / ", " - ", "")) + rest,
+                area + pick((" ", "-", "/")) + rest + "-" + digits(rng.randint(1, 2)),
+                f"({area}) {rest}",
+                "00" + digits(2) + " " + digits(rng.randint(2, 3)) + " " + rest,
+                gap.join(["0" + digits(1), *(digits(2) for _ in range(4))]),
+                gap.join((pick("6789") + digits(2), digits(3), digits(3))),
+                "0" + digits(2) + gap + digits(4) + gap + digits(4),
+            )
+        )
 
     ip = lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4))
     make = {"email": email, "ip": ip, "card": card, "phone": phone}
-    before = {"email": ("mail ", "email: ", "write to ", "contact ", ""), "ip": ("from ", "ip ", "host ", "server ", ""), "card": ("card ", "paid with ", "visa ", "number ", ""), "phone": ("call ", "tel. ", "phone: ", "fax ", "reach me at ", "")}
+    before = {"email": ("mail ", "email: ", "write to ", "contact ", "reach us at ", ""), "ip": ("from ", "ip ", "host ", "server ", ""), "card": ("card ", "paid with ", "visa ", "number ", ""), "phone": ("call ", "tel. ", "Telefon ", "phone: ", "fax ", "mobil ", "reach me at ", "", "", "")}
     plain = (
         lambda: f"{rng.randint(1900, 2030)}",
         lambda: f"{digits(1)}.{digits(1)}.{digits(2)}",
@@ -196,10 +278,22 @@ def labelled_segments(n: int = 450, seed: int = 3) -> list[tuple[str, list[Span]
         lambda: f"the dot {word()}",
         lambda: f"{rng.randint(1, 99)}%",
         lambda: f"{rng.randint(1, 31)}/{rng.randint(1, 12)}/{rng.randint(1990, 2025)}",
+        lambda: f"{rng.randint(1990, 2025)}-{digits(2)}-{digits(2)} {rng.randint(10, 23)}:{digits(2)}",
+        lambda: f"{rng.randint(1900, 2025)}-{rng.randint(1900, 2030)}",
+        lambda: f"{rng.randint(1900, 2025)} {rng.randint(1900, 2025)} {word()} {rng.randint(1900, 2025)}",
+        lambda: f"{digits(1)},{digits(3)},{digits(3)}",
+        lambda: f"{rng.randint(1, 99)}.{digits(3)}.{digits(3)}",
+        lambda: f"{rng.randint(1, 9)} {digits(3)} 000 000",
+        lambda: f"{rng.randint(1, 99)}.{digits(6)}, {rng.randint(1, 99)}.{digits(6)}",
+        lambda: f"{rng.randint(2000, 2025)}{digits(10)}",
+        lambda: f"{rng.randint(2000, 2025)}-{digits(6)}-{digits(2)}",
+        lambda: " ".join(digits(rng.randint(1, 2)) for _ in range(rng.randint(2, 14))),
+        lambda: f"#{word()}{digits(4)}",
+        lambda: f"{word()} dot {word()}",
     )
     out = []
     for _ in range(n):
-        text, spans = " ".join(word() for _ in range(rng.randint(0, 5))), []
+        text, spans = " ".join(plain_word() for _ in range(rng.randint(0, 5))), []
         for _ in range(rng.randint(1, 3)):
             text += rng.choice((" ", " ", "\n", ", ", " ("))
             if rng.random() < 0.6:
@@ -210,7 +304,7 @@ def labelled_segments(n: int = 450, seed: int = 3) -> list[tuple[str, list[Span]
                 text += item
             else:
                 text += rng.choice(plain)()
-            text += rng.choice(("", "", ".", "###", "***", ",", ")", "$$$", "&&&")) + " " + " ".join(word() for _ in range(rng.randint(0, 6)))
+            text += rng.choice(("", "", ".", "###", "***", ",", ")", "$$$", "&&&")) + " " + " ".join(plain_word() for _ in range(rng.randint(0, 6)))
         out.append((text, spans))
     return out
 
@@ -225,10 +319,15 @@ def trained() -> tuple[FeatureIds, LinearChainCrf]:
         for kind, start, end in spans:
             inside = [k for k, (a, b) in enumerate(found) if a >= start and b <= end]
             tag[inside], tag[inside[0]] = 2 * KINDS.index(kind) + 2, 2 * KINDS.index(kind) + 1
-        rows.append(features([shape(text[a:b]) for a, b in found], ids))
+        rows.append(features([text[a:b] for a, b in found], ids))
         tags.append(tag)
     ids.open = False
-    return ids, LinearChainCrf(len(ids.ids) + 1, 2 * len(KINDS) + 1).fit(rows, tags, rounds=80)
+    labels = 2 * len(KINDS) + 1
+    barred = np.zeros((labels + 1, labels), bool)
+    for inside in range(2, labels, 2):  # goes on only from its own kind
+        barred[:, inside] = True
+        barred[inside - 1 : inside + 1, inside] = False
+    return ids, LinearChainCrf(len(ids.ids) + 1, labels, barred).fit(rows, tags, rounds=60)
 
 
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|[\[({<]\s?at\s?[\])}>]|\sat\s)\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[({<]\s?dot\s?[\])}>]|\sdot\s)\s?[A-Za-z0-9-]+)+", re.I)
@@ -246,17 +345,26 @@ def well_formed(kind: str, text: str) -> bool:
     return 9 <= len(digits) <= 15 and re.fullmatch(r"\(?\+?[0-9][\x20().0-9/-]*[0-9]", text) is not None and len(set(digits)) > 2
 
 
-def touches(span: Span, others: list[Span]) -> bool:
-    return any(span[1] < b and a < span[2] for _, a, b in others)
+class Taken:
+    """Spans, asked in a few steps whether one touches any of them."""
+
+    def __init__(self, spans: list[Span]):
+        spans = sorted(spans, key=lambda s: s[1])
+        self.starts, self.reach = [s[1] for s in spans], list(accumulate((s[2] for s in spans), max))
+
+    def touches(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.reach[k - 1] > start
 
 
-def whole_address(text: str, span: Span, others: list[Span]) -> Span:
-    """An address that the field cut inside its first or last word, with all of that word."""
+def whole_address(text: str, span: Span, least: int, most: int, base: Taken) -> Span:
+    """An address that the field cut inside its first or last word, with all of that word, if that lies between
+    ``least`` and ``most`` and touches no base span."""
     start, end = span[1], LABEL_REST.match(text, span[2]).end()
     while start and text[start - 1] in LOCAL:
         start -= 1
-    wider = ("email", start, end)
-    return wider if well_formed("email", text[start:end]) and not touches(wider, others) else span
+    free = least <= start and end <= most and not base.touches(start, end)
+    return ("email", start, end) if free and well_formed("email", text[start:end]) else span
 
 
 def find_spans(texts: list[str], model: tuple[FeatureIds, LinearChainCrf]) -> list[tuple[list[Span], list[Span]]]:
@@ -268,7 +376,7 @@ def find_spans(texts: list[str], model: tuple[FeatureIds, LinearChainCrf]) -> li
         for start, end in segments(text):
             # a segment is decoded whole: any cut could go through an item
             found = tokens_of(text, start, end)
-            rows.append(features([shape(text[a:b]) for a, b in found], ids))
+            rows.append(features([text[a:b] for a, b in found], ids))
             places.append((k, found))
     more: list[list[Span]] = [[] for _ in texts]
     for (k, part), tags in zip(places, crf.decode(rows)):
@@ -290,8 +398,10 @@ def find_spans(texts: list[str], model: tuple[FeatureIds, LinearChainCrf]) -> li
             at = stop
     out = []
     for text, own, new in zip(texts, base, more):
-        free = [s for s in new if not touches(s, own)] if new else []
-        free = [whole_address(text, s, [*own, *(x for x in free if x != s)]) if s[0] == "email" else s for s in free]
+        taken = Taken(own)
+        free = [s for s in new if not taken.touches(s[1], s[2])]
+        bounds = [0, *(s[2] for s in free)], [*(s[1] for s in free[1:]), len(text)]
+        free = [whole_address(text, s, low, high, taken) if s[0] == "email" else s for s, low, high in zip(free, *bounds)]
         out.append((own, sorted({*own, *free}, key=lambda s: (KINDS.index(s[0]), s[1], s[2])) if free else own))
     return out
 
