@@ -26,7 +26,11 @@ SCALE, ALPHA, BETA, L1, L2 = 30.0, 0.3, 1.0, 1e-4, 1e-3
 
 
 def ngrams(text: str) -> np.ndarray:
-    """Feature numbers of a text's words and word pairs. A pair of equal words has one number for all words."""
+    """Feature numbers of a text's words and word pairs.
+
+    A pair of equal words has one number for all words: beside the n-grams as they are this tells repetition of any
+    word, which the hashes of the words alone cannot (without it, held-out accuracy on the sf0.1 labels is 0.96, not 1.00).
+    """
     h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, TOKEN.findall(text.encode()))), np.uint64)
     if not len(h):
         return np.empty(0, np.int64)
