@@ -268,7 +268,9 @@ NAME_WORDS = {
     "hidden": "hidden visually sr".split(),
 }
 KIND_OF = {w: kind for kind, words in reversed(NAME_WORDS.items()) for w in words}
-NOTICE_TEXT = re.compile(r"(?i)cookie|subscribe|newsletter|sign up|log ?in|advert|sponsored|all rights reserved|©|copyright|terms of|privacy|skip to|read more|share (?:this|on)|related|leave a (?:comment|reply)|posted by|\breply\b")
+NOTICE_TEXT = tuple(
+    "cookie|subscribe|newsletter|sign up|log in|login|advert|sponsored|all rights reserved|©|copyright|terms of|privacy|skip to|read more|share this|share on|related|leave a comment|leave a reply|posted by|reply".split("|")
+)
 TAGS = ("article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "table", "dl", "figure", "blockquote", "pre", "menu", "select", "dialog", "details", "search")
 #: Characters of text for each word of NOTICE_TEXT up to which a block reads like a notice.
 NOTICE_EVERY = 160
@@ -285,7 +287,7 @@ def block_features(blocks: list[Block], ids: FeatureIds) -> np.ndarray:
         link = "all" if b.link > 0.8 else "much" if b.link > 0.3 else "some" if b.link > 0 else "none"
         size = min(6, len(b.text).bit_length() // 2 + (len(b.text) > 1024))
         names = ["bias", f"own={own}", f"link={link}", f"size={size}", f"end={ends}", f"link={link} size={size}", f"within={'article' in around or 'main' in around}"]
-        names += [f"near={b.place.near}"] + [f"kind={x}" for x in kinds] + ["note"] * (NOTICE_EVERY * len(NOTICE_TEXT.findall(b.text)) >= len(b.text))
+        names += [f"near={b.place.near}"] + [f"kind={x}" for x in kinds] + ["note"] * (NOTICE_EVERY * sum(map(b.text.lower().count, NOTICE_TEXT)) >= len(b.text))
         names += [f"in={t}" for t in tags]
         if not kinds and not tags:
             names.append(f"bare own={own} end={ends}")
