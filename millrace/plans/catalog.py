@@ -5,32 +5,16 @@ The names start with ``prov_``: this scope was chosen here, from the supplied ta
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.columns import exact_sum
 from millrace.operators.asof import asof_join
 from millrace.operators.sessions import number_sessions
-from millrace.streaming.windows import run_to_end, windowed_counts
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from millrace.plans.registry import ORACLES, QUERIES, register, table
+from millrace.plans import aggregates, files, joins, scalars, streams  # noqa: F401  they register their queries
 
+__all__ = ["ORACLES", "QUERIES"]
 
 def revenue():
     """Exact: doubles are cast to decimals before they are multiplied and summed."""
@@ -64,7 +48,7 @@ def prov_price_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roll-up of items by flag and status, with subtotals and the total."""
     items = table(spark, sf_dir, "lineitem").where("l_shipdate <= timestamp_ntz'2001-06-01'")
     return items.rollup("l_returnflag", "l_linestatus").agg(
-        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n_items"), F.sum(F.col("l_quantity").cast("decimal(12,2)")).cast("double").alias("quantity"), revenue().alias("revenue")
+        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n_items"), exact_sum(F.col("l_quantity")).alias("quantity"), revenue().alias("revenue")
     )
 
 
@@ -151,11 +135,3 @@ def prov_event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A number inside the JSON properties, summed up by event type."""
     rows = table(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
     return rows.groupBy("event_type").agg(F.count("k").alias("n_values"), F.min("k").alias("least"), F.max("k").alias("most"), F.sum("k").alias("total"))
-
-
-@register("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*)::BIGINT AS n_events FROM events GROUP BY ALL")
-def prov_stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly counts of event types by a stream that reads all events there are."""
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return run_to_end(windowed_counts(events, time="ts", by="event_type"), "stream_hourly", ("start", "event_type"))

@@ -9,12 +9,16 @@ import sys
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from millrace.functions.columns import exact_sum, histogram, population_variance, words
 from millrace.operators.asof import asof_join
+from millrace.operators.rangejoin import range_join
 from millrace.operators.sessions import number_sessions
 from millrace.plans.catalog import ORACLES, QUERIES
 from millrace.shared import shared_dir
+from millrace.sources.files import OPTIONS, read_files, write_files
 from millrace.streaming.windows import run_to_end, windowed_counts
 
 
@@ -23,6 +27,33 @@ def test_same_as_sql(same_as_duckdb, name):
     assert same_as_duckdb(QUERIES[name], ORACLES[name])
 
 
+def test_range_join_against_all_pairs(spark):
+    rng = random.Random(6)
+    points = [(k, rng.choice([None, -1, rng.randint(-70, 70), rng.randint(-(2**40), 2**40)])) for k in range(150)]
+    spans = [(k, low, low + rng.choice([0, -3, 1, 2, 7, 8, 9, 100, 2**41])) for k in range(80) for low in [rng.choice([0, -1, 5, rng.randint(-90, 90), -(2**40)])]] + [(90, None, 4), (91, 4, None)]
+    found = range_join(spark.createDataFrame(points, "p int, at long"), spark.createDataFrame(spans, "i int, low long, high long"), at="at", low="low", high="high")
+    want = sorted((p, i) for p, x in points for i, a, b in spans if None not in (x, a, b) and a <= x < b)
+    assert sorted((r.p, r.i) for r in found.collect()) == want and found.columns == ["p", "at", "i", "low", "high"]
+    none = spark.createDataFrame([], "i int, low long, high long")
+    assert range_join(spark.createDataFrame(points, "p int, at long"), none, at="at", low="low", high="high").count() == 0
+
+
+@pytest.mark.parametrize("kind", sorted(OPTIONS))
+def test_files_give_back_what_was_written(spark, tmp_path, kind):
+    rows = spark.sql("""select * from values (1, 'a', timestamp_ntz'2024-01-01 00:00:00.123456', 1.5D, true), (2, '', timestamp_ntz'1999-12-31 23:59:59', null, false),
+        (3, null, null, 0.1D, null), (4, 'x,"y"\\nz \\\\ é', timestamp_ntz'2024-06-30 12:00:00', -1e300D, true) as t(k, s, t, d, b)""")
+    for by in ((), ("k",)):
+        write_files(rows, f"{tmp_path}/{len(by)}", kind, by=by)
+        assert sorted(read_files(spark, f"{tmp_path}/{len(by)}", kind, rows.schema).collect(), key=lambda r: r.k) == rows.collect()
+
+
+def test_column_functions_on_nulls(spark):
+    rows = spark.createDataFrame([(None, None), (3, " a  b a\t"), (5, ""), (None, "b")], "x int, t string")
+    assert rows.agg(population_variance(F.col("x")), exact_sum(F.col("x"))).first() == (1.0, 8.0)
+    assert rows.where("false").agg(population_variance(F.col("x")), exact_sum(F.col("x"))).first() == (None, None)
+    assert [r[0] for r in rows.select(histogram(words(F.col("t")))).collect()] == [{}, {"a": 2, "b": 1}, {}, {"b": 1}]
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["n_name", "o_orderpriority", "n_items", "revenue"]
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
