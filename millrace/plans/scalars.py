@@ -46,7 +46,7 @@ def prov_order_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""
 SELECT vec_id, len(list_filter(embedding, lambda x: x > 0))::INTEGER AS n_positive, list_max(embedding) AS most, list_position(embedding, list_max(embedding))::BIGINT AS place,
-  len(list_distinct(list_transform(embedding, lambda x: floor(x * 10)::BIGINT)))::INTEGER AS n_tenths, list_sort(list_transform(embedding[1:4], lambda x: floor(x * 10)::BIGINT)) AS head
+  len(list_distinct(list_transform(embedding, lambda x: floor(x * 10)::BIGINT)))::INTEGER AS n_tenths, array_to_string(list_sort(list_transform(embedding[1:4], lambda x: floor(x * 10)::BIGINT)), ',') AS head
 FROM embeddings
 """)
 def prov_vector_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def prov_vector_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(v).alias("most"),
         F.array_position(v, F.array_max(v)).alias("place"),
         F.size(F.array_distinct(F.transform(v, tenth))).alias("n_tenths"),
-        F.array_sort(F.transform(F.slice(v, 1, 4), tenth)).alias("head"),
+        F.array_join(F.array_sort(F.transform(F.slice(v, 1, 4), tenth)), ",").alias("head"),
     )
 
 
