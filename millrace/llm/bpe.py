@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens that a worker holds at most, the longest that is held, and pairs that the table holds.
-CACHED, LONGEST, PAIRS = 150_000, 48, 1_000_000
+#: Pre-tokens in each of the two halves of a worker's cache, the longest that is held, and pairs that the table holds.
+CACHED, LONGEST, PAIRS = 250_000, 48, 1_000_000
 #: Fixed value: the published pattern of byte-level pre-tokenisation.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -84,7 +84,9 @@ class Bpe:
         self.automaton.make_automaton()
         self.split = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.pattern = regex.compile(PATTERN)
-        self.cache: dict[str, tuple[bytes, int]] = {}
+        # ids of pre-tokens met since the cache was last full, and of those met before
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _apart(self, a: int, b: int, before: int) -> bool:
         """Whether no merge of a rank under ``before`` joins ``a`` and ``b`` or the parts of them that touch.
@@ -137,20 +139,31 @@ class Bpe:
                 token = shorter[token]
         return out
 
+    def _met(self, word: str) -> bytes:
+        """Ids of a pre-token that the newer half of the cache lacked. When it is full, it becomes the older half."""
+        ids = self.cache.get(word)
+        if ids is not None:  # met a little earlier in the same text
+            return ids
+        ids = self.older.get(word)
+        if ids is None:
+            ids = np.array(self.encode_bytes(word.encode()), np.uint32).tobytes()
+        if len(word) <= LONGEST:
+            if len(self.cache) >= CACHED:
+                self.older = dict(self.cache)
+                self.cache.clear()
+            self.cache[word] = ids
+        return ids
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text; strings of added tokens in it become their ids, as the file's library does."""
         parts, cache, at = [], self.cache, 0
         found = [(m.start(), m.end(), self.special[m[0]]) for m in self.split.finditer(text)] if self.split and any(s in text for s in self.special) else []
         for start, end, special in [*found, (len(text), len(text), None)]:
-            for word in self.pattern.findall(text[at:start] if found else text):
-                ids = cache.get(word)
-                if ids is None:
-                    ids = np.array(self.encode_bytes(word.encode()), np.uint32).tobytes()
-                    if len(word) <= LONGEST:
-                        if len(cache) >= CACHED:
-                            cache.clear()
-                        cache[word] = ids
-                parts.append(ids)
+            words = self.pattern.findall(text[at:start] if found else text)
+            ids = list(map(cache.get, words))
+            if None in ids:
+                ids = [self._met(w) if i is None else i for i, w in zip(ids, words)]
+            parts += ids
             if special is not None:
                 parts.append(np.uint32(special).tobytes())
             at = end
