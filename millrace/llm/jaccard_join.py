@@ -12,8 +12,10 @@ is left is verified on the texts.
 
 Pairs are not listed inside large groups. First each node of a key meets only the key's most central node (the
 one that shares its keys with most others: of edited copies, the least edited one); the verified links are
-contracted to components. Then only nodes of one key in different components meet, held against the wide sketch;
-a key with many of them is dealt over many tasks.
+contracted to components. Then only nodes of one key in different components meet, held against the wide sketch.
+A key of many nodes (say, of a passage that many texts share) is not compared through: its nodes meet by their
+rarest shingles instead, as many as two linked sets need to have one in common, and what is still large is dealt
+over many tasks.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ from millrace.llm.components import connected_components
 from millrace.llm.staging import Stage, small_side
 from millrace.llm.shingles import mix, shingle_set
 
-#: Members that one task compares with a copy of a pair's first text, or with a copy of their key's other members.
-SALT, MEMBERS = 512, 4096
+#: Members that one task compares with a copy of a pair's first text, or with a copy of their key's other members; more
+#: nodes than MEMBERS make a key large. Among nodes of large keys, shingles of more than COMMON nodes are common ones.
+SALT, MEMBERS, COMMON = 512, 4096, 64
 #: 64-bit words of a parity sketch, and of its fold, which the keys carry.
 WIDE, FOLDED = 16, 4
 #: Sets that a task remembers, so as not to give the keys of a copy again. More only cost repeated keys.
@@ -152,6 +155,20 @@ def _keys(words: int, percent: int):
     return run
 
 
+def _shingles(words: int):
+    """Rows (node, text) to (node, shingle), each distinct shingle once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                h = shingle_set(batch.column(1)[k].as_py() or "", words).view(np.int64)
+                for at in range(0, len(h), 200_000):
+                    part = pa.array(h[at : at + 200_000])
+                    yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[k], len(part)), part], ["node", "shingle"])
+
+    return run
+
+
 def _compare(words: int, percent: int):
     """Rows (group, salt, side, other, text) sorted so that a group's own text comes first: the links."""
 
@@ -176,19 +193,38 @@ def _compare(words: int, percent: int):
     return run
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links among ``pairs`` (x, y: nodes). The first text is copied once for each SALT members.
+def _texts(some: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node`` and ``text`` for the nodes in ``some``.
 
     A node's text is looked up by id and hash, so rows that share an id are told apart, and of repeated rows one
     is taken.
     """
+    asked = small_side(some.select("node").distinct().join(nodes.select("node", "id", "t"), "node"))
+    same = F.col("d.id").eqNullSafe(F.col("a.id")) & (F.col("d.t") == F.col("a.t"))
+    return docs.alias("d").join(asked.alias("a"), same).select("node", "text").dropDuplicates(["node"])
+
+
+def _rare_keys(some: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``key`` and ``node``: for the nodes in ``some`` their rarest shingles among these nodes.
+
+    The order is that of how many nodes have a common shingle, others first, then of the hash: one order for all
+    sets, so of two sets that have percent of either in common, one common shingle is among these of both.
+    """
+    own = _texts(some, nodes, docs).select("node", "text").mapInArrow(_shingles(words), "node long, shingle long")
+    common = small_side(own.groupBy("shingle").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > COMMON))
+    ranked = own.join(common, "shingle", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("many", F.lit(0)).alias("many"), "shingle"))).alias("s"))
+    n = F.size("s")
+    return ranked.select(F.explode(F.slice("s", F.lit(1), n - F.ceil(F.lit(percent) * n / 100).cast("int") + 1)).alias("s"), "node").select(F.col("s.shingle").alias("key"), "node")
+
+
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links among ``pairs`` (x, y: nodes). The first text is copied once for each SALT members."""
     large = small_side(pairs.groupBy("x").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > SALT))
     salted = pairs.join(large, "x", "left").withColumn("salt", F.pmod(F.xxhash64("y"), F.ceil(F.coalesce("many", F.lit(1)) / SALT)))
     members = salted.select(F.col("y").alias("node"), F.col("x").alias("group"), "salt", F.lit(1).alias("side"))
     owners = salted.select(F.col("x").alias("node"), F.col("x").alias("group"), "salt", F.lit(0).alias("side")).distinct()
     routes = members.unionByName(owners)
-    asked = small_side(routes.select("node").distinct().join(nodes.select("node", "id", "t"), "node"))
-    texts = docs.alias("d").join(asked.alias("a"), F.col("d.id").eqNullSafe(F.col("a.id")) & (F.col("d.t") == F.col("a.t"))).select("node", "text").dropDuplicates(["node"])
+    texts = _texts(routes, nodes, docs)
     rows = texts.join(routes, "node").select("group", "salt", "side", F.col("node").alias("other"), "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "group", "salt").sortWithinPartitions("group", "salt", "side", "other")
@@ -233,17 +269,33 @@ def _classes(docs: DataFrame, text: str, key: str, words: int, percent: int) ->
     links = stage.write(_verify(pairs, nodes, slim, words, percent), "links_1")
     found = connected_components(links.select("x", "y"), stage, "cc_1")
 
-    # second round: members of one key in different components meet; of a key with many, MEMBERS of one side in a task
-    named = shared.select("key", "node", "n").join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    several = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    several = small_side(stage.write(several.select("key", F.ceil(F.col("size") / MEMBERS).alias("parts")), "several"))
-    mixed = stage.write(named.join(several, "key").join(nodes.select("node", *wide), "node"), "mixed")
-    left = mixed.withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
-    right = mixed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    same = (F.col("p.key") == F.col("q.key")) & (F.col("p.part") == F.col("q.part"))
-    across = left.alias("p").join(right.alias("q"), same & (F.col("p.node") < F.col("q.node")) & (F.col("p.c") != F.col("q.c")) & near(wide))
+    # second round: members of one key in different components meet; those of large keys by their rarest shingles
+    where = nodes.join(found.withColumnRenamed("component", "c"), "node", "left").select("node", "n", F.coalesce("c", "node").alias("c"))
+
+    def several(members: DataFrame) -> DataFrame:
+        """Keys (key, node, c) of different components, and the number of members."""
+        ends = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"))
+        return ends.where("lo < hi").select("key", "size")
+
+    def meet(members: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+        """Pairs of one of the ``keys``; of a key with many, MEMBERS of one side in a task."""
+        mixed = members.join(small_side(keys), "key").withColumn("parts", F.ceil(F.col("size") / MEMBERS))
+        mixed = stage.write(mixed.join(nodes.select("node", *wide), "node"), name)
+        left = mixed.withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+        right = mixed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        same = (F.col("p.key") == F.col("q.key")) & (F.col("p.part") == F.col("q.part"))
+        across = left.alias("p").join(right.alias("q"), same & (F.col("p.node") < F.col("q.node")) & (F.col("p.c") != F.col("q.c")) & near(wide))
+        return across.select(F.col("p.node").alias("x"), F.col("q.node").alias("y"))
+
+    named = shared.select("key", "node").join(where, "node")
+    keys = stage.write(several(named), "several")
+    across = meet(named, keys.where(F.col("size") <= MEMBERS), "mixed")
+    large = keys.where(F.col("size") > MEMBERS).select("key")
+    if not large.isEmpty():
+        rare = stage.write(_rare_keys(named.join(small_side(large), "key"), nodes, slim, words, percent).join(where, "node"), "rare")
+        across = across.unionByName(meet(rare, stage.write(several(rare), "rare_several"), "rare_mixed"))
     met = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    more = stage.write(across.select(F.col("p.node").alias("x"), F.col("q.node").alias("y")).distinct().join(met, ["x", "y"], "left_anti"), "pairs_2")
+    more = stage.write(across.distinct().join(met, ["x", "y"], "left_anti"), "pairs_2")
     every = links.select("x", "y").unionByName(_verify(more, nodes, slim, words, percent).select("x", "y"))
     parts = connected_components(every, stage, "cc_2")
 
@@ -252,7 +304,7 @@ def _classes(docs: DataFrame, text: str, key: str, words: int, percent: int) ->
     least = linked.join(linked.groupBy("component").agg(F.min("id").alias("least")), "component").select("node", "component", "least")
     whole = nodes.join(least, "node", "left").select("f", "g", "n", F.coalesce("component", "node").alias("class"), F.coalesce("least", "id").alias("least"))
     rows = stage.write(sets.select("id", "t", "n", "f", "g").join(whole, ["f", "g", "n"], "left").select("id", "t", "n", "class", "least"), "rows")
-    stage.drop("sets", "nodes", "shared", "several", "mixed", "pairs_1", "pairs_2", "links_1", "cc_1", "cc_2")
+    stage.drop("sets", "nodes", "shared", "several", "mixed", "rare", "rare_several", "rare_mixed", "pairs_1", "pairs_2", "links_1", "cc_1", "cc_2")
     return rows
 
 

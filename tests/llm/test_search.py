@@ -47,9 +47,26 @@ def test_components_with_every_side_shuffled_and_keys_dealt(spark, monkeypatch):
     monkeypatch.setattr(staging, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(jaccard_join, "SALT", 3)
     monkeypatch.setattr(jaccard_join, "MEMBERS", 2)
+    monkeypatch.setattr(jaccard_join, "COMMON", 3)
     test_components_of_near_copies(spark, 5, 80)
 
 
+def test_texts_of_one_passage_are_not_compared_through(spark, monkeypatch):
+    """Many texts share a passage and are no copies: their large keys give way to rare shingles, with few pairs."""
+    monkeypatch.setattr(jaccard_join, "MEMBERS", 50)
+    rng = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(50))
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(18)) for _ in range(300)]
+    texts = [f"{t} {passage}" for t in own] + [f"{t} {passage} end" for t in own[:40]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met = []
+    real, rare = jaccard_join._verify, jaccard_join._rare_keys
+    monkeypatch.setattr(jaccard_join, "_rare_keys", lambda *rest: met.append(0) or rare(*rest))
+    monkeypatch.setattr(jaccard_join, "_verify", lambda pairs, *rest: met.append(pairs.count()) or real(pairs, *rest))
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs, words=5, percent=80).collect())
+    assert found == sorted(brute_components(list(enumerate(texts)), 5, 80)) and 0 in met and sum(met) < 2000
+
+
 @pytest.mark.parametrize("percent", [90, 80, 50])
 @pytest.mark.parametrize("size", [12, 60, 100])
 def test_unrelated_sets_share_no_key(percent, size):
