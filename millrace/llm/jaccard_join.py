@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components
-from millrace.llm.staging import Stage, small_side
+from millrace.llm.staging import Stage, is_small, maybe_in, small_side
 from millrace.llm.shingles import mix, shingle_set
 
 #: Members that one task compares with a copy of a pair's first text, or with a copy of their key's other members; more
@@ -155,6 +155,32 @@ def _keys(words: int, percent: int):
     return run
 
 
+def _key_ends(words: int, percent: int):
+    """As ``_keys``, but of the sets that share a key in a part of a task's rows only those of least and greatest fingerprint."""
+    every = _keys(words, percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for part in every(batches):
+            parts.append(part)
+            held += part.num_rows
+            if held > 500_000:
+                yield _ends(parts)
+                parts, held = [], 0
+        if held:
+            yield _ends(parts)
+
+    return run
+
+
+def _ends(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    key, f = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in (0, 1))
+    order = np.lexsort((f, key))
+    new = np.flatnonzero(np.diff(key[order], prepend=~key[order[0]]))
+    both = order[np.unique(np.concatenate([new, np.append(new[1:], len(key)) - 1]))]
+    return pa.RecordBatch.from_arrays([pa.array(key[both]), pa.array(f[both])], ["key", "f"])
+
+
 def _shingles(words: int):
     """Rows (node, text) to (node, shingle), each distinct shingle once."""
 
@@ -247,13 +273,15 @@ def _classes(docs: DataFrame, text: str, key: str, words: int, percent: int) ->
     fold = [f"o{k}" for k in range(FOLDED)]
     folded = [reduce(lambda a, b: a.bitwiseXOR(b), [F.col(s) for s in wide[k::FOLDED]]).alias(fold[k]) for k in range(FOLDED)]
 
-    # keys that two different sets share: found by minima and maxima that tasks make first, so a key of many sets is
-    # one row a task; then the rows of those keys
-    keys = stage.write(slim.select("text").mapInArrow(_keys(words, percent), "key long, f long"), "keys")
-    twice = keys.groupBy("key").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo < hi").select("key")
-    twice = small_side(stage.write(twice, "twice"))
-    shared = stage.write(keys.join(twice, "key").distinct().join(nodes.select("f", "node", "n", *folded), "f").drop("f"), "shared")
-    stage.drop("keys", "twice")
+    # keys that two different sets share, found by the ends of what tasks hold of a key, so a key of many sets is a few
+    # rows a task; then the rows of those keys, made again, since they are far fewer than all
+    texts, kind = slim.select("text"), "key long, f long"
+    ends = texts.mapInArrow(_key_ends(words, percent), kind).repartition("key")
+    twice = stage.write(ends.groupBy("key").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo < hi").select("key"), "twice")
+    keys = texts.mapInArrow(_keys(words, percent), kind)
+    keys = keys.join(F.broadcast(twice), "key") if is_small(twice) else maybe_in(keys, twice, "key").join(twice, "key")
+    shared = stage.write(keys.distinct().join(nodes.select("f", "node", "n", *folded), "f").drop("f"), "shared")
+    stage.drop("twice")
 
     def near(sketch: list[str]) -> Column:
         """No pair at the threshold fails this: sizes of p and q, and the least difference that a sketch allows."""

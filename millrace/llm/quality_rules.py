@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.line_dedup import SPACE
-from millrace.llm.staging import is_small
+from millrace.llm.staging import is_small, maybe_in
 
 #: Words are runs of anything but these; these characters count as symbols.
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
@@ -24,8 +24,6 @@ TOKEN = "[\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_\\s]+"
 UNIT = 65536
 #: The number of buckets that n-grams are hashed to. It bounds the table of weights at any corpus size.
 BUCKETS = 16384
-#: Bits of the bitmap of trusted ids: 32 MB, the bound of what is broadcast of them. More bits would let fewer others pass.
-BITMAP = 1 << 28
 
 
 def _let(value: Column, body) -> Column:
@@ -91,15 +89,6 @@ def _shaped(docs: DataFrame, text: str, min_words: int = 50, repeat_percent: int
     return held.withColumn("base_failed", failed).drop("_words", "_windows", "_full")
 
 
-def _maybe_in(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``_k`` has its bit set in a bitmap of the ``_k`` of ``keys``: all that are in it, and few others."""
-    bit = F.pmod(F.xxhash64("_k"), F.lit(BITMAP))
-    maps = keys.select(bit.alias("_x")).groupBy(F.bitmap_bucket_number("_x").alias("_m")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_x")).alias("_bits"))
-    placed = docs.withColumn("_m", F.bitmap_bucket_number(bit)).withColumn("_at", F.bitmap_bit_position(bit))
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return placed.join(F.broadcast(maps), "_m").where(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*docs.columns)
-
-
 def _grams(held: DataFrame, *carried: str) -> DataFrame:
     """``_g``, the hash of each word and of each word pair of ``_w``, and the ``carried`` columns."""
     pairs = held.select(*carried, F.inline(F.arrays_zip(F.col("_w").alias("a"), F.expr("slice(_w, 2, size(_w))").alias("b"))))
@@ -122,7 +111,7 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, *, text: str = "text", ke
     if is_small(good):
         grams = _grams(tokens(held.join(F.broadcast(good.select("_k", own)), "_k", "left")), "_own").withColumn("_raw", F.lit(1))
     else:
-        ours = _maybe_in(held, good).join(good, "_k", "left_semi")
+        ours = maybe_in(held, good, "_k").join(good, "_k", "left_semi")
         every = _grams(tokens(held.withColumn("_own", F.lit(None).cast("int"))), "_own").withColumn("_raw", F.lit(1))
         grams = every.unionByName(_grams(tokens(ours.select("*", own)), "_own").withColumn("_raw", F.lit(None).cast("int")))
     counts = grams.groupBy(F.pmod("_g", F.lit(buckets)).alias("_b")).agg(F.count("_raw").alias("raw"), F.count("_own").alias("own"))

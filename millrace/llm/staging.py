@@ -16,6 +16,8 @@ from millrace.shared import shared_dir
 
 #: A side with at most this many bytes may be broadcast.
 BROADCAST_BYTES = 24_000_000
+#: Bits of a bitmap of keys: 32 MB, the bound of what is broadcast of it. More bits would let fewer others pass.
+BITMAP = 1 << 28
 #: Bytes of a value; a row has so many more. Strings and binaries are measured.
 WIDTHS = {T.LongType: 8, T.DoubleType: 8, T.IntegerType: 4, T.DateType: 4, T.FloatType: 4, T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.TimestampType: 8, T.TimestampNTZType: 8}
 ROW = 16
@@ -66,3 +68,12 @@ def is_small(df: DataFrame, limit: int | None = None) -> bool:
 def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it ``is_small``, else as it is for a shuffled join."""
     return F.broadcast(df) if is_small(df, limit) else df
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` has its bit set in a bitmap of that of ``keys``: all that are in it, and few others."""
+    bit = F.pmod(F.xxhash64(column), F.lit(BITMAP))
+    maps = keys.select(bit.alias("_x")).groupBy(F.bitmap_bucket_number("_x").alias("_m")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_x")).alias("_bits"))
+    placed = rows.withColumn("_m", F.bitmap_bucket_number(bit)).withColumn("_at", F.bitmap_bit_position(bit))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return placed.join(F.broadcast(maps), "_m").where(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*rows.columns)

@@ -12,7 +12,7 @@ from millrace.llm import staging
 from millrace.llm.chat_format import format_chats, read_chats
 from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.oracles import OP10
-from millrace.llm.quality_rules import _maybe_in, apply_quality_rules, ngram_weights
+from millrace.llm.quality_rules import apply_quality_rules, ngram_weights
 from tests.llm.brute import brute_scores, brute_shape, key
 
 def test_lines_of_odd_rows(odd_docs, keeps_columns):
@@ -68,7 +68,7 @@ def test_weights_with_many_trusted_ids(spark, sf_dir, odd_docs, monkeypatch):
     small = [ngram_weights(d, t).first()[0] for d, t in cases]
     monkeypatch.setattr(staging, "BROADCAST_BYTES", -1)
     assert [ngram_weights(d, t).first()[0] for d, t in cases] == small and len({tuple(w) for w in small}) == 4
-    few = _maybe_in(docs.withColumn("_k", F.col("doc_id")), trusted.withColumn("_k", F.col("doc_id"))).count()
+    few = staging.maybe_in(docs, trusted, "doc_id").count()
     assert trusted.count() <= few < trusted.count() + 5
 
 
