@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,18 @@ def test_linked_sets_share_a_key(percent):
             assert np.intersect1d(block_keys(np.unique(a), bands), block_keys(np.unique(b), bands)).size, (size, gone, new)
 
 
+@pytest.mark.parametrize("n", [1, 2, 50, 2000])
+def test_ends_of_keys(n):
+    """Of each key the least and the greatest fingerprint, in two rows at most."""
+    rng = np.random.default_rng(n)
+    key, f = rng.integers(-n // 4 - 1, n // 4 + 1, n), rng.integers(-5, 5, n)
+    parts = [pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(f[part])], ["key", "f"]) for part in (slice(0, n // 2), slice(n // 2, n))]
+    found = list(zip(*(c.to_pylist() for c in jaccard_join._ends(parts).columns)))
+    assert len(found) <= 2 * len(set(key.tolist()))
+    for k in set(key.tolist()):
+        assert sorted({f for q, f in found if q == k}) == sorted({min(f[key == k]), max(f[key == k])})
+
+
 def test_texts_that_share_an_id(spark):
     """Rows are told apart by id and text, whatever the order of the rows."""
     base = [f"w{k}" for k in range(60)]
@@ -141,8 +154,9 @@ def benchmark_rows():
     return [(k, " ".join(t)) for k, t in enumerate(items)], list(enumerate(docs))
 
 
-@pytest.mark.parametrize("block_words", [300_000, 20])
-def test_overlaps_of_planted_passages(spark, block_words):
+@pytest.mark.parametrize("block_words, limit", [(300_000, 10**7), (20, 0)])
+def test_overlaps_of_planted_passages(spark, monkeypatch, block_words, limit):
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", limit)
     items, docs = benchmark_rows()
     items += [(50, None), (51, ""), (52, items[-1][1])]
     want = {(d, i) for d, t in docs for i, b in items if brute_overlap(t, b)}
