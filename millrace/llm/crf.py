@@ -50,7 +50,11 @@ class LinearChainCrf:
         self.moves[self.barred[:-1]] = self.starts[self.barred[-1]] = -1e4
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        return self.weights[ids].sum(axis=-2)
+        """Sums of the rows of ``weights``, slot by slot, which needs no array of all of them."""
+        out = np.zeros((*ids.shape[:-1], self.weights.shape[1]))
+        for k in range(ids.shape[-1]):
+            out += np.take(self.weights, ids[..., k], axis=0)
+        return out
 
     def fit(self, rows: list[np.ndarray], tags: list[np.ndarray], *, rounds: int = 120, rate: float = 0.3, decay: float = 1e-3) -> "LinearChainCrf":
         """Full-batch gradient steps (AdaGrad) on the penalised log likelihood; nothing is drawn at random."""
@@ -72,40 +76,40 @@ class LinearChainCrf:
         return self
 
     def _counts(self, rows: list[np.ndarray], tags: list[np.ndarray]) -> tuple:
-        """Padded ids, lengths, which positions are real, the true labels as 0 and 1, and where each feature is used."""
+        """Padded ids, lengths, which positions are real, the true labels as 0 and 1, and the counts of true moves."""
         ids, sizes = pad(rows)
         real = np.arange(ids.shape[1])[None, :] < sizes[:, None]
         gold = np.zeros(real.shape, np.int64)
         for k, t in enumerate(tags):
             gold[k, : len(t)] = t
-        # feature ids in order, where each id starts, and the position that each stands at
-        order = np.argsort(ids, axis=None, kind="stable")
-        names, starts = np.unique(ids.ravel()[order], return_index=True)
-        return ids, sizes, real, np.eye(len(self.starts))[gold] * real[..., None], (names, starts, order // ids.shape[2])
+        hot = np.eye(len(self.starts))[gold] * real[..., None]
+        return ids, sizes, real, hot, np.einsum("nta,ntb->ab", hot[:, :-1], hot[:, 1:])
 
-    def _gradient(self, ids: np.ndarray, sizes: np.ndarray, real: np.ndarray, hot: np.ndarray, uses: tuple[np.ndarray, ...], grads: list[np.ndarray]) -> None:
-        """Add what the sequences say: true minus expected counts, by the forward-backward algorithm."""
+    def _gradient(self, ids: np.ndarray, sizes: np.ndarray, real: np.ndarray, hot: np.ndarray, moved: np.ndarray, grads: list[np.ndarray]) -> None:
+        """Add what the sequences say: true minus expected counts, by the forward-backward algorithm, scaled at each step."""
         n, longest, labels = hot.shape
-        last = np.arange(n), sizes - 1
-        lse = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
+        moves, ends = np.exp(self.moves), np.exp(self.ends)
         e = self.emissions(ids)
-        forward, backward = np.zeros((n, longest, labels)), np.zeros((n, longest, labels))
-        forward[:, 0] = self.starts + e[:, 0]
+        e = np.exp(e - e.max(axis=2, keepdims=True))
+        share = lambda x: x / x.sum(axis=-1, keepdims=True)
+        step = lambda x, moves: np.einsum("na,ab->nb", x, moves)  # noqa: E731  the arrays are too small for threads
+        forward, backward = np.empty((n, longest, labels)), np.empty((n, longest, labels))
+        forward[:, 0] = share(np.exp(self.starts) * e[:, 0])
         for t in range(1, longest):
-            step = lse(forward[:, t - 1, :, None] + self.moves[None], 1) + e[:, t]
-            forward[:, t] = np.where(real[:, t, None], step, forward[:, t - 1])
-        backward[:, longest - 1] = self.ends
+            forward[:, t] = np.where(real[:, t, None], share(step(forward[:, t - 1], moves) * e[:, t]), forward[:, t - 1])
+        backward[:, longest - 1] = share(ends)
         for t in range(longest - 2, -1, -1):
-            step = lse(self.moves[None] + (e[:, t + 1] + backward[:, t + 1])[:, None, :], 2)
-            backward[:, t] = np.where(real[:, t + 1, None], step, self.ends)
-        total = lse(forward[last] + self.ends, 1)
-        missing = hot - np.exp(forward + backward - total[:, None, None]) * real[..., None]
-        pairs = np.exp(forward[:, :-1, :, None] + self.moves + (e[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None]) * real[:, 1:, None, None]
-        names, starts, places = uses
-        grads[0][names] += np.add.reduceat(missing.reshape(-1, labels)[places], starts, axis=0)
-        grads[1] += np.einsum("nta,ntb->ab", hot[:, :-1], hot[:, 1:]) - pairs.sum(axis=(0, 1))
+            backward[:, t] = np.where(real[:, t + 1, None], share(step(e[:, t + 1] * backward[:, t + 1], moves.T)), share(ends))
+        missing = hot - share(forward * backward) * real[..., None]
+        before, after = forward[:, :-1].reshape(-1, labels), (e[:, 1:] * backward[:, 1:]).reshape(-1, labels)
+        weight = real[:, 1:].ravel() / (step(before, moves) * after).sum(axis=1)
+        pairs = moves * np.einsum("na,nb->ab", before * weight[:, None], after)
+        flat, slots = ids.ravel(), ids.shape[2]
+        for label in range(labels):
+            grads[0][:, label] += np.bincount(flat, np.repeat(missing[..., label].ravel(), slots), len(self.weights))
+        grads[1] += moved - pairs
         grads[2] += missing[:, 0].sum(axis=0)
-        grads[3] += missing[last].sum(axis=0)
+        grads[3] += missing[np.arange(n), sizes - 1].sum(axis=0)
 
     def decode(self, rows: list[np.ndarray], batch: int = 512, cells: int = 65_536) -> list[np.ndarray]:
         """The likeliest labels of each sequence. Sequences of like length share a batch.
