@@ -272,3 +272,23 @@ def test_stages_of_odd_rows(spark, sf_dir, odd_docs):
             out = stage(spark, rows, sf_dir)
             assert out.count() <= rows.count()
             assert out.dtypes == rows.dtypes or k == len(corpus_pipeline.STAGES) - 1
+
+
+def test_stages_decide_as_they_say(spark, sf_dir, odd_docs):
+    """Null, empty, long and repeated texts, null ids and an extra column, by stage."""
+    stages = dict(corpus_pipeline.STAGES)
+    own = odd_docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"), "_row", "key")
+    rows = [(r.doc_id, r.text) for r in own.collect()]
+    left = lambda name: sorted(((r.doc_id, r.text) for r in stages[name](spark, own, sf_dir).collect()), key=repr)
+    assert all(not brute_shape(t)[-1] for _, t in left("quality_rules"))
+    assert left("line_dedup") == sorted(((i, t or "") for i, t in rows), key=repr)
+    words = lambda t: bool((t or "").split())
+    near = left("ngram_jaccard")
+    groups = {(i, c) for (i, _), (_, _, c) in zip(rows, brute_components([(-1 if i is None else i, t) for i, t in rows], 5, 80))}
+    assert [x for x in near if not words(x[1])] == sorted((x for x in rows if not words(x[1])), key=repr)
+    assert sorted(i for i, t in near if words(t) and i is not None) == sorted({c for i, c in groups if i is not None and c >= 0 and words(dict(rows)[i])})
+    assert [t for i, t in near if i is None] == ["no id at all"]
+    assert left("decontamination") == sorted(rows, key=repr)
+    out = stages["bpe"](spark, own, sf_dir).collect()
+    assert len(out) == len(rows) and {r.n_tokens for r in out if r.doc_id in (0, 1)} == {0}
+    assert stages["decontamination"](spark, own, sf_dir).columns == own.columns == stages["ngram_jaccard"](spark, own, sf_dir).columns
