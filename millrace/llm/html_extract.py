@@ -32,8 +32,7 @@ RAW = frozenset("script style textarea xmp iframe noembed noframes title".split(
 HIDDEN = frozenset("template noscript".split())
 #: Elements of drawings whose text stands by itself:
 DRAWN = frozenset("text title desc".split())
-#: Elements without an end tag, and start tags that end an open element of these names:
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Start tags that end an open element of these names:
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tbody", "thead"), "tbody": ("thead", "tbody"), "tfoot": ("tbody",)}
 
 #: Where a tag, comment or declaration may start; a tag without a < inside; a tag's name; a tag with a quote too many.
