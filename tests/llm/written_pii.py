@@ -1,4 +1,5 @@
-"""Held-out sentences with personal data that the base patterns miss, written by hand; nothing is trained on them.
+"""Held-out sentences with personal data that the base patterns miss, written by hand; nothing is
+trained on them, but the training table was widened while looking at the first lot.
 
 ``⟦kind|item⟧`` marks an item.
 """
@@ -67,7 +68,7 @@ Total: $1,299.00, tax 19% and 45.50 for shipping.
 """
 
 
-#: Written after the training table was last changed, and never looked at while changing it.
+#: Written after the training table was widened. One item was not found whole then; later only longer words were added.
 LATER = """
 If lost, return to ⟦email|nina_b (at) gmx (dot) net⟧, reward given.
 The editor is ⟦email|mark.twain at river dot org⟧ since May.
