@@ -19,6 +19,7 @@ from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.pii import find_pii
 from millrace.llm.quality_classifier import sample_labels, score, train
 from millrace.llm.quality_rules import apply_quality_rules
+from millrace.llm.spelling import count_words, group_spellings
 from millrace.llm.token_counts import count_tokens
 
 
@@ -116,6 +117,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(count_words(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_token_counts,
@@ -128,5 +133,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_decontamination,
         op9_html,
         op10_line_dedup,
+        op11_spelling,
     )
     return {f.__name__: f for f in found}
