@@ -16,6 +16,7 @@ from millrace.llm.decontaminate import find_overlaps
 from millrace.llm.html_extract import extract_main_text
 from millrace.llm.jaccard_join import jaccard_components
 from millrace.llm.line_dedup import dedup_lines
+from millrace.llm.periodic import find_runs, repeat_tail
 from millrace.llm.pii import find_pii
 from millrace.llm.quality_classifier import sample_labels, score, train
 from millrace.llm.quality_rules import apply_quality_rules
@@ -121,6 +122,19 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_spellings(count_words(table(spark, sf_dir, "documents")))
 
 
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), change=repeat_tail)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.*",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_token_counts,
@@ -134,5 +148,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_html,
         op10_line_dedup,
         op11_spelling,
+        op12_periodic,
     )
     return {f.__name__: f for f in found}
