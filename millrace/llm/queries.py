@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm import toxicity
 from millrace.llm.bpe import encode_texts
 from millrace.llm.chat_format import format_chats, read_chats
 from millrace.llm.decontaminate import find_overlaps
@@ -68,9 +69,9 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def held_out(key: str = "doc_id"):
+def held_out(key: str = "doc_id", folds: int = 3, fold: int = 1):
     """The fold that training must not see."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1
+    return F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +136,13 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(folds=5, fold=0)
+    labels = table(spark, sf_dir, "labels").where(~fold).select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.train(docs.join(F.broadcast(sample_labels(labels)), "doc_id"))
+    return toxicity.score(docs, model).select("doc_id", fold.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_token_counts,
@@ -149,5 +157,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_line_dedup,
         op11_spelling,
         op12_periodic,
+        op13_toxicity,
     )
     return {f.__name__: f for f in found}
