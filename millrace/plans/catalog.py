@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import exact_sum
 from millrace.operators.asof import asof_join
+from millrace.operators.ordered import ordered_columns
 from millrace.operators.sessions import number_sessions
 from millrace.plans.registry import ORACLES, QUERIES, register, table
 from millrace.plans import aggregates, files, joins, scalars, streams  # noqa: F401  they register their queries
@@ -107,14 +108,16 @@ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 """)
 def prov_event_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event with the step from its user's event before, the rank of its type and the peak of three events."""
-    ordered = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(
-        "event_id",
-        "user_id",
-        (F.col("event_id") - F.lag("event_id").over(ordered)).alias("step"),
-        F.dense_rank().over(Window.partitionBy("user_id").orderBy("event_type")).cast("long").alias("kind"),
-        F.max("value").over(ordered.rowsBetween(-2, 0)).alias("peak"),
-    )
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", "value")
+    step = {
+        "step": lambda w: F.col("event_id") - F.lag("event_id").over(w),
+        "peak": lambda w: F.max("value").over(w.rowsBetween(-2, 0)),
+    }
+    stepped = ordered_columns(events, by=("user_id",), order=("ts", "event_id"), look_back=step, reach=2)
+    # a dense rank counts where the type differs from the one before
+    other = {"_new": lambda w: (~F.col("event_type").eqNullSafe(F.lag("event_type").over(w)) | F.lag(F.lit(1)).over(w).isNull()).cast("long")}
+    ranked = ordered_columns(stepped, by=("user_id",), order=("event_type", "event_id"), look_back=other, reach=1, running={"kind": F.col("_new")})
+    return ranked.select("event_id", "user_id", "step", "kind", "peak")
 
 
 @register("""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import exact_sum
 from millrace.plans.registry import register, table
-from millrace.shared import shared_dir
+from millrace.shared import Stage
 from millrace.sources.files import OPTIONS, read_files, write_files
 
 
@@ -21,7 +20,7 @@ FROM orders, (SELECT unnest(['parquet', 'orc', 'csv', 'json']) AS kind) WHERE o_
 def prov_file_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Urgent orders written as each format, a folder for each status, read again and summed up."""
     orders = table(spark, sf_dir, "orders").where("o_orderpriority like '1%'")
-    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    folder = Stage(spark, "files").path
     parts = []
     for kind in OPTIONS:
         write_files(orders, f"{folder}/{kind}", kind, by=("o_orderstatus",))

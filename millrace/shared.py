@@ -1,11 +1,12 @@
-"""The folder that the driver and all executors can read and write."""
+"""The folder that the driver and all executors can read and write, and tables in it."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,3 +22,32 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+class Stage:
+    """A folder of intermediate Parquet tables, one per use of an operator. What is left of it goes when the driver ends.
+
+    A table that is written and read again cuts the lineage: a lost executor costs a re-read, never earlier steps.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.files, path = self._files(self.path)
+        self.files.mkdirs(path)
+        self.files.deleteOnExit(path)
+
+    def _files(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and return the table as read back."""
+        path = f"{self.path}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            self.files.delete(self._files(f"{self.path}/{name}")[1], True)

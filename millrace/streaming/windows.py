@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.shared import shared_dir
+from millrace.shared import Stage
 
 
 def windowed_counts(events: DataFrame, *, time: str, by: str, width: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -48,7 +46,7 @@ def run_to_end(result: DataFrame, name: str, keys: tuple[str, ...]) -> DataFrame
 
     Update mode: a micro-batch writes only the groups that it changed, to a folder of its own number, so the
     state is bounded by the watermark, nothing is written again, and a repeated batch changes nothing. Table and
-    log are in the shared folder. A source without rows gives an empty table.
+    log are in the shared folder until the driver ends. A source without rows gives an empty table.
     """
     rows = _run(result, name, "update")
     values = F.struct(*[F.col(f"`{c}`") for c in result.columns if c not in keys])
@@ -59,7 +57,7 @@ def run_to_end(result: DataFrame, name: str, keys: tuple[str, ...]) -> DataFrame
 def _run(result: DataFrame, name: str, mode: str) -> DataFrame:
     """What the micro-batches gave, with the number of the batch."""
     spark = result.sparkSession
-    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = Stage(spark, name).path
     spark.createDataFrame([], result.schema).write.parquet(f"{folder}/table/batch=-1")
 
     def put(batch: DataFrame, number: int) -> None:

@@ -38,6 +38,17 @@ def test_range_join_against_all_pairs(spark):
     assert range_join(spark.createDataFrame(points, "p int, at long"), none, at="at", low="low", high="high").count() == 0
 
 
+def test_range_join_over_all_longs(spark):
+    rng = random.Random(7)
+    edges = [s * 2**k + d for k in (0, 31, 52, 53, 54, 60, 61, 62, 63) for s in (-1, 1) for d in (-2, -1, 0, 1, 5)]
+    edges = sorted({x for x in edges if -(2**63) <= x < 2**63})
+    points = list(enumerate(edges))
+    spans = [(-(2**63), 2**63 - 1), (2**60 - 1, 2**61 + 99), (-1, 2**63 - 1), (-(2**63), 0)] + [tuple(sorted(rng.sample(edges, 2))) for _ in range(120)]
+    spans = [(k, *s) for k, s in enumerate(spans)]
+    found = range_join(spark.createDataFrame(points, "p int, at long"), spark.createDataFrame(spans, "i int, low long, high long"), at="at", low="low", high="high")
+    assert sorted((r.p, r.i) for r in found.collect()) == sorted((p, i) for p, x in points for i, a, b in spans if a <= x < b)
+
+
 @pytest.mark.parametrize("kind", sorted(OPTIONS))
 def test_files_give_back_what_was_written(spark, tmp_path, kind):
     rows = spark.sql("""select * from values (1, 'a', timestamp_ntz'2024-01-01 00:00:00.123456', 1.5D, true), (2, '', timestamp_ntz'1999-12-31 23:59:59', null, false),
@@ -62,11 +73,13 @@ def test_entry(spark):
 def test_asof_ties_and_nulls(spark):
     left = spark.createDataFrame([(1, 10, "a"), (1, 5, "b"), (2, 1, "c"), (None, 3, "d")], "k int, t int, v string")
     right = spark.createDataFrame([(1, 10, 7, 1), (1, 10, 8, 2), (1, 6, 9, 3), (2, 2, 5, 4), (1, 9, None, 5)], "k int, t int, w int, o int")
-    found = {r.v: r.w for r in asof_join(left, right, by="k", time="t", value="w", order="o").collect()}
+    found = {r.v: r.w for r in asof_join(left, right, by="k", time="t", value="w", order="o", width=3).collect()}
     assert found == {"a": 8, "b": None, "c": None, "d": None}
     nulls = spark.createDataFrame([(None, 3, 1, 1), (1, None, 2, 2), (None, None, 3, 3)], "k int, t int, w int, o int")
     asks = spark.createDataFrame([(None, 3, "a"), (1, None, "b"), (None, None, "c"), (1, 9, "d")], "k int, t int, v string")
-    assert {r.v: r.w for r in asof_join(asks, nulls, by="k", time="t", value="w", order="o").collect()} == dict.fromkeys("abcd")
+    assert {r.v: r.w for r in asof_join(asks, nulls, by="k", time="t", value="w", order="o", width=1).collect()} == dict.fromkeys("abcd")
+    with pytest.raises(ValueError, match="width"):
+        asof_join(asks, nulls, by="k", time="t", value="w", order="o")
 
 
 @pytest.mark.parametrize("width", [1, 7, 10**6])
