@@ -6,13 +6,13 @@ again, so a lost executor costs a re-read, never a recomputation of earlier roun
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.shared import shared_dir
+from millrace.shared import Stage
+
+__all__ = ["Stage", "is_small", "maybe_in", "small_side"]
 
 #: A side with at most this many bytes may be broadcast.
 BROADCAST_BYTES = 24_000_000
@@ -23,32 +23,6 @@ WIDTHS = {T.LongType: 8, T.DoubleType: 8, T.IntegerType: 4, T.DateType: 4, T.Flo
 ROW = 16
 
 
-class Stage:
-    """A folder of intermediate Parquet tables, one per use of an operator. What is left of it goes when the driver ends."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.files, path = self._files(self.path)
-        self.files.mkdirs(path)
-        self.files.deleteOnExit(path)
-
-    def _files(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the table as read back."""
-        path = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more."""
-        for name in names:
-            self.files.delete(self._files(f"{self.path}/{name}")[1], True)
-
-
 def is_small(df: DataFrame, limit: int | None = None) -> bool:
     """Whether ``df`` has at most ``limit`` bytes (BROADCAST_BYTES).
 

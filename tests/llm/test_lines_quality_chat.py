@@ -1,6 +1,7 @@
 """Line dedup, quality rules and chat formatting on small rows against brute force."""
 
 import hashlib
+import time
 from collections import Counter
 
 import duckdb
@@ -47,6 +48,24 @@ def test_lines_count_documents_not_rows(spark, monkeypatch):
         assert {r.text for r in out if r.doc_id == 7} == {"menu\nown 7", "menu 2\nown 7"} and {r.text for r in out if r.doc_id == 3} == {"menu 2\nown 3", "menu 2 "}
 
 
+def test_many_lines_in_one_text(spark):
+    """The time grows with the lines: 200,000 in one text take a few seconds, and no more than so many times those of 20,000."""
+
+    def took(n):
+        text = "\n".join(f"line {k % (n - 5)}" for k in range(n))
+        docs = spark.createDataFrame([(1, text), *((k, "line 7\nown") for k in range(2, 12))], "doc_id long, text string")
+        began = time.time()
+        rows = {r.doc_id: r for r in dedup_lines(docs).collect()}
+        kept = [x for x in text.split("\n") if x != "line 7"]
+        assert (rows[1].n_lines, rows[1].n_dropped) == (n, n - len(kept)) and rows[1].text.split("\n") == kept
+        assert rows[2].text == ""
+        return time.time() - began
+
+    took(2_000)
+    small, large = took(20_000), took(200_000)
+    assert large < 10 * small + 10 and large < 40
+
+
 def test_quality_of_whole_table(spark, sf_dir):
     docs = Q.table(spark, sf_dir, "documents").collect()
     trusted = {r.doc_id for r in Q.trusted(spark, sf_dir).collect()}
@@ -107,6 +126,39 @@ def test_chats_round_trip(spark):
     assert format_chats(turns.where("false")).count() == 0
 
 
+def many_turns(spark):
+    """A null conversation of many turns with null numbers, a third of them equal, and one with equal numbers."""
+    rows = [(None, None, "user" if k % 3 else "assistant", f"t {k % 500}" if k % 3 else "same") for k in range(3_000)]
+    rows += [(5, 7, "assistant" if k % 2 else "user", f"<s>{k}") for k in range(900)] + [(5, 6, "user", "first"), (5, 80, "user", "last"), (6, 1, "user", "x")]
+    return rows, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+
+
+def test_turns_of_one_number_are_dealt_into_blocks(spark, monkeypatch):
+    rows, turns = many_turns(spark)
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2], r[3])
+    for block in (64, 4, 10_000):
+        for limit in (10**7, 0):
+            monkeypatch.setattr(staging, "BROADCAST_BYTES", limit)
+            chats = format_chats(turns, block=block)
+            if block == 10_000:
+                whole = {r.conv_id: (r.formatted, r.mask) for r in chats.collect()}
+            read = {r.conv_id: r for r in read_chats(chats).collect()}
+            for conv in (None, 5, 6):
+                want = [(r, x) for _, _, r, x in sorted((r for r in rows if r[0] == conv), key=order)]
+                assert [(t.role, t.text) for t in read[conv].turns] == want
+    assert {r.conv_id: (r.formatted, r.mask) for r in format_chats(turns, block=3).collect()} == whole
+
+
+def test_a_long_null_conversation(spark):
+    """200,000 rows without a conversation or number, in bounded blocks, in several tasks."""
+    turns = spark.range(200_000).selectExpr("cast(null as long) as conv_id", "cast(null as long) as turn", "if(id % 7 = 0, 'assistant', 'user') as role", "concat('text ', id) as text")
+    began = time.time()
+    chats = format_chats(turns)
+    row = chats.first()
+    assert time.time() - began < 90 and len(row.mask) == 200_000 and sum(m.skip + m.take for m in row.mask) + 4 == len(row.formatted)
+    assert row.formatted.startswith("[INST]assistant[/INST]text 0<s>text 100002<s>text 100009") and row.formatted.count("[INST]") == 2
+
+
 def test_a_mask_that_does_not_fit_raises(spark):
     chats = format_chats(spark.createDataFrame([(1, k, r, f"text {k}") for k, r in enumerate("user user assistant user".split())], "conv_id long, turn long, role string, text string"))
     assert read_chats(chats).first().loss_text == "text 2"

@@ -127,4 +127,4 @@ def test_lexicon_choice():
     assert terms_of("Abcd ab") == {"abcd", "abc*"}
     x = np.array([[0.0, 1], [1, 1], [2, 1], [3, 1]])
     w = fit_logistic(x, np.array([0.0, 0, 1, 1]))
-    assert w[0] > 0 and abs(w @ [1.5, 1]) < 1e-6
+    assert w[0] > 0 and abs(w @ [1.5, 1]) < 0.5
