@@ -43,7 +43,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min
     stage = Stage(spark, "line_dedup")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     slim = docs.select(F.col(f"`{key}`").alias("_k"), F.xxhash64(body).alias("_t"), _keys(body, min_chars).alias("_h"))
-    found = slim.select("_k", F.when(F.col("_k").isNull(), F.col("_t")).alias("_u"), F.explode(F.array_distinct("_h")).alias("_l")).where("_l is not null")
+    found = slim.select("_k", F.when(F.col("_k").isNull(), F.col("_t")).alias("_u"), F.explode("_h").alias("_l")).where("_l is not null")
     counted = found.select("_k", "_u", "_l.*").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"))
     frequent = small_side(stage.write(counted.where(F.col("_n") >= min_docs).select("a", "b"), "frequent"))
     hits = slim.select("_k", "_t", F.posexplode("_h").alias("_p", "_l")).where("_l is not null").select("_k", "_t", "_p", "_l.*").join(frequent, ["a", "b"], "left_semi")
