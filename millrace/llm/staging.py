@@ -44,10 +44,15 @@ def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if is_small(df, limit) else df
 
 
-def maybe_in(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """The rows whose ``column`` has its bit set in a bitmap of that of ``keys``: all that are in it, and few others."""
+def maybe_in(rows: DataFrame, keys: DataFrame, column: str, *, inside: bool = True) -> DataFrame:
+    """The rows whose ``column`` has its bit set in a bitmap of that of ``keys``: all that are in it, and few others.
+
+    With ``inside`` false all the rest: rows that are certainly not in it.
+    """
     bit = F.pmod(F.xxhash64(column), F.lit(BITMAP))
     maps = keys.select(bit.alias("_x")).groupBy(F.bitmap_bucket_number("_x").alias("_m")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_x")).alias("_bits"))
     placed = rows.withColumn("_m", F.bitmap_bucket_number(bit)).withColumn("_at", F.bitmap_bit_position(bit))
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return placed.join(F.broadcast(maps), "_m").where(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*rows.columns)
+    found = placed.join(F.broadcast(maps), "_m", "inner" if inside else "left")
+    is_set = F.coalesce(F.getbit(byte, (F.col("_at") % 8).cast("int")), F.lit(0).cast("byte")) == 1
+    return found.where(is_set if inside else ~is_set).select(*rows.columns)

@@ -14,7 +14,7 @@ import corpus_pipeline
 from millrace.llm import decontaminate, jaccard_join, staging
 from millrace.llm import queries as Q
 from millrace.llm.components import connected_components
-from millrace.llm.decontaminate import Seeds, drop_contaminated, find_overlaps, plain_words
+from millrace.llm.decontaminate import ItemTables, Seeds, drop_contaminated, find_overlaps, passing, plain_words, seeds_of
 from millrace.llm.jaccard_join import Bands, block_keys, drop_near_copies, jaccard_components
 from millrace.llm.staging import Stage
 from tests.llm.brute import brute_components, brute_lines, brute_overlap, brute_scores, brute_shape
@@ -154,17 +154,18 @@ def benchmark_rows():
     return [(k, " ".join(t)) for k, t in enumerate(items)], list(enumerate(docs))
 
 
-@pytest.mark.parametrize("block_words, limit", [(300_000, 10**7), (20, 0)])
-def test_overlaps_of_planted_passages(spark, monkeypatch, block_words, limit):
+@pytest.mark.parametrize("items_a_row, limit", [(4096, 10**7), (1, 0)])
+def test_overlaps_of_planted_passages(spark, monkeypatch, items_a_row, limit):
     monkeypatch.setattr(staging, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(decontaminate, "ITEMS", items_a_row)
     items, docs = benchmark_rows()
     items += [(50, None), (51, ""), (52, items[-1][1])]
     want = {(d, i) for d, t in docs for i, b in items if brute_overlap(t, b)}
     held = spark.createDataFrame([*docs, (None, None), (900, "")], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = find_overlaps(held, bench, block_words=block_words).collect()
+    found = find_overlaps(held, bench).collect()
     assert {(r.doc_id, r.item_id) for r in found} == want and len(found) == len(want) > 30
-    kept = {r.doc_id for r in drop_contaminated(held, bench, block_words=block_words).collect()}
+    kept = {r.doc_id for r in drop_contaminated(held, bench).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _ in want} | {None, 900}
 
 
@@ -213,15 +214,42 @@ def test_a_long_repetitive_text_takes_little_memory():
     tracemalloc.stop()
 
 
-def test_blocks_are_bounded(spark):
+def test_repeated_items_are_one_text(spark):
     texts = [f"a{k} b{k} c{k} d{k} e{k}" for k in range(30)]
     bench = spark.createDataFrame([*enumerate(texts), *((100 + k, texts[3]) for k in range(200))], "item_id long, text string")
-    blocks = [[len(w) for w in x.words] for x in decontaminate._blocks(bench, "text", 20)]
-    assert sum(map(len, blocks)) == 30 and all(sum(b) <= 20 for b in blocks)
-    found = find_overlaps(spark.createDataFrame([(1, texts[3]), (2, texts[4])], "doc_id long, text string"), bench, block_words=60).collect()
+    assert ItemTables.of(bench, "text", Stage(spark, "t")).items.count() == 30
+    found = find_overlaps(spark.createDataFrame([(1, texts[3]), (2, texts[4])], "doc_id long, text string"), bench).collect()
     assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 3), *((1, 100 + k) for k in range(200)), (2, 4)]
 
 
+@pytest.mark.parametrize("bits", [None, 8])
+def test_seeds_in_the_bitmap(spark, monkeypatch, bits):
+    """Every seed of the items passes; few others do, unless the bitmap is full, which loses nothing."""
+    if bits:
+        monkeypatch.setattr(decontaminate, "MAP_BITS", 16)
+        monkeypatch.setattr(decontaminate, "SPARE", 1)
+    items, _ = benchmark_rows()
+    test = ItemTables.of(spark.createDataFrame(items, "item_id long, text string"), "text", Stage(spark, "t"))
+    own = np.unique(np.concatenate([h for _, t in items for _, h in seeds_of(plain_words(t))]))
+    assert np.array_equal(passing(own, test.bitmap, test.bits), own)
+    others = np.random.default_rng(1).integers(0, 2**64, 100_000, np.uint64)
+    assert len(passing(others, test.bitmap, test.bits)) < (100 if bits else 3)
+
+
+def test_a_large_test_side_is_one_scan(spark):
+    """Twelve million test words (forty times what one broadcast block held): no Python worker, scan or driver list more."""
+    many = 240_000
+    bench = spark.range(many).selectExpr("id as item_id", "array_join(transform(sequence(0, 49), j -> concat('w', (id * 7919 + j * 104729 + id % 97 * j) % 1000003)), ' ') as text")
+    planted = {r.item_id: r.text for r in bench.where("item_id % 20000 = 3").collect()}
+    docs = [(k, f"before it {' '.join(t.split()[5:30])} after") for k, t in planted.items()] + [(-1 - k, " ".join(f"x{j}" for j in range(k, k + 200))) for k in range(50)]
+    held = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = find_overlaps(held, bench)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert {(r.doc_id, r.item_id) for r in found.collect()} >= {(k, k) for k in planted}
+    assert {r.doc_id for r in drop_contaminated(held, bench).collect()} == {d for d, _ in docs if d < 0}
+
+
 def test_overlaps_of_odd_rows(spark, odd_docs):
     bench = spark.createDataFrame([(1, "same words here same words here same words here", "x")], "item_id long, text string, doc_id string")
     assert {r.doc_id for r in find_overlaps(odd_docs, bench).collect()} == {15}
