@@ -271,6 +271,8 @@ NOTICE_TEXT = tuple(
     "cookie|subscribe|newsletter|sign up|log in|login|advert|sponsored|all rights reserved|©|copyright|terms of|privacy|skip to|read more|share this|share on|related|leave a comment|leave a reply|posted by|reply".split("|")
 )
 TAGS = ("article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "table", "dl", "figure", "blockquote", "pre", "menu", "select", "dialog", "details", "search")
+#: Elements that mean another thing inside the text than outside it.
+FURNITURE = ("nav", "header", "footer", "aside", "form", "section", "ul")
 #: Characters of text for each word of NOTICE_TEXT up to which a block reads like a notice.
 NOTICE_EVERY = 160
 
@@ -278,16 +280,20 @@ NOTICE_EVERY = 160
 def block_features(blocks: list[Block], ids: FeatureIds) -> np.ndarray:
     """Feature ids (blocks, as many as the block with most has) from ancestor tags, names and the whole text."""
     found = []
-    for b in blocks:
+    share = lambda b: "all" if b.link > 0.8 else "much" if b.link > 0.3 else "some" if b.link > 0 else "none"
+    for b, after in zip(blocks, [*blocks[1:], None]):
         own, around = b.place.tag, b.place.around
         kinds = sorted(b.place.kinds)
         tags = [t for t in TAGS if t in around]
         ends = b.text[-1] in ".!?…:;\"”»)"
-        link = "all" if b.link > 0.8 else "much" if b.link > 0.3 else "some" if b.link > 0 else "none"
+        link, following = share(b), share(after) if after else "end"
+        within = "article" in around or "main" in around
         size = min(6, len(b.text).bit_length() // 2 + (len(b.text) > 1024))
-        names = ["bias", f"own={own}", f"link={link}", f"size={size}", f"end={ends}", f"link={link} size={size}", f"within={'article' in around or 'main' in around}"]
+        names = ["bias", f"own={own}", f"link={link}", f"size={size}", f"end={ends}", f"link={link} size={size}", f"within={within}"]
         names += [f"near={b.place.near}"] + [f"kind={x}" for x in kinds] + ["note"] * (NOTICE_EVERY * sum(map(b.text.lower().count, NOTICE_TEXT)) >= len(b.text))
-        names += [f"in={t}" for t in tags]
+        names += [f"in={t}" for t in tags] + [f"in={t} within={within}" for t in FURNITURE if t in around]
+        if link == "none" and size < 4:
+            names.append(f"short within={within} next={following}")
         if not kinds and not tags:
             names.append(f"bare own={own} end={ends}")
         found.append([ids(n) for n in names])
@@ -305,7 +311,7 @@ def _sentence(rng: random.Random, low: int, high: int) -> str:
     return " ".join(words).capitalize() + rng.choice("...?!")
 
 
-def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, list[int]]]:
+def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, list[int]]]:
     """The training table: pages made of labelled blocks (1: main) in ``n`` layouts, with and without
     semantic elements and class names."""
     rng = random.Random(seed)
@@ -326,10 +332,44 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, list[int]]]:
         def links() -> str:
             return "<ul>" + "".join(block(f'<li><a href="/{k}">{words(1, 3)[:-1]}</a></li>', 0) for k in range(rng.randint(2, 7))) + "</ul>"
 
+        def headed(tag: str, most: int) -> str:
+            return block(f"<{tag}>{words(1, most)[:-1]}</{tag}>", 0)
+
         def wrap(tag: str, kind: str, inner: str) -> str:
             t = pick((tag, tag, "div" if not plain else tag))
             return f"<{t}{cls(kind) if t == tag else f' class={chr(34)}{name(kind)}{chr(34)}'}>{inner}</{t}>"
 
+        def furniture(body: list[str]) -> None:
+            """Menus, sidebars, footers, forms and notices inside the text, with and without names."""
+            named = lambda kind: "" if rng.random() < 0.45 else cls(kind)
+            said = lambda: "".join(block(f"<p>{words(2, 16)}</p>", 0) for _ in range(rng.randint(1, 2)))
+            titled = lambda: headed(pick(("h2", "h3", "h4")), 3)
+            div = lambda kind, inner: f'<div class="{name(kind)}{pick(("", "-box", " wide"))}">{inner}</div>'
+            kinds = {
+                "nav": lambda: f"<nav{named('menu')}>{links()}</nav>",
+                "aside": lambda: f"<aside{named('side')}>" + (titled() if rng.random() < 0.5 else "") + (links() if rng.random() < 0.5 else said()) + "</aside>",
+                "footer": lambda: f"<footer{named('foot')}>" + (said() if rng.random() < 0.6 else block(words(2, 7)[:-1], 0)) + "</footer>",
+                "form": lambda: f"<form{named('form')}>" + block(f"<{pick(('label', 'span', 'p'))}>{words(1, 6)}</label></span>", 0) + (block(f"<div><button>{words(1, 2)[:-1]}</button></div>", 0) if rng.random() < 0.5 else "") + "</form>",
+                "notice": lambda: div("notice", said() if rng.random() < 0.6 else block(words(3, 12), 0)),
+                "advert": lambda: div("advert", said() if rng.random() < 0.6 else block(words(3, 12), 0)),
+                "side": lambda: div("side", titled() + links()),
+                "share": lambda: block(f'<p class="{name("share")}">{words(1, 4)[:-1]}</p>', 0),
+            }
+            for kind in rng.sample(sorted(kinds), rng.randint(1, 2)):
+                # what stands here was made after the blocks of the text, so their labels follow
+                at = rng.randint(0, len(body))
+                before = len(tags)
+                piece = kinds[kind]()
+                new = tags[before:]
+                del tags[before:]
+                inner = sum(sizes(b) for b in body[:at])
+                start = len(tags) - sum(sizes(b) for b in body) + inner
+                tags[start:start] = new
+                body.insert(at, piece)
+
+        def sizes(html: str) -> int:
+            return len(leaf_blocks(html))
+
         pick = rng.choice
         if rng.random() < 0.12:  # nothing but the text, as a page or as a fragment
             body = [block(f"<h1>{words(2, 9)}</h1>", 1)] * (rng.random() < 0.5) + [block(f"<p>{words(2, 20)[: pick((None, None, -1))]}" if rng.random() < 0.8 else f"<div>{words(2, 30)}</div>", 1) for _ in range(rng.randint(1, 4))]
@@ -370,6 +410,10 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, list[int]]]:
                 body.append(f'<div class="{name("talk")}">' + "".join(block(f"<p>{words(3, 20)} {words(3, 20)}</p>", 0) for _ in range(rng.randint(1, 4))) + "</div>")
             else:
                 body.append(block(f'<{pick(("div", "aside"))} class="{name("advert")}">{words(3, 12)}</div></aside>', 0))
+        if body and rng.random() < 0.1:
+            body[0] = f"<header>{body[0]}" + (block(f'<p class="{name("share")}">{words(1, 4)[:-1]}</p>', 0) if len(body) == 1 else "") + "</header>"
+        if rng.random() < 0.5:
+            furniture(body)
         main = "".join(body)
         where = rng.random()
         if where < 0.55:
@@ -380,6 +424,8 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, list[int]]]:
             main = f'<div class="{name("main")}">{main}</div>'
         parts.append(main)
         tail = []
+        if rng.random() < 0.2:
+            tail.append(lambda: headed(pick(("p", "h2", "h3", "div")), 4) + links())
         if rng.random() < 0.4:
             tail.append(lambda: wrap("aside", "side", block(f"<h3>Related</h3>", 0) + links()))
         if rng.random() < 0.25:

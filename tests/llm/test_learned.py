@@ -22,6 +22,8 @@ from millrace.llm.pii import trained as pii_model
 from millrace.llm.quality_classifier import sample_labels, score, train
 from millrace.llm.shingles import mix
 from tests.llm.brute import brute_pii
+from tests.llm.written_pages import LATER as LATER_PAGES
+from tests.llm.written_pages import WRITTEN as WRITTEN_PAGES
 from tests.llm.written_pii import LATER, WRITTEN, written
 
 
@@ -200,6 +202,14 @@ def test_main_text_of_the_pages_table(spark):
     assert right == len(rows)
 
 
+@pytest.mark.parametrize("pages", [WRITTEN_PAGES, LATER_PAGES])
+def test_main_text_of_written_pages(pages):
+    """Each kind of furniture inside and outside the text, with and without names."""
+    found = main_texts([h for h, _ in pages], page_model())
+    wrong = [h for h, (_, want), got in zip((h for h, _ in pages), pages, found) if got != want]
+    assert len(wrong) <= len(pages) // 10, wrong
+
+
 @pytest.mark.parametrize("html, text", [(None, ""), ("", ""), ("<p>", ""), ("<!-- <p>x</p>", ""), ("<article><h1>A &amp; B</h1><p>One\n  two &eacute;.</p></article>", "A & B\nOne two é."), ("<script>var a='<p>no</p>'</script><style>p{}</style>", "")])
 def test_small_pages(html, text):
     assert main_texts([html], page_model()) == [text]
