@@ -6,6 +6,8 @@ A position has some feature ids (0: none); its emission scores are the sum of th
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 
@@ -112,9 +114,9 @@ class LinearChainCrf:
         grads[3] += missing[np.arange(n), sizes - 1].sum(axis=0)
 
     def decode(self, rows: list[np.ndarray], batch: int = 512, cells: int = 65_536) -> list[np.ndarray]:
-        """The likeliest labels of each sequence. Sequences of like length share a batch.
+        """The likeliest labels of each sequence of feature ids. Sequences of like length share a batch.
 
-        A batch has at most ``batch`` sequences and ``cells`` positions, or one sequence.
+        A batch has at most ``batch`` sequences and ``cells`` positions, or one sequence, which is read by parts.
         """
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(rows)
         order = sorted((k for k in range(len(rows)) if len(rows[k])), key=lambda k: len(rows[k]))
@@ -123,10 +125,12 @@ class LinearChainCrf:
             longest = 2 * len(rows[order[at]]) + 8
             some = [k for k in order[at : at + max(1, min(batch, cells // longest))] if len(rows[k]) <= longest]
             at += len(some)
+            if len(some) == 1:
+                own = rows[some[0]]
+                out[some[0]] = self.best_path(self.emissions(own[t : t + cells]) for t in range(0, len(own), cells))
+                continue
             ids, sizes = pad([rows[k] for k in some])
-            # a sequence longer than that has its emissions summed by parts
-            e = np.concatenate([self.emissions(ids[:, t : t + cells]) for t in range(0, ids.shape[1], cells)], axis=1)
-            for k, tags in zip(some, self._viterbi(e, sizes)):
+            for k, tags in zip(some, self._viterbi(self.emissions(ids), sizes)):
                 out[k] = tags
         return out
 
@@ -144,3 +148,74 @@ class LinearChainCrf:
         for t in range(longest - 1, 0, -1):
             tags[:, t - 1] = back[np.arange(n), t, tags[:, t]]
         return [tags[k, : sizes[k]] for k in range(n)]
+
+    def best_path(self, parts: Iterable[np.ndarray], block: int = 256) -> np.ndarray:
+        """The likeliest labels of one sequence, whose emissions come in parts (positions, labels).
+
+        A part is cut into blocks that are read side by side: first each from every label that may stand before it, which
+        tells how scores go over from block to block, then once more from its true scores. Of the whole sequence only
+        one byte for each position and label is held.
+        """
+        score, back = None, []
+        for e in parts:
+            if score is None and len(e):
+                score, e = self.starts + e[0], e[1:]
+                back.append(np.zeros((1, len(self.starts)), np.int8))
+            if len(e):
+                score, own = self._forward(np.ascontiguousarray(e.T), score, block)
+                back.append(own)
+        if score is None:
+            return np.empty(0, np.int64)
+        label = int((score + self.ends).argmax())
+        tags = []
+        for own in reversed(back):
+            for row in reversed(own.tolist()):
+                tags.append(label)
+                label = row[label]
+        return np.array(tags[::-1], np.int64)
+
+    def _forward(self, e: np.ndarray, score: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores after the last position, up to a constant, and the best label before each label of each position.
+
+        ``e`` is (labels, positions). Steps are elementwise over blocks, by the moves that are not barred.
+        """
+        labels, n = e.shape
+        blocks = -(-n // block)
+        padded = np.zeros((labels, blocks * block))
+        padded[:, :n] = e
+        padded = np.ascontiguousarray(padded.reshape(labels, blocks, block).transpose(2, 0, 1))
+        sizes = np.append(np.full(blocks - 1, block), n - (blocks - 1) * block)
+        before = [np.flatnonzero(~self.barred[:-1, y]).tolist() for y in range(labels)]
+
+        def step(held: np.ndarray, t: int, back: np.ndarray | None) -> np.ndarray:
+            """``held`` is (labels, ..., blocks); the last block may be over."""
+            out = np.empty_like(held)
+            for y in range(labels):
+                best = held[before[y][0]] + self.moves[before[y][0], y]
+                way = np.full(blocks, before[y][0], np.int8)
+                for k in before[y][1:]:
+                    other = held[k] + self.moves[k, y]
+                    if back is not None:
+                        way[other > best] = k
+                    best = np.maximum(best, other)
+                out[y] = best + padded[t, y]
+                if back is not None:
+                    back[t, :, y] = way
+            if t >= sizes[-1]:
+                out[..., -1] = held[..., -1]
+            return out
+
+        entry = np.empty((labels, blocks))
+        entry[:, 0] = score
+        if blocks > 1:
+            ways = np.where(np.eye(labels, dtype=bool), 0.0, -1e9)[:, :, None].repeat(blocks, axis=2)  # (label, first label, block)
+            for t in range(block):
+                ways = step(ways, t, None)
+            for b in range(1, blocks):
+                entry[:, b] = (entry[:, b - 1][None] + ways[:, :, b - 1]).max(axis=1)
+                entry[:, b] -= entry[:, b].max()
+        back = np.zeros((block, blocks, labels), np.int8)
+        held = entry
+        for t in range(block):
+            held = step(held, t, back)
+        return held[:, -1] - held[:, -1].max(), back.transpose(1, 0, 2).reshape(-1, labels)[:n]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.crf import FeatureIds, LinearChainCrf
+from millrace.llm.crf import LinearChainCrf
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, written so that long runs take linear time.
@@ -71,20 +71,23 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-#: Where the field looks: every digit and @, and at or dot as people spell addresses.
-TRIGGER = re.compile(r"[0-9@]+|[\[({<]\s?(?:at|AT|dot|DOT)\s?[\])}>]|(?<=\s)(?:dot|DOT)(?=\s)")
+#: Where the field looks: every digit and @, and at or dot as people spell addresses, in any case, bare ones too.
+TRIGGER = re.compile(
+    r"[0-9@]+|[\[({<]\s?(?i:at|dot)\s?[\])}>]|(?<=\s)(?i:dot)(?=\s)|(?<=[A-Za-z0-9])_(?i:at|dot)_(?=[A-Za-z0-9])|(?<=\s)(?i:at)(?=\s[A-Za-z0-9-]+\s?\.\s?[A-Za-z])"
+)
 #: Code points around a trigger that belong to its segment at least.
 AROUND = 28
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
 #: Words that tell what a number next to them is.
 CUES = {"mail": "email", "email": "email", "mailto": "email", "correo": "email", "courriel": "email", "at": "at", "dot": "dot", "phone": "phone", "tel": "phone", "telefon": "phone", "telephone": "phone", "téléphone": "phone", "teléfono": "phone", "mobile": "phone", "mobil": "phone", "handy": "phone", "cell": "phone", "call": "phone", "fax": "phone", "whatsapp": "phone", "ip": "ip", "host": "ip", "server": "ip", "ping": "ip", "card": "card", "visa": "card", "mastercard": "card", "amex": "card", "order": "other", "invoice": "other", "isbn": "other", "page": "other", "version": "other", "total": "other", "id": "other", "token": "other"}
-CUES |= dict.fromkeys("com org net edu gov info io eu uk de fr es it nl ch at pl ru".split(), "top") | {"at": "at"}
-#: Features of a token, and the tokens before and after it in which an at or dot is sought.
-SLOTS, REACH = 20, 8
-
-
-def tokens_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    return [m.span() for m in TOKEN.finditer(text, start, end)]
+TOPS = frozenset("com org net edu gov info io eu uk de fr es it nl ch at pl ru be ie us ca au jp cn in br se no dk fi cz pt gr hu ro tr mx ar nz za biz".split())
+CUES |= dict.fromkeys("com org net edu gov info io eu uk de fr es it nl ch at pl ru ie se dk fi cz pt br jp cn ca au biz".split(), "top") | {"at": "at"}
+CUES |= dict.fromkeys("numéro número nummer rufnummer ring text dial anruf rufen appelez llame sms hotline reach".split(), "phone")
+CUES |= dict.fromkeys("contact write schreib schreiben escribe écrivez address adresse kontakt send".split(), "email")
+CUES |= dict.fromkeys("look looking looked pointed arrived played stayed based shown listed available found find hosted online site website visit read us more here".split(), "place")
+CUES |= dict.fromkeys("isbn issn serial version ticket ref reference code total count population".split(), "other")
+#: The tokens before and after one in which an at, dot or cue is sought, and tokens whose features are held at once.
+REACH, PART = 8, 65_536
 
 
 def in_word(c: str) -> bool:
@@ -147,66 +150,151 @@ def shape(token: str) -> str:
             return f"cue {cue}"
         size = "s" if len(token) < 4 else "m" if len(token) < 9 else "l"
         return ("X" if token.isupper() else "Xx" if first.isupper() else "x") + size
-    return first if first in "@.-_+()[]{}<>,:;/#%$*&=\"'|!?" else "~"
-
-
-#: Shapes of a spelled or written at and dot; what may stand between the digits of one number.
-SPELLS = frozenset(("cue at", "cue dot", "@"))
-BETWEEN = frozenset(" ().-/+")
-
-
-def number_runs(tokens: list[str]) -> list[tuple[str, ...]]:
-    """For each token what the run of digits, single spaces and ``().-/+`` that it is in looks like as a whole: how many
-    digits in how many groups, how it begins, what parts its groups, and the place of the token in it."""
-    out: list[tuple[str, ...]] = [("run",)] * len(tokens)
-    at = 0
-    while at < len(tokens):
-        if not (tokens[at] in BETWEEN or "0" <= tokens[at][0] <= "9"):
-            at += 1
-            continue
-        end = at
-        while end < len(tokens) and (tokens[end] in BETWEEN or "0" <= tokens[end][0] <= "9"):
-            end += 1
-        groups = [k for k in range(at, end) if tokens[k][0].isdigit()]
-        if groups:
-            first, digits = tokens[groups[0]], sum(len(tokens[k]) for k in groups)
-            sign = tokens[groups[0] - 1] if groups[0] > at and tokens[groups[0] - 1] in "(+" else ""
-            lead = sign + ("00" if first[:2] == "00" else "0" if first[0] == "0" else "1" if first == "1" else "9")
-            parts = "".join(sorted({tokens[k] for k in range(groups[0], groups[-1]) if tokens[k] in BETWEEN}))
-            sizes = "-".join(str(min(len(tokens[k]), 9)) for k in groups) if len(groups) < 7 else "many"
-            n, many = min(digits, 20), min(len(groups), 9)
-            for k in range(at, end):
-                out[k] = ("run in", f"{n}", f"{n} {lead}", f"{lead} {parts} {many}", f"{lead} {sizes}")
-            for k in (*range(at, groups[0] - len(sign)), *range(groups[-1] + 1, end)):
-                out[k] = ("run end",)
-        at = end
-    return out
-
-
-def features(tokens: list[str], ids: FeatureIds) -> np.ndarray:
-    shapes, runs = [shape(t) for t in tokens], number_runs(tokens)
-    n = len(shapes)
-    ext = ["^", "^", "^", *shapes, "$", "$", "$"]
-    rows = np.zeros((n, SLOTS), np.int64)
-    # the last at or dot before a token, and the next two after it, where near
-    before, after, last, ahead = ["-"] * n, ["-"] * n, (-REACH - 1, "-"), []
-    for k, x in enumerate(shapes):
-        before[k] = last[1] if k - last[0] <= REACH else "-"
-        last = (k, x) if x in SPELLS else last
-    for k in range(n - 1, -1, -1):
-        after[k] = "".join(x[-1] for q, x in ahead if q - k <= REACH) or "-"
-        ahead = [(k, shapes[k]), *ahead[:1]] if shapes[k] in SPELLS else ahead
-    for k in range(n):
-        a, b, c, d, e, f, g = ext[k : k + 7]
-        cue = next((x for x in reversed(ext[max(3, k - 5) : k + 3]) if x.startswith("cue")), "none")
-        names = (f"0{d}", f"-1{c}", f"+1{e}", f"-2{b}", f"+2{f}", f"-3{a}", f"+3{g}", f"-1{c}|0{d}", f"0{d}|+1{e}", f"-2{b}|-1{c}|0{d}", f"0{d}|+1{e}|+2{f}", f"{cue}|0{d}", f"-1{c}|0{d}|+1{e}")
-        spelled = (f"{before[k]}|{after[k]}|0{d}", f"{before[k]}|{after[k]}|-1{c}|+1{e}")
-        found = [ids(x) for x in (*names, *spelled)] + [ids(f"r{q}{x}") for q, x in enumerate(runs[k])]
-        rows[k, : len(found)] = found
-    return rows
-
-
-def labelled_segments(n: int = 900, seed: int = 3) -> list[tuple[str, list[Span]]]:
+    return first if first in PUNCTUATION else "~"
+
+
+PUNCTUATION = "@.-_+()[]{}<>,:;/#%$*&=\"'|!?"
+#: Every shape by number; 0 stands for what lies before and after a segment. Fewer than 128.
+SHAPES = ["", *(f"{z}{n}" for z in "09" for n in range(1, 21)), "\n", " ", "~", *PUNCTUATION, *(f"{c}{n}" for c in ("X", "Xx", "x") for n in "sml"), *(f"cue {c}" for c in sorted(set(CUES.values())))]
+NUMBER = {x: k for k, x in enumerate(SHAPES)}
+IS_CUE = np.array([x.startswith("cue") for x in SHAPES])
+#: What spells an at or dot: 1 at, 2 dot, 3 @.
+SPELLS = np.array([{"cue at": 1, "cue dot": 2, "@": 3}.get(x, 0) for x in SHAPES])
+#: What may stand between the digits of one number.
+BETWEEN = " ().-/+"
+
+
+class Tokens:
+    """The tokens of many segments, one segment after another, three empty tokens apart: arrays of one number a token."""
+
+    def __init__(self):
+        self.shapes: list[np.ndarray] = [np.zeros(3, np.int16)]
+        self.digits: list[np.ndarray] = [np.zeros(3, np.int32)]
+        self.signs: list[np.ndarray] = [np.full(3, -1, np.int8)]
+        self.leads: list[np.ndarray] = [np.zeros(3, np.int8)]
+        self.starts: list[np.ndarray] = []
+        self.sizes: list[int] = []
+
+    def add(self, text: str, start: int, end: int) -> None:
+        held = TOKEN.findall(text, start, end)
+        told = {t: _told(t) for t in set(held)}
+        rows = np.array([told[t] for t in held], np.int32).reshape(-1, 4)
+        for into, column, empty in zip((self.shapes, self.digits, self.signs, self.leads), rows.T, (0, 0, -1, 0)):
+            into += [column.astype(into[0].dtype), np.full(3, empty, into[0].dtype)]
+        self.starts.append(np.append(0, np.cumsum(np.fromiter(map(len, held), np.int32, len(held)))) + start)
+        self.sizes.append(len(held))
+
+    def codes(self) -> Iterator[np.ndarray]:
+        """For each segment its features, (tokens, slots) codes, in parts of bounded size."""
+        shapes, digits, signs, leads = (np.concatenate(x).astype(np.int64) for x in (self.shapes, self.digits, self.signs, self.leads))
+        place = np.arange(len(shapes))
+        part = np.cumsum(np.append(0, np.diff(np.repeat(np.arange(2 * len(self.sizes) + 1) % 2, np.array([3, *(n for size in self.sizes for n in (size, 3))])))) != 0)
+        latest = lambda mask: np.maximum.accumulate(np.where(mask, place, -1))
+        near = lambda at, far: (at >= 0) & (np.abs(place - at) <= far) & (part[at] == part)
+        spell = SPELLS[shapes]
+        before_at = np.append(-1, latest(spell > 0)[:-1])
+        before = np.where(near(before_at, REACH), spell[before_at], 0)
+        cue_at = np.append(-1, latest(IS_CUE[shapes])[:-1])
+        cue = np.where(near(cue_at, REACH), shapes[cue_at], 0)
+        # the next two, from the end of the array
+        coming = len(shapes) - 1 - latest((spell > 0)[::-1])[::-1]
+        next_at = np.append(coming[1:], len(shapes))
+        then_at = np.append(next_at, len(shapes))[np.minimum(next_at, len(shapes))]
+        after = sum(m * np.where((x < len(shapes)) & near(np.minimum(x, len(shapes) - 1), REACH), spell[np.minimum(x, len(shapes) - 1)], 0) for m, x in ((1, next_at), (4, then_at)))
+        runs = self._runs(shapes, digits, signs, leads)
+        begin = 3
+        for size in self.sizes:
+            yield from (self._coded(begin + t, min(begin + t + PART, begin + size), shapes, before, after, cue, runs) for t in range(0, size, PART))
+            begin += size + 3
+
+    @staticmethod
+    def _coded(lo: int, hi: int, shapes, before, after, cue, runs) -> np.ndarray:
+        a, b, c, d, e, f, g = (shapes[lo + k : hi + k] for k in range(-3, 4))
+        cue, spelled = cue[lo:hi], before[lo:hi] * 16 + after[lo:hi]
+        pair = lambda *xs: sum(x << (7 * k) for k, x in enumerate(xs))
+        kinds = [d, c, e, b, f, a, g, pair(c, d), pair(d, e), pair(b, c, d), pair(d, e, f), pair(cue, d), pair(c, d, e), pair(spelled, d), pair(spelled, c, e), *(x[lo:hi] for x in runs)]
+        return np.stack([x + (k << 48) for k, x in enumerate(kinds, 1)], axis=1)
+
+    @staticmethod
+    def _runs(shapes, digits, signs, leads) -> list[np.ndarray]:
+        """What the run of digits and ``BETWEEN`` that a token is in looks like as a whole: how many digits in how many
+        groups, how it begins, what parts its groups; five numbers, 0 where they say nothing."""
+        n = len(shapes)
+        inside = (digits > 0) | (signs >= 0)
+        starts = np.flatnonzero(inside & ~np.append(False, inside[:-1]))
+        out = [np.zeros(n, np.int64) for _ in range(5)]
+        if not len(starts):
+            return out
+        stops = np.flatnonzero(inside & ~np.append(inside[1:], False)) + 1
+        run = np.repeat(np.arange(len(starts)), stops - starts)
+        at = np.concatenate([np.arange(a, b) for a, b in zip(starts, stops)]) if len(starts) < 64 else np.flatnonzero(inside)
+        isdig = digits[at] > 0
+        heads = starts - starts[0] - np.append(0, np.cumsum(starts[1:] - stops[:-1]))
+        groups = np.add.reduceat(isdig.astype(np.int64), heads)
+        total = np.add.reduceat(digits[at], heads)
+        first = np.minimum.reduceat(np.where(isdig, at, n), heads)
+        final = np.maximum.reduceat(np.where(isdig, at, -1), heads)
+        real = groups > 0
+        head = np.minimum(first, n - 1)
+        sign = np.where((first > starts) & real, signs[np.maximum(head - 1, 0)], -1)
+        sign = np.where(sign == BETWEEN.index("("), 1, np.where(sign == BETWEEN.index("+"), 2, 0))
+        lead = sign * 4 + leads[head]
+        between = (at > first[run]) & (at < final[run]) & ~isdig
+        parts = np.bitwise_or.reduceat(np.where(between, 1 << np.maximum(signs[at], 0), 0), heads)
+        order = np.cumsum(isdig) - isdig
+        order = order - order[heads][run]
+        few = groups < 7
+        sizes = np.add.reduceat(np.where(isdig & few[run], np.minimum(digits[at], 9) * 10 ** np.minimum(order, 6), 0), heads)
+        body = (at >= (first - (sign > 0))[run]) & (at <= final[run]) & real[run]
+        r0 = np.where(~real[run], 1, np.where(body, 2, 3))
+        many, short = np.minimum(groups, 9), np.minimum(total, 20)
+        for column, value in zip(out[1:], (short, short * 16 + lead + 1024, (parts * 16 + many) * 16 + lead + 1, (sizes * 2 + few) * 16 + lead + 1)):
+            column[at] = np.where(body, value[run], 0)
+        out[0][at] = r0
+        return out
+
+
+def _told(token: str) -> tuple[int, int, int, int]:
+    """Of a token: its shape, digits, number among ``BETWEEN`` (-1: none) and how it would begin a number."""
+    digit = "0" <= token[0] <= "9"
+    lead = (0 if token[:2] == "00" else 1 if token[0] == "0" else 2 if token == "1" else 3) if digit else 0
+    return NUMBER[shape(token)], len(token) if digit else 0, BETWEEN.find(token) if len(token) == 1 else -1, lead
+
+
+class Field:
+    """A trained field and the codes of the features that it knows."""
+
+    def __init__(self, known: np.ndarray, crf: LinearChainCrf):
+        self.known, self.crf = known, crf
+
+    def ids(self, codes: np.ndarray) -> np.ndarray:
+        """Numbers of the codes, from 1 on; 0 for those that training did not meet."""
+        at = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
+        return np.where(self.known[at] == codes, at + 1, 0).astype(np.int32)
+
+    def read(self, tokens: Tokens) -> list[np.ndarray]:
+        """The labels of each segment."""
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(tokens.sizes)
+        short, rows, parts = [], [], tokens.codes()
+        for k, size in enumerate(tokens.sizes):
+            own = -(-size // PART)
+            if size > LONG:
+                out[k] = self.crf.best_path(self.crf.emissions(self.ids(next(parts))) for _ in range(own))
+            elif own:
+                short.append(k)
+                rows.append(next(parts))
+        if rows:
+            ids = self.ids(np.concatenate(rows))
+            for k, tags in zip(short, self.crf.decode(np.split(ids, np.cumsum([len(r) for r in rows])[:-1]))):
+                out[k] = tags
+        return out
+
+
+#: Tokens of a segment that is decoded by itself.
+LONG = 4_096
+
+
+def labelled_segments(n: int = 1500, seed: int = 3) -> list[tuple[str, list[Span]]]:
     """The labelled table: short texts with their spans, and look-alikes without any."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefghilmnoprstuv") for _ in range(rng.randint(2, 9) if rng.random() < 0.85 else rng.randint(10, 24)))
@@ -221,11 +309,17 @@ def labelled_segments(n: int = 900, seed: int = 3) -> list[tuple[str, list[Span]
     pick = rng.choice
 
     def email() -> str:
-        local = word() + pick(("", "", "." + word(), "_" + word(), "-" + word(), digits(rng.randint(1, 3)), "-" + digits(1), "." + word()[:1]))
+        local = pick((word, word, word, word, lambda: pick(("info", "office", "service", "hr", "it"))))() + pick(("", "", "", "", "." + word(), "_" + word(), "-" + word(), digits(rng.randint(1, 3)), "-" + digits(1), "." + word()[:1]))
         label = lambda: pick((word, word, word, lambda: pick(("mail", "host", "server", "phone"))))() + pick(("", "", "", "-" + word(), digits(rng.randint(1, 2))))
+        if rng.random() < 0.4:
+            local, at, dot = plain_word() if rng.random() < 0.6 else local, pick((" at ", " at ", " AT ", " AT ", " At ", "[@]", " [@] ", " @ ", "_at_", "(@)")), "."
+            dot = {"_at_": "_dot_", " @ ": pick((".", " . "))}.get(at, ".")
+            label = lambda: pick((word, word, lambda: word() + "-" + word()))()
+            return local + at + dot.join([label(), pick(("com", "org", "net", "de", "fr", "es", "eu", "io", "info"))])
         at, dot = pick((("@", "."), *[(" at ", " dot ")] * 3, *[(f"{gap}{a}at{b}{gap}", f"{gap}{a}dot{b}{gap}") for a, b in ("()", "()", "[]", "[]", "{}", "<>") for gap in (" ", " ", "")], (" {at} ", "."), (" [at] ", "."), (" (at) ", ".")))
-        if rng.random() < 0.2:
-            at, dot = at.upper(), dot.upper()
+        if rng.random() < 0.3:
+            change = pick((str.upper, str.title))
+            local, at, dot = local.title() if change == str.title else local, change(at), change(dot)
         top = pick(("com", "org", "net", "de", "fr", "es", "eu", "io", "info", "edu", "it", "uk", "co" + dot + "uk"))
         return local + at + dot.join([label() for _ in range(pick((1, 1, 1, 2)))] + [top])
 
@@ -255,12 +349,20 @@ def labelled_segments(n: int = 900, seed: int = 3) -> list[tuple[str, list[Span]
                 gap.join(["0" + digits(1), *(digits(2) for _ in range(4))]),
                 gap.join((pick("6789") + digits(2), digits(3), digits(3))),
                 "0" + digits(2) + gap + digits(4) + gap + digits(4),
+                "0" + digits(rng.randint(8, 10)),
+                pick("6789") + digits(9),
+                " ".join([*(digits(2) for _ in range(4)), digits(pick((1, 2)))]),
+                "0" + digits(rng.randint(2, 4)) + " " + digits(3) + " " + digits(3),
+                "0800 " + digits(3) + " " + digits(3),
+                f"1 ({digits(3)}) {digits(3)} {digits(4)}",
+                f"{area} / {digits(4)} {digits(3)}",
+                f"{area}/{digits(3)} {digits(2)} {digits(2)}",
             )
         )
 
     ip = lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4))
     make = {"email": email, "ip": ip, "card": card, "phone": phone}
-    before = {"email": ("mail ", "email: ", "write to ", "contact ", "reach us at ", ""), "ip": ("from ", "ip ", "host ", "server ", ""), "card": ("card ", "paid with ", "visa ", "number ", ""), "phone": ("call ", "tel. ", "Telefon ", "phone: ", "fax ", "mobil ", "reach me at ", "", "", "")}
+    before = {"email": ("mail ", "email: ", "write to ", "contact ", "reach us at ", ""), "ip": ("from ", "ip ", "host ", "server ", ""), "card": ("card ", "paid with ", "visa ", "number ", ""), "phone": ("call ", "tel. ", "Telefon ", "phone: ", "fax ", "mobil ", "reach me at ", "numéro ", "Nummer: ", "número ", "text me on ", "", "", "")}
     plain = (
         lambda: f"{rng.randint(1900, 2030)}",
         lambda: f"{digits(1)}.{digits(1)}.{digits(2)}",
@@ -271,6 +373,11 @@ def labelled_segments(n: int = 900, seed: int = 3) -> list[tuple[str, list[Span]
         lambda: f"order {digits(rng.randint(6, 18))}",
         lambda: "token = " + "".join(rng.choice("0123456789abcdef") for _ in range(40)),
         lambda: f"ISBN 978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}",
+        lambda: f"{pick(('ISBN ', 'ISBN: ', 'isbn '))}{digits(1)}-{digits(3)}-{digits(5)}-{digits(1)}",
+        lambda: f"{pick(('order', 'invoice', 'ticket', 'id', 'serial', 'ref', 'code', 'total', word()))} {digits(rng.randint(8, 11))}",
+        lambda: f"{pick(('look', 'found', 'available', 'read more', 'visit us', 'us', 'online', 'hosted'))} at {word()}.{pick(('com', 'org', 'de'))}",
+        lambda: f"{word()} @ {word()}",
+        lambda: f"{word()}_{word()}_{word()}",
         lambda: f"{digits(rng.randint(1, 5))}",
         lambda: f"{digits(rng.randint(1, 3))} {digits(3)} {digits(3)}",
         lambda: f"@{word()}",
@@ -310,39 +417,65 @@ def labelled_segments(n: int = 900, seed: int = 3) -> list[tuple[str, list[Span]
 
 
 @lru_cache(maxsize=1)
-def trained() -> tuple[FeatureIds, LinearChainCrf]:
+def trained() -> Field:
     """The field, trained once per process on the labelled table. Labels: 0, then begin and inside of each kind."""
-    ids, rows, tags = FeatureIds(), [], []
+    tokens, tags = Tokens(), []
     for text, spans in labelled_segments():
-        found = tokens_of(text, 0, len(text))
-        tag = np.zeros(len(found), np.int64)
+        tokens.add(text, 0, len(text))
+        starts, ends = tokens.starts[-1][:-1], tokens.starts[-1][1:]
+        tag = np.zeros(len(starts), np.int64)
         for kind, start, end in spans:
-            inside = [k for k, (a, b) in enumerate(found) if a >= start and b <= end]
+            inside = np.flatnonzero((starts >= start) & (ends <= end))
             tag[inside], tag[inside[0]] = 2 * KINDS.index(kind) + 2, 2 * KINDS.index(kind) + 1
-        rows.append(features([text[a:b] for a, b in found], ids))
         tags.append(tag)
-    ids.open = False
+    rows = list(tokens.codes())
+    known = np.unique(np.concatenate([r.ravel() for r in rows]))
     labels = 2 * len(KINDS) + 1
     barred = np.zeros((labels + 1, labels), bool)
     for inside in range(2, labels, 2):  # goes on only from its own kind
         barred[:, inside] = True
         barred[inside - 1 : inside + 1, inside] = False
-    return ids, LinearChainCrf(len(ids.ids) + 1, labels, barred).fit(rows, tags, rounds=60)
+    field = Field(known, LinearChainCrf(len(known) + 1, labels, barred))
+    field.crf.fit([field.ids(r) for r in rows], tags, rounds=60)
+    return field
+
+
+SPELLED = re.compile(r"[A-Za-z0-9._%+-]+?\s?(?:@|[\[({<]\s?(?:at|@)\s?[\])}>]|\sat\s|_at_)\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[({<]\s?(?:dot|\.)\s?[\])}>]|\sdot\s|_dot_)\s?[A-Za-z0-9-]+)+", re.I)
+#: Ten or thirteen digits in the groups of a book's number, and its check digit.
+BOOK = re.compile(r"(?:97[89][- ])?[0-9]{1,5}[- ][0-9]{1,7}[- ][0-9]{1,7}[- ][0-9]")
+
+
+def is_book(text: str) -> bool:
+    digits = [ord(c) - 48 for c in NOT_DIGIT.sub("", text)]
+    if not BOOK.fullmatch(text) or len(digits) not in (10, 13):
+        return False
+    if len(digits) == 10:
+        return sum((10 - k) * d for k, d in enumerate(digits)) % 11 == 0
+    return sum((1 + 2 * (k % 2)) * d for k, d in enumerate(digits)) % 10 == 0
+
+
+BARE = re.compile(r"(?<=\s)at(?=\s)|_at_", re.I)
+
+
+def bare_top(text: str) -> int:
+    """The length of the letters that a text ends in."""
+    return len(text) - len(text.rstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
 
 
-SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|[\[({<]\s?at\s?[\])}>]|\sat\s)\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[({<]\s?dot\s?[\])}>]|\sdot\s)\s?[A-Za-z0-9-]+)+", re.I)
 LABEL_REST = re.compile(r"[A-Za-z0-9]*(?:-+[A-Za-z0-9]+)*")
 
 
 def well_formed(kind: str, text: str) -> bool:
     if kind == "email":
-        return SPELLED.fullmatch(text) is not None
+        # an at without @ or brackets is a word of its own too, so there more must speak for an address
+        bare = BARE.search(text)
+        return SPELLED.fullmatch(text) is not None and (not bare or (text[-bare_top(text) :].lower() in TOPS and not re.search(r"\.\s|\s\.", text)))
     if kind == "ip":
         return IP.fullmatch(text) is not None and is_ip(text)
     if kind == "card":
         return CARD.fullmatch(text) is not None and is_card(text)
     digits = NOT_DIGIT.sub("", text)
-    return 9 <= len(digits) <= 15 and re.fullmatch(r"\(?\+?[0-9][\x20().0-9/-]*[0-9]", text) is not None and len(set(digits)) > 2
+    return 9 <= len(digits) <= 15 and re.fullmatch(r"\(?\+?[0-9][\x20().0-9/-]*[0-9]", text) is not None and len(set(digits)) > 2 and not is_book(text)
 
 
 class Taken:
@@ -367,35 +500,27 @@ def whole_address(text: str, span: Span, least: int, most: int, base: Taken) ->
     return ("email", start, end) if free and well_formed("email", text[start:end]) else span
 
 
-def find_spans(texts: list[str], model: tuple[FeatureIds, LinearChainCrf]) -> list[tuple[list[Span], list[Span]]]:
+def find_spans(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
     """For each text the base spans, and all spans, both by kind and then by start."""
-    ids, crf = model
     base = [base_spans(t) if t else [] for t in texts]
-    rows, places = [], []
+    tokens, places = Tokens(), []
     for k, text in enumerate(texts):
         for start, end in segments(text):
             # a segment is decoded whole: any cut could go through an item
-            found = tokens_of(text, start, end)
-            rows.append(features([text[a:b] for a, b in found], ids))
-            places.append((k, found))
+            tokens.add(text, start, end)
+            places.append(k)
     more: list[list[Span]] = [[] for _ in texts]
-    for (k, part), tags in zip(places, crf.decode(rows)):
-        at = 0
-        while at < len(tags):
-            tag = tags[at]
-            if tag % 2 == 0:
-                at += 1
-                continue
+    for k, starts, tags in zip(places, tokens.starts, field.read(tokens)):
+        for at in np.flatnonzero(tags % 2).tolist():
             stop = at + 1
-            while stop < len(tags) and tags[stop] == tag + 1:
+            while stop < len(tags) and tags[stop] == tags[at] + 1:
                 stop += 1
-            start, end = part[at][0], part[stop - 1][1]
+            start, end = int(starts[at]), int(starts[stop])
             while end > start and texts[k][end - 1].isspace():
                 end -= 1
-            kind = KINDS[(tag - 1) // 2]
+            kind = KINDS[(int(tags[at]) - 1) // 2]
             if well_formed(kind, texts[k][start:end]):
                 more[k].append((kind, start, end))
-            at = stop
     out = []
     for text, own, new in zip(texts, base, more):
         taken = Taken(own)

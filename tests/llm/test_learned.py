@@ -24,7 +24,7 @@ from millrace.llm.shingles import mix
 from tests.llm.brute import brute_pii
 from tests.llm.written_pages import LATER as LATER_PAGES
 from tests.llm.written_pages import WRITTEN as WRITTEN_PAGES
-from tests.llm.written_pii import LATER, WRITTEN, written
+from tests.llm.written_pii import LATER, NAMED, UNSEEN, WRITTEN, written
 
 
 def test_classifier_on_held_out_labels(spark):
@@ -128,12 +128,13 @@ def test_added_spans_on_held_out_segments():
 
 
 @pytest.mark.parametrize("kind", ["email", "phone"])
-def test_added_spans_in_sentences_written_by_hand(kind):
-    held = written(WRITTEN + LATER)
+@pytest.mark.parametrize("lines", [WRITTEN + LATER, NAMED + UNSEEN])
+def test_added_spans_in_sentences_written_by_hand(kind, lines):
+    held = written(lines)
     found = find_spans([t for t, _ in held], pii_model())
     gold = {(k, *s) for k, (_, spans) in enumerate(held) for s in spans if s[0] == kind}
     own = {(k, *s) for k, (_, every) in enumerate(found) for s in every if s[0] == kind}
-    assert len(gold) >= 26 and len(gold & own) >= 0.9 * len(gold) and len(gold & own) >= 0.9 * len(own)
+    assert len(gold) >= 17 and len(gold & own) >= 0.88 * len(gold) and len(gold & own) >= 0.88 * len(own), (gold - own, own - gold)
 
 
 def test_examples_of_the_docstring():
@@ -159,6 +160,50 @@ def test_long_spelled_addresses_are_whole(local, at, dot, domain):
     assert find_spans([text], pii_model())[0][1] == [("email", 23, 23 + len(address))]
 
 
+def test_long_sequences_are_decoded_as_if_whole():
+    """Reading blocks side by side gives a best path, whatever the moves, the blocks and the parts."""
+    rng = np.random.default_rng(4)
+    for seed in range(40):
+        labels, n, cut = rng.integers(2, 6), rng.integers(1, 300), int(rng.integers(1, 90))
+        crf = LinearChainCrf(5, labels)
+        crf.moves, crf.starts, crf.ends = 3 * rng.normal(size=(labels, labels)), rng.normal(size=labels), rng.normal(size=labels)
+        e = rng.normal(size=(n, labels)) * (0.05, 2, 9)[seed % 3]
+        worth = lambda path: crf.starts[path[0]] + crf.ends[path[-1]] + e[np.arange(n), path].sum() + crf.moves[path[:-1], path[1:]].sum()
+        whole, parts = crf._viterbi(e[None], np.array([n]))[0], crf.best_path((e[t : t + cut] for t in range(0, n, cut)), block=8)
+        assert worth(parts) == pytest.approx(worth(whole), abs=1e-9)
+
+
+def test_features_do_not_depend_on_the_batch(monkeypatch):
+    """A segment has the same features alone, among others, and read by parts."""
+    texts = [t for t, _ in labelled_segments(n=60, seed=9)] + ["12 " * 300 + "call 415-555-0132", "7", "(", ""]
+    alone = []
+    for t in texts:
+        one = pii.Tokens()
+        one.add(t, 0, len(t))
+        alone.append([r.tolist() for part in one.codes() for r in part])
+    for size in (65_536, 50):
+        monkeypatch.setattr(pii, "PART", size)
+        many = pii.Tokens()
+        for t in texts:
+            many.add(t, 0, len(t))
+        rows = [r.tolist() for part in many.codes() for r in part]
+        assert rows == [r for own in alone for r in own]
+
+
+def test_tables_of_digits_take_little_time_and_memory():
+    import tracemalloc
+
+    text = "12 " * 330_000
+    model = pii_model()
+    began = time.process_time()
+    assert find_spans([text], model) == [([], [])]
+    assert time.process_time() - began < 8  # 2 to 3 s on one free core
+    tracemalloc.start()
+    find_spans([text], model)
+    assert tracemalloc.get_traced_memory()[1] < 400_000_000
+    tracemalloc.stop()
+
+
 def test_segments_cut_no_word():
     text = "x" * 70 + " (at) " + "y" * 70 + " (dot) com and " + "z" * 70 + " at " + "u" * 70 + " dot org, " + "v" * 40
     (start, end), *rest = segments(text)

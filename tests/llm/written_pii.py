@@ -91,6 +91,58 @@ Case no. 4-2023-118 was heard on 05/06/2023.
 """
 
 
+#: Items that a reader of the round before named as missed or kept, and the false one; the table was widened while looking at these.
+NAMED = """
+mail ⟦email|ops (at) example.org⟧ now
+write to ⟦email|kim (at) mail (dot) example (dot) com⟧ soon
+write to ⟦email|anna at mail.com⟧ please
+frag ⟦email|sara AT posteo.de⟧
+contact ⟦email|lena at uni-koeln.de⟧ for it
+mail ⟦email|Anna At Mail Dot Com⟧
+Mail an ⟦email|info[@]shop.de⟧
+reach ⟦email|joe @ example . com⟧ there
+mail ⟦email|peter_at_firma_dot_de⟧ bitte
+call ⟦phone|0800 123 456⟧ today
+ring ⟦phone|01632 960 983⟧
+dial ⟦phone|1 (800) 555 0199⟧ now
+Telefon ⟦phone|030/123 45 67⟧
+mobil ⟦phone|0160 / 9988 776⟧
+tel ⟦phone|612-345-678⟧
+mon numéro ⟦phone|0612345678⟧ merci
+call me ⟦phone|9876543210⟧
+tel ⟦phone|22 33 44 55 6⟧
+ISBN 0-306-40615-2 is out
+"""
+
+#: Written after that and scored once.
+UNSEEN = """
+Send the draft to ⟦email|helen at uni-bonn.de⟧ by noon.
+Ask ⟦email|paul_at_werkstatt_dot_de⟧ for the key.
+My new mail is ⟦email|rita [@] posteo.net⟧, the old one is dead.
+Contact: ⟦email|Desk At Paper Dot Org⟧
+Bitte an ⟦email|vorstand (at) chor-west.de⟧ schreiben.
+Escribe a ⟦email|marta at correo.es⟧ hoy mismo.
+Mail ⟦email|o.brien {at} press {dot} ie⟧ first.
+Write to ⟦email|team at startup dot io⟧ for a demo.
+Appelez mon numéro ⟦phone|0678901234⟧ demain.
+Call ⟦phone|8005550147⟧ toll free.
+Die Nummer ist ⟦phone|0172 55 66 77 8⟧ .
+Telefon: ⟦phone|040/34 56 78⟧
+Ring ⟦phone|01865 270 100⟧ and ask for Ann.
+Tel. ⟦phone|(06221) 54 32 10⟧
+Llame al número ⟦phone|934 567 890⟧ ahora.
+Fax ⟦phone|0341-9 73 51 00⟧
+We looked at example.org and found nothing.
+The band played at noon. Com is not a word.
+ISBN 3-16-148410-0 was printed twice.
+Ticket 1234567890 is still open.
+The team arrived at 8 and left at 10.30 sharp.
+In 2019 12 345 visitors came, in 2020 only 678.
+The file my_photo_at_home_dot_jpg is lost.
+Invoice 0012345678 was paid in May.
+"""
+
+
 def written(lines: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Texts and their spans."""
     out = []
