@@ -13,7 +13,7 @@ from millrace.operators.asof import asof_join
 from millrace.operators.ordered import ordered_columns
 from millrace.operators.sessions import number_sessions
 from millrace.plans.registry import ORACLES, QUERIES, register, table
-from millrace.plans import aggregates, files, joins, scalars, search, streams  # noqa: F401  they register their queries
+from millrace.plans import aggregates, extras, files, joins, scalars, search, streams  # noqa: F401  they register their queries
 
 __all__ = ["ORACLES", "QUERIES"]
 
