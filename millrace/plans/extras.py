@@ -1,15 +1,17 @@
-"""Queries over sketches, heavy keys and variants."""
+"""Queries over sketches, heavy keys, variants, a Python data source and Python functions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.tables import Streaks, nearest_before, trimmed_means
 from millrace.functions.variants import as_variant, field
 from millrace.operators.sketches import DISTINCT_ERROR, RANK_ERROR, daily_sketches, merge_sketches, read_sketches
 from millrace.operators.skewjoin import skew_join
 from millrace.plans.registry import register, table
 from millrace.shared import Stage
+from millrace.sources.row_groups import register_row_groups
 
 
 @register("""
@@ -59,3 +61,50 @@ def prov_event_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_type", as_variant(told).alias("v"))
     total = lambda path, name: F.coalesce(F.sum(field(F.col("v"), path, "bigint")), F.lit(0)).alias(name)
     return rows.groupBy("event_type").agg(F.count_if(F.col("v").isNull()).alias("n_malformed"), total("$.k", "k_sum"), total("$.a.b[0]", "first_sum"), total("$.a.b[1].k", "inner_sum"))
+
+
+@register("""
+SELECT o_orderpriority, count(*)::BIGINT AS n_orders, min(o_orderkey) AS least, max(o_orderkey) AS most FROM orders
+WHERE o_orderkey >= 100 AND o_orderkey < 700 AND o_orderstatus <> 'P' GROUP BY o_orderpriority
+""")
+def prov_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some orders, read by a Python data source that skips row groups."""
+    register_row_groups(spark)
+    orders = spark.read.format("row_groups").load(f"{sf_dir}/orders.parquet").where("o_orderkey >= 100 and o_orderkey < 700 and o_orderstatus <> 'P'")
+    return orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_orders"), F.min("o_orderkey").alias("least"), F.max("o_orderkey").alias("most"))
+
+
+@register("""
+WITH marked AS (SELECT user_id, event_id, value, CASE WHEN value > lag(value) OVER w THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id) AS part FROM marked),
+parts AS (SELECT user_id, part, min(event_id) AS first_id, max(event_id) AS last_id, count(*)::BIGINT - 1 AS rises FROM numbered GROUP BY ALL)
+SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY first_id)::BIGINT AS streak, first_id, last_id, rises FROM parts WHERE rises > 0
+""")
+def prov_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streaks of rising values of each user, by a table function with a state for each partition."""
+    rows = table(spark, sf_dir, "events").selectExpr("user_id as key", "event_id as id", "value")
+    return Streaks(rows.asTable().partitionBy("key").orderBy("id"))
+
+
+@register("""
+WITH placed AS (SELECT event_type, value::DECIMAL(18,2) AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, round(sum(v)::DOUBLE / count(*), 6) AS mean, count(*)::BIGINT AS n_inside FROM placed WHERE i >= n // 10 AND i < n - n // 10 GROUP BY event_type
+""")
+def prov_trimmed_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean value of each type of event without the least and the greatest tenth, for groups of any size."""
+    events = table(spark, sf_dir, "events").select("event_type", "value")
+    means = trimmed_means(events, by="event_type", value="value").withColumnRenamed("event_type", "kind")
+    sizes = events.groupBy("event_type").agg(F.count("value").alias("n"))
+    return sizes.join(means, F.col("event_type") == F.col("kind")).select("event_type", F.round("mean", 6).alias("mean"), (F.col("n") - 2 * F.floor(F.col("n") / 10)).alias("n_inside"))
+
+
+@register("""
+SELECT p.event_id, (SELECT count(*) FROM events v WHERE v.event_type = 'view' AND v.user_id = p.user_id AND v.ts <= p.ts AND v.ts::DATE = p.ts::DATE)::BIGINT AS before
+FROM events p WHERE p.event_type = 'purchase'
+""")
+def prov_views_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with its user's views of that day before it, by cogrouped Arrow tables of a user and a day."""
+    events = table(spark, sf_dir, "events").select("event_type", "event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("ts").cast("date").alias("day"))
+    side = lambda kind, *columns: events.where(F.col("event_type") == kind).select(*columns)
+    found = nearest_before(side("purchase", "event_id", "user_id", "at", "day"), side("view", "user_id", "at", "day"), by="user_id", time="at", block="day")
+    return found.select("event_id", "before")
