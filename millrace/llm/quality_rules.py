@@ -3,8 +3,9 @@
 Two multinomials over hashed word n-grams are counted: one over every document, one over the trusted ones.
 A document's score is the mean log ratio of its n-grams (target over raw), so long and short texts compare.
 Everything is DataFrame functions: counting explodes n-grams and pre-aggregates by bucket, scoring is an
-array fold inside the row. Texts are not shuffled while the ids of trusted documents can be broadcast; with more
-ids, the texts of trusted documents are (others are held back by a bitmap of the ids), and no token array is.
+array fold inside the row. Texts are not shuffled. While the ids of trusted documents can be broadcast, they tell these
+exactly; of more ids a bitmap of fixed size does nearly, and the n-grams of documents that it takes for trusted ones
+by mistake, which a join of ids alone tells, are taken back.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.line_dedup import SPACE
-from millrace.llm.staging import is_small, maybe_in
+from millrace.llm.staging import Stage, is_small, mark_maybe, maybe_in
 
 #: Words are runs of anything but these; these characters count as symbols.
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
@@ -111,10 +112,13 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, *, text: str = "text", ke
     if is_small(good):
         grams = _grams(tokens(held.join(F.broadcast(good.select("_k", own)), "_k", "left")), "_own").withColumn("_raw", F.lit(1))
     else:
-        ours = maybe_in(held, good, "_k").join(good, "_k", "left_semi")
-        every = _grams(tokens(held.withColumn("_own", F.lit(None).cast("int"))), "_own").withColumn("_raw", F.lit(1))
-        grams = every.unionByName(_grams(tokens(ours.select("*", own)), "_own").withColumn("_raw", F.lit(None).cast("int")))
-    counts = grams.groupBy(F.pmod("_g", F.lit(buckets)).alias("_b")).agg(F.count("_raw").alias("raw"), F.count("_own").alias("own"))
+        # one pass over all texts in which a bitmap tells the trusted ones, and few others, whose n-grams are taken back
+        marked = mark_maybe(held, good, "_k", "_maybe").select("_k", "_t", F.when(F.col("_maybe") & F.col("_k").isNotNull(), 1).alias("_own"))
+        every = _grams(tokens(marked), "_own").withColumn("_raw", F.lit(1))
+        wrong = Stage(docs.sparkSession, "quality_rules").write(maybe_in(held.select("_k").where("_k is not null"), good, "_k").distinct().join(good, "_k", "left_anti"), "wrong")
+        few = held.join(F.broadcast(wrong), "_k", "left_semi") if is_small(wrong) else maybe_in(held, wrong, "_k").join(wrong, "_k", "left_semi")
+        grams = every.unionByName(_grams(tokens(few.withColumn("_own", F.lit(-1))), "_own").withColumn("_raw", F.lit(None).cast("int")))
+    counts = grams.groupBy(F.pmod("_g", F.lit(buckets)).alias("_b")).agg(F.count("_raw").alias("raw"), F.coalesce(F.sum("_own"), F.lit(0)).alias("own"))
     # at most `buckets` rows from here on, folded as one array
     every = docs.sparkSession.range(buckets).select(F.col("id").alias("_b")).join(counts, "_b", "left").fillna(0, ["raw", "own"])
     one = every.agg(F.sort_array(F.collect_list(F.struct("_b", "raw", "own"))).alias("_e"), F.sum("raw").alias("_raw"), F.sum("own").alias("_own"))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from millrace.shared import Stage
 
-__all__ = ["Stage", "is_small", "maybe_in", "small_side"]
+__all__ = ["Stage", "is_small", "mark_maybe", "maybe_in", "small_side"]
 
 #: A side with at most this many bytes may be broadcast.
 BROADCAST_BYTES = 24_000_000
@@ -49,10 +49,15 @@ def maybe_in(rows: DataFrame, keys: DataFrame, column: str, *, inside: bool = Tr
 
     With ``inside`` false all the rest: rows that are certainly not in it.
     """
+    marked = mark_maybe(rows, keys, column, "_maybe")
+    return marked.where("_maybe" if inside else "not _maybe").select(*rows.columns)
+
+
+def mark_maybe(rows: DataFrame, keys: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with ``name``, whether the bit of ``column`` is set in a bitmap of that of ``keys``."""
     bit = F.pmod(F.xxhash64(column), F.lit(BITMAP))
     maps = keys.select(bit.alias("_x")).groupBy(F.bitmap_bucket_number("_x").alias("_m")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_x")).alias("_bits"))
     placed = rows.withColumn("_m", F.bitmap_bucket_number(bit)).withColumn("_at", F.bitmap_bit_position(bit))
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = placed.join(F.broadcast(maps), "_m", "inner" if inside else "left")
     is_set = F.coalesce(F.getbit(byte, (F.col("_at") % 8).cast("int")), F.lit(0).cast("byte")) == 1
-    return found.where(is_set if inside else ~is_set).select(*rows.columns)
+    return placed.join(F.broadcast(maps), "_m", "left").select(*rows.columns, is_set.alias(name))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import queries as Q
-from millrace.llm import staging
+from millrace.llm import quality_rules, staging
 from millrace.llm.chat_format import format_chats, read_chats
 from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.oracles import OP10
@@ -89,6 +89,14 @@ def test_weights_with_many_trusted_ids(spark, sf_dir, odd_docs, monkeypatch):
     assert [ngram_weights(d, t).first()[0] for d, t in cases] == small and len({tuple(w) for w in small}) == 4
     few = staging.maybe_in(docs, trusted, "doc_id").count()
     assert trusted.count() <= few < trusted.count() + 5
+    assert staging.maybe_in(docs, trusted, "doc_id", inside=False).count() == docs.count() - few
+    # a bitmap that takes most documents for trusted ones, and false ones that are broadcast or not
+    monkeypatch.setattr(staging, "BITMAP", 64)
+    assert staging.maybe_in(docs, trusted, "doc_id").count() > trusted.count() + 5
+    assert [ngram_weights(d, t).first()[0] for d, t in cases] == small
+    sizes = iter([False, True] * 9)
+    monkeypatch.setattr(quality_rules, "is_small", lambda df: next(sizes))
+    assert [ngram_weights(d, t).first()[0] for d, t in cases] == small
 
 
 def test_quality_keeps_good_and_rejects_bad(spark, sf_dir):
