@@ -54,6 +54,37 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM marked GROUP BY doc_id
 """
 
+OP11 = r"""
+WITH RECURSIVE bits(n, r, k) AS (
+  SELECT n, n, 0 FROM range(256) t(n)
+  UNION ALL SELECT n, CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END, k + 1 FROM bits WHERE k < 8
+), crc AS (SELECT list(r ORDER BY n) AS t FROM bits WHERE k = 8),
+runs AS (
+  SELECT doc_id, w, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS w FROM documents)
+  WHERE length(w) >= 6 GROUP BY ALL
+), hashed AS (
+  SELECT w, c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [195, ord(x) - 64] END)), lambda x: x::BIGINT)),
+    lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1])), 4294967295) AS h
+  FROM runs, crc
+), damaged AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, c FROM hashed
+), words AS (SELECT word, sum(c)::BIGINT AS n FROM damaged WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+cut AS (SELECT DISTINCT word, n, substr(word, 1, i) || substr(word, i + 2) AS v, substr(word, 1, i) || '*' || substr(word, i + 2) AS o FROM (SELECT *, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT DISTINCT a.word AS w, b.word AS x, b.n AS n FROM (SELECT DISTINCT word, o FROM cut) a JOIN (SELECT DISTINCT word, n, o FROM cut) b ON a.o = b.o AND a.word <> b.word
+  UNION SELECT DISTINCT c.word, b.word, b.n FROM cut c JOIN words b ON c.v = b.word
+  UNION SELECT DISTINCT b.word, c.word, c.n FROM cut c JOIN words b ON c.v = b.word
+), best AS (SELECT w, count(*)::BIGINT AS n_near, max(n) AS top FROM near GROUP BY w),
+first_of AS (SELECT near.w, min(x) AS x FROM near JOIN best ON near.w = best.w AND near.n = best.top GROUP BY near.w),
+formed AS (
+  SELECT word, words.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 5 * words.n THEN x END AS form, CASE WHEN top >= 5 * words.n THEN top END::BIGINT AS form_n
+  FROM words LEFT JOIN best ON best.w = word LEFT JOIN first_of ON first_of.w = word
+), walk(word, root, k) AS (SELECT word, word, 0 FROM formed UNION ALL SELECT walk.word, f.form, k + 1 FROM walk JOIN formed f ON walk.root = f.word WHERE f.form IS NOT NULL),
+roots AS (SELECT word, max_by(root, k) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3, "op6_ngram_jaccard": OP6, "op10_line_dedup": OP10}
+    return {"op3_chat_format": OP3, "op6_ngram_jaccard": OP6, "op10_line_dedup": OP10, "op11_spelling": OP11}
