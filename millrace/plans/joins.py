@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.rangejoin import range_join
+from millrace.operators.rangetotals import range_totals
 from millrace.plans.registry import register, table
 
 
@@ -41,11 +41,11 @@ JOIN (SELECT event_id, epoch_us(ts) AS low, epoch_us(ts) + 600000000 * (1 + even
 ON epoch_us(e.ts) >= i.low AND epoch_us(e.ts) < i.high GROUP BY ALL
 """)
 def prov_error_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events in the time after each error, whose length differs by error (range join)."""
+    """Events in the time after each error, whose length differs by error (range join, summed up without its pairs)."""
     events = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     errors = events.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("at").alias("low"), F.expr("at + 600000000 * (1 + event_id % 50)").alias("high"))
-    met = range_join(events.select("event_id", "at"), errors, at="at", low="low", high="high")
-    return met.groupBy("error_id").agg(F.count(F.lit(1)).alias("n_events"), F.min("event_id").alias("first_event"))
+    met = range_totals(events.select("event_id", "at"), errors, at="at", low="low", high="high", least="event_id")
+    return met.groupBy("error_id").agg(F.sum("n_points").alias("n_events"), F.min("least_point").alias("first_event"))
 
 
 @register("""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from millrace.functions.columns import exact_sum, histogram, population_variance, words
 from millrace.operators.asof import asof_join
+from millrace.operators import rangetotals
 from millrace.operators.rangejoin import range_join
 from millrace.operators.sessions import number_sessions
 from millrace.plans.catalog import ORACLES, QUERIES
@@ -49,6 +50,50 @@ def test_range_join_over_all_longs(spark):
     assert sorted((r.p, r.i) for r in found.collect()) == sorted((p, i) for p, x in points for i, a, b in spans if a <= x < b)
 
 
+@pytest.mark.parametrize("bits, rows", [(1, 9), (2, 40), (8, 20_000)])
+def test_range_totals_against_all_pairs(spark, monkeypatch, bits, rows):
+    monkeypatch.setattr(rangetotals, "ROWS", rows)
+    rng = random.Random(bits)
+    edges = [-(2**63), -(2**63) + 1, 2**63 - 2, 2**63 - 1, -1, 0, 1, 2**53 + 1]
+    points = [(rng.choice([None, *range(-50, 50)]), rng.choice([None, rng.randint(-70, 70), rng.randint(-70, 70), rng.choice(edges)])) for _ in range(300)]
+    spans = [(low, low + rng.choice([0, -3, 1, 2, 7, 8, 30, 100])) for _ in range(90) for low in [rng.randint(-90, 90)]]
+    spans += [tuple(rng.sample(edges, 2)) for _ in range(30)] + [(-(2**63), 2**63 - 1)] * 3 + [(None, 4), (4, None), (None, None)]
+    spans = [(k, *s) for k, s in enumerate(spans)]
+    some, around = spark.createDataFrame(points, "p int, at long"), spark.createDataFrame(spans, "i int, low long, high long")
+    totals = lambda p, i: rangetotals.range_totals(p, i, at="at", low="low", high="high", least="p", bits=bits)
+    found, want = totals(some, around), []
+    for i, a, b in spans:
+        met = [p for p, x in points if None not in (x, a, b) and a <= x < b]
+        want += [(i, a, b, len(met), min((p for p in met if p is not None), default=None))] * bool(met)
+    assert sorted(map(tuple, found.collect())) == want and found.columns == ["i", "low", "high", "n_points", "least_point"]
+    assert totals(some.where("false"), around).count() == 0 == totals(some, around.where("false")).count()
+
+
+def test_error_windows_make_no_pairs(spark, tmp_path):
+    """Copies of all events at the same times: no step gives more rows than a few times the table's, while the pairs are 400-fold."""
+    import duckdb
+
+    con, file, copies = duckdb.connect(), tmp_path / "events.parquet", 20
+    con.execute(f"CREATE TABLE one AS SELECT * FROM '{os.environ.get('TEST_SF_DIR', '/root/testdata/sf0.001')}/events.parquet'")
+    con.execute(f"CREATE TABLE events AS SELECT * REPLACE (event_id + 50 * (SELECT count(*) FROM one) * k AS event_id) FROM one, range({copies}) r(k)")
+    con.execute(f"COPY events TO '{file}' (FORMAT parquet)")
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = {store.executionsList().apply(k).executionId() for k in range(store.executionsList().size())}
+    found = sorted(map(tuple, QUERIES["prov_error_windows"](spark, str(tmp_path)).collect()))
+    assert found == sorted(con.execute(ORACLES["prov_error_windows"]).fetchall())
+    bus.waitUntilEmpty()
+    most, steps = 0, store.executionsList()
+    for step in (steps.apply(k) for k in range(steps.size())):
+        if step.executionId() not in before:
+            values = store.executionMetrics(step.executionId())
+            for metric in (step.metrics().apply(k) for k in range(step.metrics().size())):
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+    rows = con.execute("SELECT count(*) FROM events").fetchone()[0]
+    assert rows <= most <= 4 * rows < sum(n for _, n, _ in found)
+
+
 @pytest.mark.parametrize("kind", sorted(OPTIONS))
 def test_files_give_back_what_was_written(spark, tmp_path, kind):
     rows = spark.sql("""select * from values (1, 'a', timestamp_ntz'2024-01-01 00:00:00.123456', 1.5D, true), (2, '', timestamp_ntz'1999-12-31 23:59:59', null, false),
